@@ -34,12 +34,21 @@ def weighted(cols: Sequence[Column], weights: Sequence[float], const: float = 0.
     return total(terms)
 
 
+_MAX_TREE = 64
+
+
+def number_array(values: Sequence[float]) -> Column:
+    """Constant array of doubles, folded once at planning whatever its length."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def edges_below(c: Column, edges: Sequence[float], closed: str = "left") -> Column:
     """Number of sorted ``edges`` that lie below ``c``.
 
     ``closed='left'`` counts ``edge <= c`` (intervals ``[a, b)``), ``'right'`` counts
-    ``edge < c`` (intervals ``(a, b]``). A balanced tree of comparisons: log2(len)
-    steps per row, inside generated code.
+    ``edge < c`` (intervals ``(a, b]``). Up to 64 edges this is a balanced tree of
+    comparisons in generated code; beyond that, which would outgrow one generated method,
+    a binary search over a constant array. Both take log2(len) steps per row.
     """
     if closed not in ("left", "right"):
         raise ValueError("closed must be 'left' or 'right'")
@@ -53,7 +62,18 @@ def edges_below(c: Column, edges: Sequence[float], closed: str = "left") -> Colu
             node(mid + 1, hi)
         )
 
-    return F.when(c.isNotNull(), node(0, len(edges)))
+    if len(edges) <= _MAX_TREE:
+        return F.when(c.isNotNull(), node(0, len(edges)))
+    table = number_array(edges)
+    strides = [1 << i for i in reversed(range(len(edges).bit_length()))]
+
+    def step(found: Column, stride: Column) -> Column:
+        edge = F.get(table, found + stride - 1)
+        below = edge <= c if closed == "left" else edge < c
+        return F.when(below, found + stride).otherwise(found)
+
+    search = F.aggregate(F.array(*[F.lit(s) for s in strides]), F.lit(0), step)
+    return F.when(c.isNotNull(), search)
 
 
 def hash_text(key: Column | str, seed: int) -> Column:

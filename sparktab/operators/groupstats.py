@@ -311,11 +311,11 @@ def text_stats(df: DataFrame, col: str, patterns: dict[str, str] | None = None)
 def term_weights(df: DataFrame, key: str, col: str, min_df: int = 1) -> DataFrame:
     """TF-IDF per (document, term): ``tf * (ln((1+N)/(1+df)) + 1)``.
 
-    Terms are lower-cased runs of letters and digits. Counts per (document, term) combine
+    Terms are lower-cased runs of two or more letters, digits or underscores. Counts per (document, term) combine
     map-side; document frequency is an aggregation of that table, joined back by term.
     """
     n = df.count()
-    words = F.explode(F.regexp_extract_all(F.lower(F.col(col)), F.lit("([a-z0-9]+)"), 1))
+    words = F.explode(F.regexp_extract_all(F.lower(F.col(col)), F.lit("([\\p{L}\\p{N}_]{2,})"), 1))
     tf = df.select(key, words.alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
     idf = F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + F.col("df"))) + 1.0
@@ -330,7 +330,7 @@ def tfidf_components(df: DataFrame, key: str, col: str, features: int = 1024, co
 
     steps = Pipeline(
         stages=[
-            RegexTokenizer(inputCol=col, outputCol="__w", pattern="[^a-z0-9]+"),
+            RegexTokenizer(inputCol=col, outputCol="__w", pattern="[\\p{L}\\p{N}_]{2,}", gaps=False),
             HashingTF(inputCol="__w", outputCol="__tf", numFeatures=features),
             IDF(inputCol="__tf", outputCol="__idf"),
             PCA(inputCol="__idf", outputCol="__pc", k=components),

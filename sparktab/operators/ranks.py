@@ -15,10 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktab.functions.exprs import edges_below, finite, hash_text
+from sparktab.functions.exprs import edges_below, finite, hash_text, number_array
 
 ROWS_PER_BUCKET = 2_000_000
-_MAX_TREE = 256
 
 
 def running_sums(
@@ -54,6 +53,35 @@ def running_sums(
     )
 
 
+def best_before(
+    df: DataFrame,
+    by: Sequence[str],
+    buckets: Sequence[str],
+    order: Sequence[Column | str],
+    value: str,
+    out: str,
+) -> DataFrame:
+    """Largest ``value`` among the earlier rows of the group, null for the first row.
+
+    Same two levels as ``running_sums``: the best of earlier buckets comes from the small
+    per-bucket table, the best inside the bucket from a local window.
+    """
+    keys = [*by, *buckets]
+    parts = df.groupBy(*keys).agg(F.max(value).alias("__top"))
+    earlier = (
+        Window.partitionBy(*by).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = parts.select(
+        *[F.col(k).alias(f"__{k}") for k in keys], F.max("__top").over(earlier).alias("__before")
+    )
+    same = [df[k].eqNullSafe(starts[f"__{k}"]) for k in keys]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(starts, same, "left").select(
+        *[df[c] for c in df.columns],
+        F.greatest(F.max(df[value]).over(inside), F.col("__before")).alias(out),
+    )
+
+
 def hash_rank(
     df: DataFrame, by: Sequence[str], key: str, seed: int, out: str = "rank", digits: int = 4
 ) -> DataFrame:
@@ -98,21 +126,8 @@ def range_bucket(df: DataFrame, value: str, points: Sequence[float], out: str) -
     """
     if not points:
         return df.withColumn(out, F.lit(0))
-    points = [float(p) for p in points]
-    if len(points) <= _MAX_TREE:
-        below = edges_below(F.col(value), points, "left")
-        placed = df.withColumn("__n", below)
-    else:
-        from pyspark.ml.feature import Bucketizer
-
-        cut = Bucketizer(
-            splits=[-float("inf"), *points, float("inf")],
-            inputCol=value,
-            outputCol="__n",
-            handleInvalid="keep",
-        )
-        placed = cut.transform(df).withColumn("__n", F.col("__n").cast("int"))
-    at_edge = F.array(*[F.lit(p) for p in points])[F.col("__n") - 1] == F.col(value)
+    placed = df.withColumn("__n", edges_below(F.col(value), points, "left"))
+    at_edge = F.get(number_array(points), F.col("__n") - 1) == F.col(value)
     return placed.withColumn(
         out,
         F.when(F.col("__n") == 0, 0).otherwise(
