@@ -122,12 +122,16 @@ def fold_quantile_codes(
     training values are a column of their own. The row's own fold picks its edges.
     """
     views = df.select(*[F.when(F.col(fold) != f, F.col(col)).alias(f"f{f}") for f in range(k)])
+    probs = {q: [i / q for i in range(1, q)] for q in levels}
+    together = sorted({p for ps in probs.values() for p in ps})
+    found = exact_quantiles(views, views.columns, together)
     new: dict[str, Column] = {}
     for q in levels:
-        points = exact_quantiles(views, views.columns, [i / q for i in range(1, q)])
         code = F.lit(None).cast("int")
         for f in range(k):
-            own = edges_below(finite(F.col(col)), sorted(set(points[f"f{f}"])), "left") + 1
+            at = dict(zip(together, found[f"f{f}"]))
+            edges = sorted({at[p] for p in probs[q]}) if at else []
+            own = edges_below(finite(F.col(col)), edges, "left") + 1
             code = F.when(F.col(fold) == f, own).otherwise(code)
         new[f"{col}_q{q}"] = F.coalesce(code, F.lit(0)).cast("int")
     return df.withColumns(new)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparktab.functions.exprs import finite, total
 from sparktab.operators.joins import lookup
 from sparktab.operators.ranks import exact_quantiles
+from sparktab.session import spread
 
 
 def group_stats(df: DataFrame, keys: dict[str, str], cols: Sequence[str]) -> DataFrame:
@@ -316,7 +317,7 @@ def term_weights(df: DataFrame, key: str, col: str, min_df: int = 1) -> DataFram
     """
     n = df.count()
     words = F.explode(F.regexp_extract_all(F.lower(F.col(col)), F.lit("([\\p{L}\\p{N}_]{2,})"), 1))
-    tf = df.select(key, words.alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = spread(df.select(key, col)).select(key, words.alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
     idf = F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + F.col("df"))) + 1.0
     return tf.join(dfreq, "term").select(key, "term", "tf", "df", (F.col("tf") * idf).alias("weight"))
@@ -336,6 +337,7 @@ def tfidf_components(df: DataFrame, key: str, col: str, features: int = 1024, co
             PCA(inputCol="__idf", outputCol="__pc", k=components),
         ]
     )
-    made = steps.fit(df.select(key, col)).transform(df.select(key, col))
+    docs = spread(df.select(key, col))
+    made = steps.fit(docs).transform(docs)
     parts = vector_to_array("__pc")
     return made.select(key, *[parts[i].alias(f"{col}_pc{i}") for i in range(components)])

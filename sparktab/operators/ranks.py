@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sparktab.functions.exprs import edges_below, finite, hash_text, number_array
 
 ROWS_PER_BUCKET = 2_000_000
+MAX_BUILTIN_PROBS = 20
 
 
 def running_sums(
@@ -83,12 +84,12 @@ def best_before(
 
 
 def hash_rank(
-    df: DataFrame, by: Sequence[str], key: str, seed: int, out: str = "rank", digits: int = 4
+    df: DataFrame, by: Sequence[str], key: str, seed: int, out: str = "rank", digits: int = 3
 ) -> DataFrame:
     """1-based rank by ``(md5(seed:key), key)`` inside each ``by`` group.
 
-    ``digits`` hex digits of the hash are the bucket: 4 gives 65,536 even buckets per
-    group whatever the group's share of the rows is.
+    ``digits`` hex digits of the hash are the bucket: 3 gives 4,096 even buckets per group
+    whatever the group's share of the rows is; take 4 beyond about 1e10 rows.
     """
     hashed = df.withColumn("__h", hash_text(key, seed)).withColumn(
         "__b", F.substring("__h", 1, digits)
@@ -109,7 +110,7 @@ def split_points(
     wanted = math.ceil(n / rows_per_bucket)
     if wanted < 2:
         return []
-    fraction = min(1.0, max(1e-7, 200.0 * wanted / n))
+    fraction = min(1.0, max(20.0 * wanted, 20_000.0) / n)
     probe = df.sample(fraction=fraction, seed=17) if fraction < 1 else df
     probs = [i / wanted for i in range(1, wanted)]
     points = probe.select(
@@ -190,7 +191,9 @@ def exact_quantiles(
     cols, probs = list(dict.fromkeys(cols)), [float(p) for p in probs]
     clean = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in cols])
     counts = clean.select(*[F.count(c).alias(c) for c in cols]).first().asDict()
-    small = [c for c in cols if counts[c] <= exact_rows]
+    # The built-in pays a pass over the distinct values per probability.
+    few = len(probs) <= MAX_BUILTIN_PROBS
+    small = [c for c in cols if counts[c] == 0 or (few and counts[c] <= exact_rows)]
     found: dict[str, list[float]] = {}
     if small:
         arr = F.array(*[F.lit(p) for p in probs])

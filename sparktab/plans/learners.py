@@ -48,13 +48,19 @@ def parallel(jobs: Sequence[Callable], threads: int) -> list:
         return list(pool.map(lambda job: inheritable_thread_target(session)(job)(), jobs))
 
 
-def _weighted(df: DataFrame, balanced: bool, factors: dict | None) -> DataFrame:
-    out = class_weights(df, "y", 1.0, factors, out="__w") if balanced else df.withColumn("__w", F.lit(1.0))
-    if factors and not balanced:
-        out = class_weights(df, "y", 0.0, factors, out="__w")
-    if "w" in df.columns:
-        out = out.withColumn("__w", F.col("__w") * F.col("w"))
-    return out.withColumn("y", F.col("y").cast("double"))
+def _weighted(df: DataFrame, balanced: bool, factors: dict | None = None) -> tuple[DataFrame, float]:
+    """Rows with the weight ``__w`` and the total weight, from one count per class."""
+    own = F.col("w") if "w" in df.columns else F.lit(1.0)
+    # One row per class: classes are a fixed, small domain.
+    sizes = df.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(own).alias("mass")).collect()
+    rows = sum(r["n"] for r in sizes)
+    weights = {
+        r["y"]: (rows / (len(sizes) * r["n"]) if balanced else 1.0) * (factors or {}).get(r["y"], 1.0)
+        for r in sizes
+    }
+    out = class_weights(df, "y", fixed=weights, out="__w").withColumn("__w", F.col("__w") * own)
+    mass = sum(weights[r["y"]] * r["mass"] for r in sizes)
+    return out.withColumn("y", F.col("y").cast("double")), mass
 
 
 class _Fitted:
@@ -84,8 +90,7 @@ class Logistic:
     seed: int = 42
 
     def fit(self, df: DataFrame) -> _Fitted:
-        rows = _weighted(df, self.balanced, None)
-        mass = rows.agg(F.sum("__w")).first()[0] or 1.0
+        rows, mass = _weighted(df, self.balanced)
         stages = []
         if self.scale:
             stages.append(StandardScaler(inputCol="features", outputCol="__f", withMean=True))
@@ -117,7 +122,7 @@ class Forest:
             featureSubsetStrategy="1" if self.extra else "auto",
             subsamplingRate=0.5 if self.extra else 1.0,
         )
-        return _Fitted(Pipeline(stages=[model]).fit(_weighted(df, True, None)), self.k)
+        return _Fitted(Pipeline(stages=[model]).fit(_weighted(df, True)[0]), self.k)
 
 
 @dataclass(frozen=True)
@@ -181,8 +186,7 @@ class Binary:
     balanced: bool = True
 
     def fit(self, df: DataFrame, label: Column) -> _FittedBinary:
-        rows = df.withColumn("y", label.cast("int"))
-        rows = _weighted(rows, self.balanced, None) if self.balanced else _weighted(rows, False, None)
+        rows, _ = _weighted(df.withColumn("y", label.cast("int")), self.balanced)
         settings = {}
         if self.stop_share > 0:
             drawn = F.conv(F.substring(hash_text(self.key, self.seed), 1, 6), 16, 10).cast("long")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktab.session import materialize
+
 
 def _pivots(ref: DataFrame, features: str, n: int, wanted: int) -> np.ndarray:
     fraction = min(1.0, 4.0 * wanted / max(n, 1))
@@ -49,7 +51,10 @@ def nearest(
 
     shape = f"`{key}` long, `{y}` int, `{features}` array<double>, cell int, radius double"
     cast = F.col(features).cast("array<double>").alias(features)
-    cells = ref.select(F.col(key).cast("long"), F.col(y).cast("int"), cast).mapInPandas(to_cells, shape)
+    cells = materialize(
+        ref.select(F.col(key).cast("long"), F.col(y).cast("int"), cast).mapInPandas(to_cells, shape),
+        "knn-cells",
+    )
     # Per cell: size, radius and its k smallest radii. At most max_pivots rows.
     near = Window.partitionBy("cell").orderBy("radius")
     inner = (
@@ -91,17 +96,24 @@ def nearest(
     asked = query.select(F.col(key).cast("long"), cast).mapInPandas(
         visits, f"`{key}` long, `{features}` array<double>, cell int, part int"
     )
-    loads = asked.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("asked"))
-    split = F.ceil(F.col("asked") / block_rows).cast("int").alias("slices")
-    loads = loads.select("cell", "part", split)
-    asked = asked.join(loads, ["cell", "part"]).withColumn(
-        "slice", F.pmod(F.xxhash64(key), F.col("slices")).cast("int")
+    asked = materialize(asked, "knn-asked")
+    loads = materialize(
+        asked.groupBy("cell", "part").agg(
+            F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("slices")
+        ),
+        "knn-loads",
+    )
+    asked = asked.join(loads, ["cell", "part"]).select(
+        key, features, "cell", "part",
+        F.pmod(F.xxhash64(key), F.col("slices")).cast("int").alias("slice"),
     )
     counts = F.array(*[F.lit(int(b)) for b in blocks])
-    stored = (
-        cells.withColumn("part", F.pmod(F.xxhash64(key), counts[F.col("cell")]).cast("int"))
-        .join(loads, ["cell", "part"])
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    part = F.pmod(F.xxhash64(key), counts[F.col("cell")]).cast("int")
+    copies = loads.select(
+        "cell", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+    )
+    stored = cells.withColumn("part", part).join(copies, ["cell", "part"]).select(
+        key, y, features, "cell", "part", "slice"
     )
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -17,7 +17,7 @@ from sparktab.operators.ensemble import average, blend
 from sparktab.operators.folds import confident_rows, fit_pool, stratified_folds, stratified_sample
 from sparktab.operators.joins import model_columns
 from sparktab.operators.metrics import evaluate, score_labels
-from sparktab.operators.search import bagged_climb, search_rule
+from sparktab.operators.search import nested_climb, search_rule
 from sparktab.plans.learners import Logistic, Perceptron, boosted, parallel, with_features
 from sparktab.session import materialize
 
@@ -104,7 +104,7 @@ def stack(
             test.withColumns({"y": F.lit(0), "fold": F.lit(0)}), models, k, kind
         )
     for seed in seeds:
-        rows = stratified_folds(frame, "id", "y", folds, seed)
+        rows = materialize(stratified_folds(frame, "id", "y", folds, seed), "meta-folds")
         one = oof_predict(rows, make_meta(seed), k, "meta", seed=seed)
         all_seeds = one if all_seeds is None else all_seeds.unionByName(one)
         if test_frame is not None:
@@ -129,8 +129,10 @@ def nested_cv(
     for f in fold_numbers(frame, fold):
         train = frame.where(F.col(fold) != f).drop(fold)
         held = frame.where(F.col(fold) == f)
-        rows = stratified_folds(train, "id", "y", inner, seed + f)
-        inner_oof = oof_predict(rows, make_meta(seed), k, "inner", seed=seed)
+        rows = materialize(stratified_folds(train, "id", "y", inner, seed + f), "inner")
+        inner_oof = materialize(
+            oof_predict(rows, make_meta(seed), k, "inner", seed=seed), "inner-oof"
+        )
         params, _ = search_rule(inner_oof, "p", "y", k, rule, **search)
         scored = make_meta(seed).fit(train).proba(held)
         part = scored.select("id", "y", fold, apply_rule("p", k, rule, params).alias("pred"))
@@ -153,23 +155,20 @@ def _level_one(
         if kind == "climb":
             wide = model_columns(block, models, keep=["y"])
             rows = materialize(stratified_folds(wide, "id", "y", inner, seed), "climb")
+            weights, _, _ = nested_climb(rows, models, "y", k, "fold", seed=seed, **made)
+            members = block.drop("fold").join(rows.select("id", "fold"), "id")
             part = None
             for f in fold_numbers(rows):
-                w = bagged_climb(rows.where(F.col("fold") != f), models, "y", k, **made)
-                mixed = blend(
-                    block.join(rows.where(F.col("fold") == f).select("id"), "id", "left_semi"),
-                    dict(zip(models, w)), k,
-                )
+                mixed = blend(members.where(F.col("fold") == f), dict(zip(models, weights[f])), k)
                 part = mixed if part is None else part.unionByName(mixed)
             if held is not None:
-                w = bagged_climb(rows, models, "y", k, **made)
-                after = blend(held, dict(zip(models, w)), k)
+                after = blend(held, dict(zip(models, weights[None])), k)
         else:
             frame = meta_frame(block, models, k, kind).drop("fold")
-            rows = stratified_folds(frame, "id", "y", inner, seed)
+            rows = materialize(stratified_folds(frame, "id", "y", inner, seed), "level1-folds")
             part = oof_predict(rows, made(seed), k, name).select("id", "y", "p")
             if held is not None:
-                after = made(seed).fit(frame).proba(
+                after = made(seed).fit(rows).proba(
                     meta_frame(held, models, k, kind)
                 ).select("id", "y", "p")
         part = part.select("id", "y", "p").withColumn("model", F.lit(name))
@@ -189,8 +188,9 @@ def _level_two(kind, train: DataFrame, apply: DataFrame, names: Sequence[str], k
     def frame(rows):
         return meta_frame(rows.withColumn("fold", F.lit(0)), names, k, "log")
 
-    fitted = Logistic(k, c=kind).fit(frame(train))
-    return fitted.proba(frame(train)), fitted.proba(frame(apply))
+    block = materialize(frame(train), "level2-frame")
+    fitted = Logistic(k, c=kind).fit(block)
+    return fitted.proba(block), fitted.proba(frame(apply))
 
 
 def multi_level(
@@ -251,10 +251,12 @@ def pseudo_label_train(
             marked = test.join(external.select("id", "y"), "id")
         else:
             first = learner.fit(train.where(F.col(fold) != f))
-            sure = confident_rows(first.proba(test), "id", "p", k, threshold, cap)
+            scored = materialize(first.proba(test).select("id", "features", "p"), "scored")
+            sure = confident_rows(scored, "id", "p", k, threshold, cap)
             marked = sure.select("id", "features", F.col("label").alias("y"))
+        marked = materialize(marked.select("id", "features", "y"), "pseudo")
         pool = fit_pool(
-            train, f, "y", aux, aux_weight, marked.select("id", "features", "y"), pseudo_weight, fold
+            train, f, "y", aux, aux_weight, marked, pseudo_weight, fold
         )
         second = learner.fit(pool.select("id", "features", "y", "w"))
         part = second.proba(train.where(F.col(fold) == f)).select("id", "y", fold, "p")
@@ -347,7 +349,7 @@ def random_search(
 
     ``rows`` limits the search (not the final model) to a stratified sample.
     """
-    picked = stratified_sample(df, "id", "y", rows, seed) if rows else df
+    picked = materialize(stratified_sample(df, "id", "y", rows, seed), "sample") if rows else df
     folded = materialize(stratified_folds(picked, "id", "y", folds, seed), "search")
     rng = random.Random(seed)
     found = []

@@ -60,3 +60,13 @@ def materialize(df: DataFrame, tag: str = "stage", partition_by: list[str] | Non
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core, for heavy per-row work on a few large files.
+
+    For tables as read: asking a plan with shuffles for its partitions would run them.
+    Never lowers the number: a scan with more splits than cores passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

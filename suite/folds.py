@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from sparktab.functions.proba import argmax
 from sparktab.operators import encoders, folds, metrics
+from sparktab.session import materialize
 from suite.common import PHOTO, PREDS, argmax_sql, photo, preds, query, r, rounded, rs, spread, table
 
 EVENT_CLASSES = ["click", "error", "purchase", "signup", "view"]
@@ -50,7 +53,7 @@ _FLAG_PRIOR = ", ".join(f"avg(CASE WHEN y = {c} THEN 1e0 ELSE 0e0 END) AS g{c}"
 )
 def flagship(spark, sf):
     ev = coded_events(spark, sf).select("event_id", "user_id", "y")
-    folded = folds.stratified_folds(ev, "event_id", "y", 5, 42)
+    folded = materialize(folds.stratified_folds(ev, "event_id", "y", 5, 42), "folds")
     encoded, _ = encoders.fold_safe_encode(folded, ["user_id"], "y", 5, "fold", 16.0)
     p = F.array(*[F.round(f"TE_user_id_{c}", 9) for c in range(5)])
     scored = encoded.withColumn("pred", argmax(p, 5))
@@ -165,7 +168,19 @@ def f7(spark, sf):
     return rounded(top.select("id", "fold", "label", "conf"))
 
 
-@query("f8_bootstrap_members")
+def _bags(models, bags: int, seed: int):
+    rng = random.Random(seed)
+    return [(b, s, rng.choice(models)) for b in range(bags) for s in range(len(models))]
+
+
+@query(
+    "f8_bootstrap_members",
+    f"""WITH {PREDS}, lab AS (SELECT model, y, {argmax_sql(['p0', 'p1', 'p2'])} AS pred FROM preds),
+    c AS (SELECT model, y, avg(CAST(pred = y AS INTEGER)) AS rec FROM lab GROUP BY ALL),
+    m AS (SELECT model, avg(rec) AS ba FROM c GROUP BY model),
+    b(bag, slot, model) AS (VALUES {', '.join(map(str, _bags(['m1', 'm2', 'm3', 'm4'], 5, 11)))})
+    SELECT bag, count(*) AS slots, {r('avg(ba)', 'mean_score')} FROM b JOIN m USING (model) GROUP BY bag""",
+)
 def f8(spark, sf):
     """Score of every bag's mean vote: the bags are drawn by the operator."""
     models = ["m1", "m2", "m3", "m4"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from sparktab.operators import ensemble as N
 from sparktab.operators import search as H
 from sparktab.operators.joins import model_columns
 from sparktab.operators.ranks import exact_quantiles
+from sparktab.session import materialize
 from suite.common import MODELS, PREDS, argmax_sql, preds, query, r, rounded
 
 NAMES = list(MODELS)
@@ -17,11 +19,12 @@ BIASES = [b for b in product((-0.2, 0.0, 0.2), repeat=3)]
 
 
 def wide(spark, sf, models=tuple(MODELS)):
-    return model_columns(preds(spark, sf), list(models), keep=["y", "fold"]).cache()
+    return materialize(model_columns(preds(spark, sf), list(models), keep=["y", "fold"]), "wide")
 
 
 def best(spark, sf):
-    return preds(spark, sf).where("model = 'm2'").select("id", "y", "fold", "p")
+    """Predictions of one model, written once because searches read them every generation."""
+    return materialize(preds(spark, sf).where("model = 'm2'").select("id", "y", "fold", "p"), "best")
 
 
 def _values(rows, names: str) -> str:
@@ -172,9 +175,32 @@ def _weights(spark, rows):
     return rounded(spark.createDataFrame(rows, "kind string, model string, weight double, score double"))
 
 
-@query("h5_hill_climb")
+def _climb_sql(steps: int) -> str:
+    """The greedy selection unrolled; a step without a gain repeats the state."""
+    out = [f"WITH {PREDS}, {_PIV}, b0 AS (SELECT 0 AS c0, 0 AS c1, 0 AS c2, 0 AS c3, -1e0 AS score)"]
+    for t in range(1, steps + 1):
+        grown = ", ".join(f"c{i} + CAST(m = {i} AS INTEGER) AS c{i}" for i in range(4))
+        mix = [
+            "round((" + " + ".join(f"c{i} * {m}_{c}" for i, m in enumerate(MODELS)) + ") / (c0 + c1 + c2 + c3), 12)"
+            for c in range(3)
+        ]
+        out.append(
+            f"t{t} AS (SELECT m, {grown}, score AS old FROM b{t - 1}, (VALUES (0), (1), (2), (3)) AS v(m)), "
+            f"s{t} AS (SELECT m, c0, c1, c2, c3, old, y, avg(CAST({argmax_sql(mix)} = y AS INTEGER)) AS rec FROM w, t{t} GROUP BY ALL), "
+            f"r{t} AS (SELECT m, c0, c1, c2, c3, old, round(avg(rec), 12) AS score FROM s{t} GROUP BY ALL), "
+            f"g{t} AS (SELECT * FROM r{t} WHERE score > old ORDER BY score DESC, m LIMIT 1), "
+            f"b{t} AS (SELECT c0, c1, c2, c3, score FROM g{t} UNION ALL SELECT * FROM b{t - 1} WHERE NOT EXISTS (SELECT * FROM g{t}))"
+        )
+    last = " UNION ALL ".join(
+        f"SELECT 'hill' AS kind, '{m}' AS model, {r(f'c{i} / (c0 + c1 + c2 + c3)', 'weight')}, {r('score', 'score', 4)} FROM b{steps}"
+        for i, m in enumerate(MODELS))
+    return ", ".join(out) + " " + last
+
+
+@query("h5_hill_climb", _climb_sql(5))
 def h5(spark, sf):
-    weights, score = H.hill_climb(wide(spark, sf), NAMES, "y", 3, 10)
+    weights, score = H.hill_climb(wide(spark, sf), NAMES, "y", 3, 5)
+    score = math.floor(score * 1e4 + 0.5) / 1e4
     return _weights(spark, [("hill", m, float(w), score) for m, w in zip(NAMES, weights)])
 
 
@@ -196,7 +222,7 @@ def h7(spark, sf):
 
 @query("h8_compare_rules")
 def h8(spark, sf):
-    table = H.compare_rules(best(spark, sf).cache(), "p", "y", 3, ["bias", "temperature"], generations=2, population=12)
+    table = H.compare_rules(best(spark, sf), "p", "y", 3, ["bias", "temperature"], generations=2, population=12)
     return rounded(spark.createDataFrame(table))
 
 
