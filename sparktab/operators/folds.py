@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sparktab.functions.exprs import hash_text
 from sparktab.operators.ranks import hash_rank, value_rank
-from sparktab.operators.joins import lookup
 
 
 def stratified_folds(
@@ -52,10 +51,10 @@ def lowest_hashes(df: DataFrame, by: Sequence[str], key: str, seed: int, take: D
     """The ``take`` rows with the smallest hash per group, exactly.
 
     ``take`` has the ``by`` columns and ``__take``. Hash-prefix counts show in which prefix
-    the cut falls; rows below it are kept and rows above it dropped unsorted, so only the
-    rows of one prefix per group are ranked.
+    the cut falls. Rows of later prefixes are dropped before any shuffle by a join with that
+    small table (at most 4,096 rows per group), so only about ``take`` rows are ranked.
     """
-    digits = 4
+    digits = 3
     by = list(by)
     hashed = df.withColumn("__h", hash_text(key, seed)).withColumn(
         "__b", F.substring("__h", 1, digits)
@@ -66,18 +65,11 @@ def lowest_hashes(df: DataFrame, by: Sequence[str], key: str, seed: int, take: D
         counts.withColumn("__upto", upto)
         .join(take, by)
         .where(F.col("__upto") - F.col("__n") < F.col("__take"))
-        .select(
-            *by, "__b",
-            F.least("__n", F.col("__take") - (F.col("__upto") - F.col("__n"))).alias("__need"),
-            "__n",
-        )
+        .select(*by, "__b", (F.col("__take") - (F.col("__upto") - F.col("__n"))).alias("__need"))
     )
-    joined = hashed.join(need, [*by, "__b"])
-    whole = joined.where(F.col("__need") == F.col("__n"))
-    cut = joined.where(F.col("__need") < F.col("__n"))
     place = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__h", key))
-    cut = cut.withColumn("__k", place).where(F.col("__k") <= F.col("__need")).drop("__k")
-    return whole.unionByName(cut).select(*df.columns)
+    ranked = hashed.join(need, [*by, "__b"]).withColumn("__k", place)
+    return ranked.where(F.col("__k") <= F.col("__need")).select(*df.columns)
 
 
 def stratified_sample(df: DataFrame, key: str, y: str, n: int, seed: int) -> DataFrame:
@@ -165,22 +157,35 @@ def bootstrap_members(spark, models: Sequence[str], bags: int, seed: int) -> Dat
 def swap_noise(df: DataFrame, key: str, cols: Sequence[str], p: float, seed: int) -> DataFrame:
     """With probability ``p`` replace a cell by the same column's value in another row.
 
-    The donor of the row with rank r is the row with rank r+1 in a hashed order of the
-    keys (the last takes the first), a different order per column.
+    The donor is the next row in a hashed order of the keys (the last takes the first), a
+    different order per column. The next row is found inside the hash prefix; the last row of
+    a prefix takes the first of the following one, from a table of at most 4,096 rows. One
+    shuffle per column.
     """
     limit = int(p * 16**7)
-    n = df.count()
     out = df
     for i, c in enumerate(cols):
-        ranked = hash_rank(df.select(key, c), [], key, seed + 2 * i, "__rank")
-        donors = ranked.select(
-            F.when(F.col("__rank") == 1, n).otherwise(F.col("__rank") - 1).alias("__rank"),
-            F.col(c).alias("__donor"),
+        hashed = out.withColumn("__h", hash_text(key, seed + 2 * i)).withColumn(
+            "__b", F.substring("__h", 1, 3)
+        )
+        heads = hashed.groupBy("__b").agg(
+            F.min_by(F.struct(c), F.struct("__h", key)).alias("__head")
         )
+        every = Window.orderBy("__b")
+        following = heads.select(
+            "__b",
+            F.coalesce(
+                F.lead("__head").over(every),
+                F.first("__head").over(every.rowsBetween(Window.unboundedPreceding, 0)),
+            ).alias("__next"),
+        )
+        inside = F.lead(F.struct(c)).over(Window.partitionBy("__b").orderBy("__h", key))
         drawn = F.conv(F.substring(hash_text(key, seed + 2 * i + 1), 1, 7), 16, 10).cast("long")
-        takers = ranked.where(drawn < limit).select(key, "__rank")
-        swaps = takers.join(donors, "__rank").select(key, "__donor", F.lit(True).alias("__hit"))
-        out = lookup(out, swaps, key).withColumn(
-            c, F.when(F.col("__hit"), F.col("__donor")).otherwise(F.col(c))
-        ).drop("__donor", "__hit")
-    return out.select(*df.columns)
+        donor = F.coalesce(F.col("__inside"), F.col("__next"))[c]
+        out = (
+            hashed.withColumn("__inside", inside)
+            .join(following, "__b", "left")
+            .withColumn(c, F.when(drawn < limit, donor).otherwise(F.col(c)))
+            .select(*df.columns)
+        )
+    return out

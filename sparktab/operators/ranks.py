@@ -152,6 +152,11 @@ def value_rank(
     A value shared by very many rows is spread over hash sub-buckets.
     """
     points = split_points(df, value, rows_per_bucket)
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    if not points:
+        # The whole frame fits one bucket.
+        whole = Window.partitionBy(*by).orderBy(order, hash_text(key, seed), key)
+        return df.withColumn(out, F.row_number().over(whole).cast("long"))
     placed = range_bucket(df, value, points, "__r")
     placed = placed.withColumn("__h", hash_text(key, seed))
     if descending:
@@ -159,7 +164,6 @@ def value_rank(
     placed = placed.withColumn(
         "__s", F.when(F.col("__r") % 2 != 0, F.substring("__h", 1, 4)).otherwise("")
     )
-    order = F.col(value).desc() if descending else F.col(value).asc()
     return running_sums(
         placed, by, ["__r", "__s"], [order, F.col("__h"), F.col(key)], {out: F.lit(1)}
     ).drop("__r", "__s", "__h")

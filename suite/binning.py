@@ -29,13 +29,13 @@ _TRIM = "list_sort(list_distinct({q}))[2:-2]"
       CASE WHEN alpha BETWEEN la AND ha THEN {' + '.join(f'CAST(la + (ha - la) * {i} / 20 < alpha AS INTEGER)' for i in range(1, 20))} END AS a,
       CASE WHEN delta BETWEEN ld AND hd THEN {' + '.join(f'CAST(ld + (hd - ld) * {i} / 20 < delta AS INTEGER)' for i in range(1, 20))} END AS d
       FROM photo, e)
-    SELECT id, a AS alpha_bin, d AS delta_bin, a * 20 + d AS cell FROM b""",
+    SELECT id, coalesce(a, -1) AS alpha_bin, coalesce(d, -1) AS delta_bin, coalesce(a * 20 + d, -1) AS cell FROM b""",
 )
 def b1(spark, sf):
     ph = photo(spark, sf).select("id", "alpha", "delta", "source")
     fitted = B.EqualWidthBinner(["alpha", "delta"], 20).fit(ph.where("source = 'train'"))
     out = fitted.cell(fitted.transform(ph), "alpha", "delta", "cell")
-    return out.drop("alpha", "delta", "source")
+    return out.drop("alpha", "delta", "source").fillna(-1)
 
 
 @query(
