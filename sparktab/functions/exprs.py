@@ -9,9 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def is_finite(c: Column) -> Column:
+    """True for finite numbers, else false or null."""
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+
+
 def finite(c: Column) -> Column:
     """Null unless ``c`` is a finite number."""
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    return F.when(is_finite(c), c)
 
 
 def clip(c: Column, lo: float | None, hi: float | None) -> Column:

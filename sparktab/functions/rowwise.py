@@ -116,15 +116,17 @@ def row_slope_curvature(
     return df.withColumns(new)
 
 
-def mag_to_flux(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``10^(-0.4 m)`` with ``m`` clipped to ±30, its log1p, and adjacent flux ratios."""
+def mag_to_flux(df: DataFrame, cols: Sequence[str], stats: bool = False) -> DataFrame:
+    """``10^(-0.4 m)`` with ``m`` clipped to ±30, its log1p, adjacent flux ratios, and row
+    statistics of the fluxes on request."""
     flux = {f"flux_{c}": F.pow(F.lit(10.0), -0.4 * clip(F.col(c), -30, 30)) for c in cols}
     df = df.withColumns(flux)
     new = {f"log1p_flux_{c}": F.log1p(F.col(f"flux_{c}")) for c in cols}
     for a, b in zip(cols, cols[1:]):
         new[f"flux_ratio_{a}_{b}"] = ratio(F.col(f"flux_{a}"), F.col(f"flux_{b}"), "abs", 1e-12)
         new[f"color_flux_{a}_{b}"] = F.exp(-MAG_LN * clip(F.col(a) - F.col(b), -20, 20))
-    return df.withColumns(new)
+    df = df.withColumns(new)
+    return row_stats(df, list(flux), "flux") if stats else df
 
 
 def signed_transforms(

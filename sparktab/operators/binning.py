@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.functions.exprs import edges_below, finite
+from sparktab.functions.exprs import edges_below, finite, is_finite
 from sparktab.operators.ranks import exact_quantiles, value_rank
 
 
@@ -35,7 +35,7 @@ class EqualWidthBinner:
 
     def code(self, col: str) -> Column:
         lo, hi = self.range[col]
-        value = finite(F.col(col))
+        value = F.col(col)
         inside = value.between(F.lit(lo), F.lit(hi))
         return F.when(inside, edges_below(value, self.edges(col), "right"))
 
@@ -84,15 +84,17 @@ class QuantileBinner:
         return sorted(set(points))[1:-1]
 
     def code(self, col: str, source: Column | None = None) -> Column:
-        value = finite(F.col(col) if source is None else source)
+        value = F.col(col) if source is None else source
         points = sorted(set(self.quantiles[col]))
         code = edges_below(value, self.edges(col), self.closed) + F.lit(self.offset)
         if self.outside is not None:
             if len(points) < 2:
-                code = F.when(value.isNotNull(), F.lit(self.outside))
+                code = F.lit(self.outside)
             else:
                 out = (value < F.lit(points[0])) | (value > F.lit(points[-1]))
                 code = F.when(out, F.lit(self.outside)).otherwise(code)
+        # One guard around the tree instead of one per comparison.
+        code = F.when(is_finite(value), code)
         if self.missing is not None:
             code = F.coalesce(code, F.lit(self.missing))
         return code.cast("int")
@@ -131,9 +133,9 @@ def fold_quantile_codes(
         for f in range(k):
             at = dict(zip(together, found[f"f{f}"]))
             edges = sorted({at[p] for p in probs[q]}) if at else []
-            own = edges_below(finite(F.col(col)), edges, "left") + 1
+            own = edges_below(F.col(col), edges, "left") + 1
             code = F.when(F.col(fold) == f, own).otherwise(code)
-        new[f"{col}_q{q}"] = F.coalesce(code, F.lit(0)).cast("int")
+        new[f"{col}_q{q}"] = F.when(is_finite(F.col(col)), code).otherwise(0).cast("int")
     return df.withColumns(new)
 
 

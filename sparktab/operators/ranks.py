@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktab.functions.exprs import edges_below, finite, hash_text, number_array
+from sparktab.functions.exprs import edges_below, finite, hash_text, is_finite, number_array
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUILTIN_PROBS = 20
@@ -105,7 +105,7 @@ def split_points(
     They come from a sample, which is enough: they steer balance, never the answer.
     Their number is rows / rows_per_bucket, about 8 MB for 2e12 rows.
     """
-    col = finite(F.col(value))
+    col = F.col(value)
     n = df.select(F.count(col)).first()[0] if n_rows is None else n_rows
     wanted = math.ceil(n / rows_per_bucket)
     if wanted < 2:
@@ -116,7 +116,7 @@ def split_points(
     points = probe.select(
         F.percentile_approx(col, [float(p) for p in probs], F.lit(max(10_000, 10 * wanted)))
     ).first()[0]
-    return sorted(set(points or []))
+    return sorted({p for p in points or [] if math.isfinite(p)})
 
 
 def range_bucket(df: DataFrame, value: str, points: Sequence[float], out: str) -> DataFrame:
@@ -205,14 +205,16 @@ def exact_quantiles(
         found.update({c: list(row[c]) if row[c] is not None else [] for c in small})
     for c in cols:
         if c not in found:
-            found[c] = _bucketed_quantiles(clean, c, counts[c], probs, rows_per_bucket)
+            found[c] = _bucketed_quantiles(df, c, counts[c], probs, rows_per_bucket)
     return found
 
 
 def _bucketed_quantiles(
     df: DataFrame, col: str, n: int, probs: Sequence[float], rows_per_bucket: int
 ) -> list[float]:
-    rows = df.select(col).where(F.col(col).isNotNull())
+    # A filter, not a guarded column: the guard would be repeated at every node of the tree.
+    x = F.col(col)
+    rows = df.select(x.cast("double").alias(col)).where(is_finite(x))
     points = split_points(rows, col, rows_per_bucket, n)
     placed = range_bucket(rows, col, points, "__r")
     # One row per bucket: bounded by 2 * n / rows_per_bucket.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sparktab.operators.folds import stratified_folds
@@ -13,7 +14,7 @@ from sparktab.plans.recipes import FeatureRecipe
 from sparktab.session import materialize, scratch_path, spread
 from sparktab.sources.predictions import read_preds
 from sparktab.sources.records import flatten_experiments, read_experiments
-from suite.common import BANDS, PHOTO, photo, preds, query, r, rounded, table
+from suite.common import BANDS, PHOTO, PREDS, photo, preds, query, r, rounded, table
 from suite.search import NAMES
 
 COLS = [*BANDS, "redshift"]
@@ -153,6 +154,37 @@ def meta(spark, sf):
     return materialize(rows, "meta")
 
 
+_PIVOT = ", ".join(
+    f"max(CASE WHEN model = '{m}' THEN p{c} END) AS {m}_{c}" for m in NAMES for c in range(3))
+
+
+def _clipped(x: str, lo: str, hi: str) -> str:
+    return f"least(greatest({x}, {lo}), {hi})"
+
+
+def _as_logit(x: str) -> str:
+    c = _clipped(x, "1e-7", "1e0 - 1e-7")
+    return _clipped(f"ln({c} / (1 - {c}))", "-30e0", "30e0")
+
+
+@query(
+    "t11_meta_frame",
+    f"""WITH {PREDS}, w AS (SELECT id, y, fold, {_PIVOT} FROM preds GROUP BY id, y, fold)
+    SELECT id, y, fold, {', '.join(r(_as_logit(f'{m}_{c}'), f'logit_{m}_{c}') for m in NAMES for c in range(3))},
+      {', '.join(r(f'ln({m}_{c})', f'log_{m}_{c}') for m in NAMES[:2] for c in range(3))} FROM w""",
+)
+def t11_frame(spark, sf):
+    """The meta features of every row: logits of all models, log probabilities of two."""
+    p = preds(spark, sf)
+    logits = Q.meta_frame(p, NAMES, 3, "logit").withColumn("a", vector_to_array("features"))
+    logs = Q.meta_frame(p, NAMES[:2], 3, "log").withColumn("b", vector_to_array("features"))
+    both = logits.join(logs.select("id", "b"), "id")
+    return rounded(both.select(
+        "id", "y", "fold",
+        *[F.col("a")[3 * i + c].alias(f"logit_{m}_{c}") for i, m in enumerate(NAMES) for c in range(3)],
+        *[F.col("b")[3 * i + c].alias(f"log_{m}_{c}") for i, m in enumerate(NAMES[:2]) for c in range(3)]))
+
+
 @query("t12_nested_cv")
 def t12(spark, sf):
     labels = Q.nested_cv(meta(spark, sf), _logistic, 3, "bias", inner=2, **_QUICK)

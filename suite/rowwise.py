@@ -115,14 +115,17 @@ def _flux(b: str) -> str:
 @query(
     "p6_mag_to_flux",
     _photo("id, " + ", ".join(
-        [r(f"{_flux(b)} * 1e9", f"flux_{b}") for b in BANDS]
+        [r(f"greatest({', '.join(_flux(b) for b in BANDS)}) * 1e9", "flux_max"), r(f"({' + '.join(_flux(b) for b in BANDS)}) * 1e9", "flux_sum", 3)]
+        + [r(f"{_flux(b)} * 1e9", f"flux_{b}") for b in BANDS]
         + [r(f"ln(1 + {_flux(b)}) * 1e9", f"log1p_flux_{b}", 1) for b in BANDS]
         + [r(f"{_flux(a)} / (abs({_flux(b)}) + 1e-12)", f"flux_ratio_{a}_{b}") for a, b in zip(BANDS, BANDS[1:])]
         + [r(f"exp(-921034e-6 * least(greatest({a} - {b}, -20e0), 20e0))", f"color_flux_{a}_{b}") for a, b in zip(BANDS, BANDS[1:])])),
 )
 def p6(spark, sf):
-    df = R.mag_to_flux(photo(spark, sf).select("id", *BANDS), BANDS).drop(*BANDS)
-    df = df.withColumns({f"flux_{b}": F.col(f"flux_{b}") * 1e9 for b in BANDS})
+    df = R.mag_to_flux(photo(spark, sf).select("id", *BANDS), BANDS, stats=True).drop(*BANDS)
+    df = df.drop("flux_mean", "flux_std", "flux_min", "flux_range", "flux_median", "flux_argmin", "flux_argmax")
+    df = df.withColumns({f"flux_{b}": F.col(f"flux_{b}") * 1e9 for b in [*BANDS, "max"]})
+    df = df.withColumn("flux_sum", F.floor(F.col("flux_sum") * 1e9 * 1e3 + 0.5) / 1e3)
     logs = [f"log1p_flux_{b}" for b in BANDS]
     df = df.withColumns({c: F.floor(F.col(c) * 1e9 * 10.0 + 0.5) / 10.0 for c in logs})
     return rounded(df)

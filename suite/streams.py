@@ -43,12 +43,12 @@ def x1(spark, sf):
     "x2_watch_experiments",
     f"""WITH w AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM events),
     d AS (SELECT date_trunc('day', ts) AS start, event_type, value FROM events)
-    SELECT start, event_type, count(*) AS n, {r('avg(value)', 'mean_score')}, {r('min(value)', 'min_score')}, {r('max(value)', 'max_score')}
-    FROM d WHERE start + INTERVAL 1 DAY <= (SELECT mark FROM w) GROUP BY start, event_type""",
+    SELECT strftime(d.start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, {r('avg(value)', 'mean_score')}, {r('min(value)', 'min_score')}, {r('max(value)', 'max_score')}
+    FROM d WHERE d.start + INTERVAL 1 DAY <= (SELECT mark FROM w) GROUP BY d.start, event_type""",
 )
 def x2(spark, sf):
     """Every row arrives twice; windows are emitted once the watermark passes their end."""
     twice = _stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     watched = X.watch_experiments(twice, "ts", "event_id", "value", "event_type")
     out = X.run_to_table(watched, "watched")
-    return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")))
+    return rounded(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
