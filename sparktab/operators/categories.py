@@ -95,12 +95,40 @@ def cardinality(df: DataFrame, cols: Sequence[str], approximate: bool = False) -
     )
 
 
+# Name families of encodable categories: exact names, endings, parts (fixed values).
+FAMILIES = {
+    "core": (
+        (
+            "spectral_type", "galaxy_population", "spectral_type_calc", "galaxy_population_calc",
+            "spectral_x_pop", "spectral_calc_x_pop_calc",
+        ),
+        ("_qbin16", "_qbin64"),
+        ("_rkey", "__x__"),
+    ),
+    "qbin16": (
+        ("spectral_type", "galaxy_population", "spectral_type_calc", "galaxy_population_calc"),
+        ("_qbin16",),
+        (),
+    ),
+}
+
+
+def in_family(name: str, family: str | None) -> bool:
+    """A named family, or any other text as a prefix; None takes every column."""
+    if family is None:
+        return True
+    if family not in FAMILIES:
+        return name.startswith(family)
+    names, endings, inner = FAMILIES[family]
+    return name in names or name.endswith(endings) or any(p in name for p in inner)
+
+
 def cardinality_select(
     df: DataFrame, cols: Sequence[str], max_card: int, family: str | None = None,
     approximate: bool = False,
 ) -> list[str]:
-    """Columns of a name family (prefix) with at most ``max_card`` distinct values."""
-    picked = [c for c in cols if family is None or c.startswith(family)]
+    """Columns of a name family with at most ``max_card`` distinct values."""
+    picked = [c for c in cols if c in df.columns and in_family(c, family)]
     if not picked:
         return []
     rows = cardinality(df, picked, approximate).where(F.col("n_distinct") <= max_card).collect()

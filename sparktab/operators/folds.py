@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktab.functions.exprs import hash_text
+from sparktab.operators.encoders import class_weights
 from sparktab.operators.ranks import hash_rank, value_rank
 
 
@@ -99,30 +100,28 @@ def fit_pool(
     pseudo: DataFrame | None = None,
     pseudo_weight: float = 0.1,
     fold_col: str = "fold",
+    balanced: bool = True,
 ) -> DataFrame:
     """Rows a model of fold ``fold`` may learn from, with weights.
 
     Other folds, pseudo-labelled rows and auxiliary rows are pooled; class-balanced
-    weights come from the pooled labels and are then scaled by source. Auxiliary and
-    pseudo rows never take part in validation.
+    weights come from the pooled labels and are then scaled by source (``balanced=False``
+    leaves the class part to the learner). Auxiliary and pseudo rows never take part in
+    validation.
     """
     pool = train.where(F.col(fold_col) != fold).withColumn("source", F.lit("train"))
     if pseudo is not None:
         pool = pool.unionByName(pseudo.withColumn("source", F.lit("pseudo")), allowMissingColumns=True)
     if aux is not None:
         pool = pool.unionByName(aux.withColumn("source", F.lit("aux")), allowMissingColumns=True)
-    # One row per class: classes are a fixed, small domain.
-    sizes = {r[0]: r[1] for r in pool.groupBy(y).agg(F.count(F.lit(1))).collect()}
-    n, k = sum(sizes.values()), len(sizes)
-    weight = F.lit(None).cast("double")
-    for label, size in sizes.items():
-        weight = F.when(F.col(y) == F.lit(label), n / (k * size)).otherwise(weight)
     scale = (
         F.when(F.col("source") == "aux", aux_weight)
         .when(F.col("source") == "pseudo", pseudo_weight)
         .otherwise(1.0)
     )
-    return pool.withColumn("w", weight * scale)
+    if not balanced:
+        return pool.withColumn("w", scale)
+    return class_weights(pool, y, out="w").withColumn("w", F.col("w") * scale)
 
 
 def confident_rows(

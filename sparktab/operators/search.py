@@ -439,7 +439,7 @@ def bagged_climb(
     wide: DataFrame, models: Sequence[str], y: str, k: int, bags: int = 20, iters: int = 30, seed: int = 42
 ) -> list[float]:
     """Hill climbs on bootstrapped model lists, their counts added up and normalized."""
-    climbers = {b: (sorted(lst), None) for b, lst in enumerate(bag_lists(len(models), bags, seed))}
+    climbers = {b: (lst, None) for b, lst in enumerate(bag_lists(len(models), bags, seed))}
     found = climb_together(wide, models, y, k, climbers, iters)
     return _as_weights([c for c, _ in found.values()], len(models))
 
@@ -452,7 +452,7 @@ def nested_climb(
     naive score of weights chosen on everything."""
     folds = sorted(r[0] for r in wide.select(fold).distinct().collect())
     lists = bag_lists(len(models), bags, seed)
-    climbers = {(v, b): (sorted(lst), v) for v in (None, *folds) for b, lst in enumerate(lists)}
+    climbers = {(v, b): (lst, v) for v in (None, *folds) for b, lst in enumerate(lists)}
     found = climb_together(wide, models, y, k, climbers, iters, fold)
     weights = {
         v: _as_weights([found[(v, b)][0] for b in range(bags)], len(models)) for v in (None, *folds)

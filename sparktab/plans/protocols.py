@@ -29,7 +29,7 @@ def fold_numbers(df: DataFrame, fold: str = "fold") -> list[int]:
 def oof_predict(
     df: DataFrame, learner, k: int, model: str, test: DataFrame | None = None,
     test_mode: str = "average", pool: Callable[[DataFrame, int], DataFrame] | None = None,
-    fold: str = "fold", threads: int = 2, seed: int = 42,
+    fold: str = "fold", threads: int = 4, seed: int = 42,
     metric: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Predictions for every row by a model that never saw its fold.
@@ -250,13 +250,14 @@ def pseudo_label_train(
         if external is not None:
             marked = test.join(external.select("id", "y"), "id")
         else:
-            first = learner.fit(train.where(F.col(fold) != f))
+            known = fit_pool(train, f, "y", aux, aux_weight, fold_col=fold, balanced=False)
+            first = learner.fit(known.select("id", "features", "y", "w"))
             scored = materialize(first.proba(test).select("id", "features", "p"), "scored")
             sure = confident_rows(scored, "id", "p", k, threshold, cap)
             marked = sure.select("id", "features", F.col("label").alias("y"))
         marked = materialize(marked.select("id", "features", "y"), "pseudo")
         pool = fit_pool(
-            train, f, "y", aux, aux_weight, marked, pseudo_weight, fold
+            train, f, "y", aux, aux_weight, marked, pseudo_weight, fold, balanced=False
         )
         second = learner.fit(pool.select("id", "features", "y", "w"))
         part = second.proba(train.where(F.col(fold) == f)).select("id", "y", fold, "p")

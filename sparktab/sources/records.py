@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,16 +75,25 @@ def flatten_experiments(df: DataFrame) -> DataFrame:
     )
 
 
-def log_line(col: str = "value"):
+def log_line(col: str | Column = "value") -> Column:
     """The ``data`` field of a JSON line, else the raw line."""
-    value = F.col(col)
+    value = F.col(col) if isinstance(col, str) else col
     trimmed = F.regexp_replace(F.trim(value), r"^\[|^,|,$|\]$", "")
     return F.coalesce(F.get_json_object(trimmed, "$.data"), value)
 
 
+def log_lines(col: str = "value") -> Column:
+    """All entries of one line: a JSON list gives one per member, anything else gives one."""
+    value = F.trim(col)
+    members = F.from_json(value, "array<string>")
+    listed = value.startswith("[") & value.endswith("]") & (F.size(members) > 0)
+    entries = F.transform(members, lambda m: F.coalesce(F.get_json_object(m, "$.data"), m))
+    return F.when(listed, entries).otherwise(F.array(log_line(col)))
+
+
 def read_mixed_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON console streams, JSON lines and plain text in one reader, one row per line."""
+    """JSON console streams, JSON lines and plain text in one reader, one row per entry."""
     lines = spark.read.text(path)
-    return lines.select(F.input_file_name().alias("file"), log_line("value").alias("line")).where(
-        F.trim("line") != ""
-    )
+    return lines.select(
+        F.input_file_name().alias("file"), F.explode(log_lines()).alias("line")
+    ).where(F.trim("line") != "")

@@ -214,17 +214,24 @@ def s14(spark, sf):
 
 @query(
     "s15_read_mixed_log",
-    """SELECT 'event ' || event_id || ' ' || event_type AS line FROM events""",
+    """SELECT 'event ' || event_id || ' ' || event_type AS line FROM events
+    UNION ALL SELECT '[' || event_id || '] not json' FROM events WHERE event_id % 6 = 4
+    UNION ALL SELECT 'after ' || event_id FROM events WHERE event_id % 6 = 5""",
 )
 def s15(spark, sf):
-    """JSON lines with and without a stream name, JSON list members and plain text."""
+    """JSON lines, list members over several lines, whole lists, plain and bracketed text."""
     path = scratch_path(spark, "log")
     text = F.concat(F.lit("event "), "event_id", F.lit(" "), "event_type")
     plain = F.to_json(F.struct(text.alias("data")))
     named = F.to_json(F.struct(F.lit("stdout").alias("stream_name"), text.alias("data")))
-    k = F.col("event_id") % 4
-    line = F.when(k == 0, plain).when(k == 1, named).when(k == 2, F.concat(F.lit(","), plain)).otherwise(text)
-    table(spark, sf, "events").select(line.alias("value")).write.text(path)
+    after = F.to_json(F.struct(F.concat(F.lit("after "), "event_id").alias("data")))
+    listed = F.concat(F.lit("["), named, F.lit(", "), after, F.lit("]"))
+    k = F.col("event_id") % 6
+    line = (F.when(k == 0, plain).when(k == 1, named).when(k == 2, F.concat(F.lit(","), plain))
+            .when(k == 5, listed).otherwise(text))
+    extra = F.when(k == 4, F.concat(F.lit("["), "event_id", F.lit("] not json")))
+    rows = F.explode(F.filter(F.array(line, extra), lambda x: x.isNotNull()))
+    table(spark, sf, "events").select(rows.alias("value")).write.text(path)
     return R.read_mixed_log(spark, path).select("line")
 
 
