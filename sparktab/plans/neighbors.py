@@ -25,14 +25,19 @@ def _pivots(ref: DataFrame, features: str, n: int, wanted: int) -> np.ndarray:
     return np.unique(np.array(rows, dtype="float64"), axis=0)
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances; differences are formed directly, so equal rows give exactly 0."""
-    out = np.empty((len(x), len(y)))
-    step = max(1, 8_000_000 // max(1, len(y) * x.shape[1]))
-    for s in range(0, len(x), step):
-        diff = x[s : s + step, None, :] - y[None, :, :]
-        out[s : s + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-    return out
+def _distance_function():
+    """Made inside a function, so that it travels to the workers with the code that uses it."""
+
+    def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Euclidean; differences are formed directly, so equal rows give exactly 0."""
+        out = np.empty((len(x), len(y)))
+        step = max(1, 8_000_000 // max(1, len(y) * x.shape[1]))
+        for s in range(0, len(x), step):
+            diff = x[s : s + step, None, :] - y[None, :, :]
+            out[s : s + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+        return out
+
+    return distances
 
 
 def nearest(
@@ -40,13 +45,14 @@ def nearest(
     block_rows: int = 20_000, max_pivots: int = 256,
 ) -> DataFrame:
     """``(key, ref_key, y, distance)``: the k nearest reference rows, ties by reference key."""
+    distances = _distance_function()
     n = ref.count()
     centres = _pivots(ref, features, n, max(1, min(max_pivots, n // 50)))
     m = len(centres)
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            d = _distances(np.stack(pdf[features].to_numpy()).astype("float64"), centres)
+            d = distances(np.stack(pdf[features].to_numpy()).astype("float64"), centres)
             yield pdf.assign(cell=d.argmin(1).astype("int32"), radius=d.min(1))
 
     shape = f"`{key}` long, `{y}` int, `{features}` array<double>, cell int, radius double"
@@ -69,12 +75,12 @@ def nearest(
     blocks[summary.index] = -(-summary["n"].to_numpy() // block_rows)
     owner = np.repeat(summary.index.to_numpy(), summary["near"].map(len).to_numpy())
     reach = np.concatenate(summary["near"].to_numpy())
-    between = _distances(centres, centres)
+    between = distances(centres, centres)
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = np.stack(pdf[features].to_numpy()).astype("float64")
-            d = _distances(x, centres)
+            d = distances(x, centres)
             upper = d[:, owner] + reach[None, :]
             take = min(k, upper.shape[1]) - 1
             bound = np.partition(upper, take, axis=1)[:, take] * (1 + 1e-9) + 1e-12
@@ -122,7 +128,7 @@ def nearest(
         right = right.sort_values(key, ignore_index=True)
         ids, labels = right[key].to_numpy(), right[y].to_numpy()
         points = np.stack(right[features].to_numpy())
-        d = _distances(np.stack(left[features].to_numpy()), points)
+        d = distances(np.stack(left[features].to_numpy()), points)
         order = np.argsort(d, axis=1, kind="stable")[:, :k]
         width = order.shape[1]
         return pd.DataFrame(
