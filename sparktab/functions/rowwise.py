@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparktab.functions.exprs import clip, finite, total, weighted
 
 EPS = 1e-6
-# ln(10) * 0.4 as the reference rounds it (fixed value).
+# ln(10) * 0.4, rounded to six digits (fixed value).
 MAG_LN = 0.921034
 
 

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktab.functions.codes import cross, token
 from sparktab.operators.joins import lookup
-from sparktab.operators.ranks import running_sums
+from sparktab.operators.ranks import (
+    ROWS_PER_BUCKET,
+    range_bucket,
+    running_sums,
+    split_points,
+    text_bucket,
+    text_points,
+)
+from sparktab.session import materialize
 
 
 def _union(frames: Sequence[DataFrame], col: str) -> DataFrame:
@@ -19,14 +27,22 @@ def _union(frames: Sequence[DataFrame], col: str) -> DataFrame:
     return out
 
 
-def sorted_vocabulary(frames: Sequence[DataFrame], col: str, out: str = "code") -> DataFrame:
+def sorted_vocabulary(
+    frames: Sequence[DataFrame], col: str, out: str = "code", rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """Distinct values of all frames with codes 0.. in sorted order.
 
-    The first two characters are the bucket of the running count, so a vocabulary of any
-    size is numbered without sorting it on one task.
+    The values are written once. Up to one bucket they are numbered directly; beyond it they
+    are cut into even text ranges, each numbered on its own.
     """
-    values = _union(frames, col).distinct().withColumn("__b", F.substring(col, 1, 2))
-    return running_sums(values, [], ["__b"], [col], {out: F.lit(1)}).select(
+    values = materialize(_union(frames, col).distinct(), "vocabulary")
+    n = values.count()
+    if n <= rows_per_bucket:
+        place = F.row_number().over(Window.orderBy(col)).cast("long")
+        return values.select(col, (place - 1).alias(out))
+    points = text_points(values, col, n, rows_per_bucket)
+    placed = values.withColumn("__b", text_bucket(col, points))
+    return running_sums(placed, [], ["__b"], [col], {out: F.lit(1)}).select(
         col, (F.col(out) - 1).alias(out)
     )
 
@@ -45,34 +61,59 @@ def apply_codes(df: DataFrame, vocab: DataFrame, col: str, out: str, unknown: in
     return lookup(keyed, vocab.withColumnRenamed(col, "__t"), "__t", {out: unknown}).drop("__t")
 
 
-def factorize(fit: DataFrame, apply: DataFrame, col: str, key: str, out: str | None = None) -> DataFrame:
+def factorize(
+    fit: DataFrame, apply: DataFrame, col: str, key: str, out: str | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
     """Codes by first appearance (smallest key) in ``fit``; unseen values and nulls -1."""
     out = out or f"{col}_code"
-    firsts = fit.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(key).alias("__first"))
-    span = firsts.agg(F.min("__first"), F.max("__first")).first()
-    lo, hi = (span[0] or 0), (span[1] or 0)
-    width = max(1, -(-(hi - lo + 1) // 4096))
-    placed = firsts.withColumn("__b", F.floor((F.col("__first") - F.lit(lo)) / F.lit(width)))
-    codes = running_sums(placed, [], ["__b"], ["__first"], {out: F.lit(1)}).select(
-        col, (F.col(out) - 1).alias(out)
+    firsts = materialize(
+        fit.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(key).alias("__first")), "firsts"
     )
+    n = firsts.count()
+    if n <= rows_per_bucket:
+        place = F.row_number().over(Window.orderBy("__first")).cast("long")
+        codes = firsts.select(col, (place - 1).alias(out))
+    else:
+        timed = firsts.withColumn("__v", F.col("__first").cast("double"))
+        placed = range_bucket(timed, "__v", split_points(timed, "__v", rows_per_bucket, n), "__b")
+        codes = running_sums(placed, [], ["__b"], ["__first"], {out: F.lit(1)}).select(
+            col, (F.col(out) - 1).alias(out)
+        )
     return lookup(apply, codes, col, {out: -1})
 
 
 def frequency_codes(
-    fit: DataFrame, apply: DataFrame, col: str, min_count: int, out: str | None = None
+    fit: DataFrame, apply: DataFrame, col: str, min_count: int, out: str | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Codes 1.. by falling count (ties by value); rare and unseen values 0."""
     out = out or f"{col}_freq_code"
-    counts = (
+    counts = materialize(
         fit.groupBy(token(F.col(col)).alias(col))
         .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") >= min_count)
-        # Equal counts share a bucket, cut further by the value's first two characters.
-        .withColumn("__down", -F.col("__n"))
-        .withColumn("__b", F.substring(col, 1, 2))
+        .where(F.col("__n") >= min_count),
+        "counts",
     )
-    ranked = running_sums(counts, [], ["__down", "__b"], [col], {out: F.lit(1)})
+    n = counts.count()
+    if n <= rows_per_bucket:
+        place = F.row_number().over(Window.orderBy(F.col("__n").desc(), col)).cast("long")
+        ranked = counts.select(col, place.alias(out))
+    else:
+        # Small counts hold most values: one bucket per count, cut into text ranges. Larger
+        # counts share logarithmic buckets, where the count itself orders the values.
+        points = text_points(counts, col, n, rows_per_bucket)
+        small = F.col("__n") < 64
+        placed = counts.withColumns(
+            {
+                "__down": F.when(small, -F.col("__n")).otherwise(
+                    -64 - F.floor(8 * F.log2(F.col("__n")))
+                ),
+                "__b": F.when(small, text_bucket(col, points)).otherwise(0),
+            }
+        )
+        order = [F.col("__n").desc(), col]
+        ranked = running_sums(placed, [], ["__down", "__b"], order, {out: F.lit(1)})
     return apply_codes(apply, ranked.select(col, out), col, out, 0)
 
 

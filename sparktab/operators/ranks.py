@@ -248,3 +248,28 @@ def _bucketed_quantiles(
         value_at[lo] + (value_at[hi] - value_at[lo]) * part if part else value_at[lo]
         for lo, hi, part in spots
     ]
+
+
+def text_points(df: DataFrame, col: str, n: int, rows_per_bucket: int) -> list[str]:
+    """Texts that cut ``col`` into about even ranges, from a sample; they steer balance only."""
+    wanted = math.ceil(n / rows_per_bucket)
+    if wanted < 2:
+        return []
+    fraction = min(1.0, max(20.0 * wanted, 2_000.0) / n)
+    probe = df.sample(fraction=fraction, seed=17) if fraction < 1 else df
+    found = sorted({r[0] for r in probe.select(col).collect() if r[0]}, key=lambda t: t.encode())
+    step = max(1, len(found) // wanted)
+    return found[step::step]
+
+
+def text_bucket(col: str, points: Sequence[str]) -> Column:
+    """Number of sorted ``points`` not above the text: a binary search over a constant array."""
+    if not points:
+        return F.lit(0)
+    table = F.array(*[F.lit(p) for p in points])
+    strides = [1 << i for i in reversed(range(len(points).bit_length()))]
+
+    def step(found: Column, stride: Column) -> Column:
+        return F.when(F.get(table, found + stride - 1) <= F.col(col), found + stride).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(x) for x in strides]), F.lit(0), step)

@@ -200,7 +200,7 @@ def multi_level(
 ) -> pd.DataFrame:
     """Naive and nested balanced accuracy for every level-2 model and decision rule.
 
-    As in the reference protocol the level-2 rule is fitted on the level-2 output of its own
+    By protocol the level-2 rule is fitted on the level-2 output of its own
     training block; only the outer fold is honest.
     """
     names = list(metas)

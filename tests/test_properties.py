@@ -219,6 +219,23 @@ def test_unknown_recipe():
         FeatureRecipe("no_such_set")
 
 
+@pytest.mark.parametrize("rows_per_bucket", [20, 10**6])
+def test_codes_do_not_depend_on_buckets(spark, rows_per_bucket):
+    df = spark.range(3000).select(
+        "id", F.concat(F.lit("user_é"), F.pmod(F.xxhash64("id"), F.pmod("id", F.lit(700)) + 1)).alias("c")
+    )
+    pdf = df.toPandas()
+    vocab = categories.sorted_vocabulary([df], "c", "code", rows_per_bucket).toPandas()
+    assert vocab.sort_values("c")["code"].tolist() == list(range(pdf["c"].nunique()))
+    got = categories.factorize(df, df, "c", "id", "code", rows_per_bucket).toPandas().sort_values("id")
+    assert (got["code"].to_numpy() == pd.factorize(pdf.sort_values("id")["c"])[0]).all()
+    freq = categories.frequency_codes(df, df, "c", 2, "code", rows_per_bucket).toPandas()
+    n = pdf["c"].value_counts()
+    order = sorted([v for v in n.index if n[v] >= 2], key=lambda v: (-n[v], v.encode()))
+    want = {v: i + 1 for i, v in enumerate(order)}
+    assert all(want.get(c, 0) == code for c, code in zip(freq["c"], freq["code"]))
+
+
 def test_families():
     names = ["spectral_type", "u_qbin16", "u_qbin64", "z_rkey4", "a__x__b", "u_floor"]
     assert [categories.in_family(n, "core") for n in names] == [True] * 5 + [False]
