@@ -15,7 +15,9 @@ cloudpickle.register_pickle_by_value(_package)
 
 def load_all() -> None:
     from sparktab.llm import (  # noqa: F401
+        bpe,
         shards,
+        warc,
     )
 
 
