@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktab.llm.common import fresh, query, run_starts, slices, table
-from sparktab.llm.words import Splitter, WordCodes
+from sparktab.llm.words import Splitter, WordCodes, character_kinds
 from sparktab.session import spread
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -104,8 +104,10 @@ class Model:
         return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n)
 
 
-def encode_texts(df: DataFrame, text: str, source: str, digests: bool = False) -> DataFrame:
-    """Every row with its ids (``ids``, array of int) and what they decode to (``decoded``).
+def encode_texts(
+    df: DataFrame, text: str, source: str, digests: bool = False, keep: list[str] | None = None
+) -> DataFrame:
+    """Every row (columns ``keep``; all, if None) with its ids (``ids``, array of int) and what they decode to (``decoded``).
 
     With ``digests`` the ids and the decoded text are given as their number and SHA-256 instead
     (``n_tokens``, ``ids_sha256``, ``decoded_sha256``), as decimal ids joined by one space and as
@@ -113,7 +115,8 @@ def encode_texts(df: DataFrame, text: str, source: str, digests: bool = False) -
     spelling, are replaced; all others are kept. Texts are encoded whole.
     """
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-    kept = [c for c in df.columns if c.lower() not in added]
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in added]
+    kinds = character_kinds()
     copy = fresh(df, "text_to_encode")
     types = ["long", "string", "string"] if digests else ["array<int>", "string"]
     plain = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(copy))
@@ -121,7 +124,7 @@ def encode_texts(df: DataFrame, text: str, source: str, digests: bool = False) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(source)
-        splitter, codes, known = Splitter(model.specials), WordCodes(model.encode), 0
+        splitter, codes, known = Splitter(model.specials, kinds), WordCodes(model.encode), 0
         shown = pa.array(model.tokens, pa.string())
         numbers = pa.array([str(i) for i in range(model.size)], pa.string())
         id_text = word_text = pa.array([], pa.string())
@@ -172,4 +175,4 @@ def vocabulary(path: str = VOCABULARY) -> str:
 @query("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_texts(spread(docs), "text", vocabulary(), digests=True)
+    return encode_texts(spread(docs), "text", vocabulary(), digests=True, keep=["doc_id"])

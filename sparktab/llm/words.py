@@ -10,6 +10,7 @@ import re
 import unicodedata
 
 import numpy as np
+from tokenizers import Regex, pre_tokenizers
 
 from sparktab.llm.common import mixed, run_starts
 
@@ -17,23 +18,37 @@ SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
 UNICODE = 0x110000
 
 
+def character_kinds() -> tuple[np.ndarray, np.ndarray]:
+    """(first code points, kinds) of runs of characters of one kind.
+
+    The kinds are asked of the tokenizers library, whose Unicode version may differ from Python's.
+    """
+    kind = np.full(UNICODE, OTHER, np.uint8)
+    # Surrogates can't occur in a text, so a space stands for them.
+    every = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, UNICODE)))
+    for pattern, value in ((r"\s+", SPACE), (r"[\p{L}]+", LETTER), (r"[\p{N}]+", NUMBER)):
+        split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        for _, (start, stop) in split.pre_tokenize_str(every):
+            kind[start:stop] = value
+    first = np.flatnonzero(run_starts(kind))
+    return first, kind[first]
+
+
 class Splitter:
     """Normalization and splitting of the word-level BPE files.
 
     Normalization composes characters (NFC) and lower-cases them one by one. Words are contractions,
     runs of letters, single digits, and runs of other characters; white space is dropped. Strings of
-    special tokens are cut out before anything else.
+    special tokens are cut out before anything else. ``kinds`` is what ``character_kinds`` gives.
     """
 
-    def __init__(self, specials: list[str]) -> None:
+    def __init__(self, specials: list[str], kinds: tuple[np.ndarray, np.ndarray]) -> None:
         self.specials = specials
         self.cut = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
-        kinds = {"L": LETTER, "N": NUMBER, "Z": SPACE}
-        categories = (unicodedata.category(chr(c))[0] for c in range(UNICODE))
-        self.kind = np.fromiter((kinds.get(c, OTHER) for c in categories), np.uint8, UNICODE)
+        first, kind = kinds
+        self.kind = np.repeat(kind, np.diff(np.append(first, UNICODE)))
         self.kind = np.append(self.kind, np.full(len(specials), SPECIAL, np.uint8))
-        self.kind[[*range(9, 14), 0x85]] = SPACE  # white space that is a control character
-        # Code points of the longest contractions' tails (fixed values of the pattern).
+        # What may follow an apostrophe in a contraction (fixed values of the pattern).
         self.tails = {1: ["s", "t", "m", "d"], 2: ["re", "ve", "ll"]}
 
     def normal(self, text: str) -> str:
