@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -68,6 +69,49 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+class Store:
+    """Files of a shared folder. Plain paths and ``file:`` use the mounted disk, all others Arrow's file systems."""
+
+    def __init__(self, path: str) -> None:
+        local = "://" not in path and not path.startswith("file:")
+        if local or path.startswith("file:"):
+            self.fs, self.folder = None, path if local else "/" + path.removeprefix("file:").lstrip("/")
+        else:
+            from pyarrow import fs
+
+            self.fs, self.folder = fs.FileSystem.from_uri(path)
+        self.folder = self.folder.rstrip("/")
+
+    def create(self, name: str):
+        if self.fs is None:
+            os.makedirs(self.folder, exist_ok=True)
+            return open(f"{self.folder}/{name}", "wb")
+        self.fs.create_dir(self.folder, recursive=True)
+        return self.fs.open_output_stream(f"{self.folder}/{name}")
+
+    def open(self, name: str):
+        full = f"{self.folder}/{name}"
+        return open(full, "rb") if self.fs is None else self.fs.open_input_file(full)
+
+    def has(self, name: str) -> bool:
+        full = f"{self.folder}/{name}"
+        return os.path.exists(full) if self.fs is None else self.fs.get_file_info(full).is_file
+
+    def delete(self, name: str) -> None:
+        full = f"{self.folder}/{name}"
+        os.remove(full) if self.fs is None else self.fs.delete_file(full)
+
+    def files(self) -> list[tuple[str, int]]:
+        """(name under the folder, bytes) of all files."""
+        if self.fs is None:
+            found = [os.path.join(d, f) for d, _, names in os.walk(self.folder) for f in names]
+            return sorted((os.path.relpath(f, self.folder), os.path.getsize(f)) for f in found)
+        from pyarrow import fs
+
+        found = self.fs.get_file_info(fs.FileSelector(self.folder, recursive=True))
+        return sorted((f.path[len(self.folder) + 1 :], f.size) for f in found if f.is_file)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of known types as one compressed value."""
     head = np.array([len(arrays), *[a.nbytes for a in arrays]], np.int64)

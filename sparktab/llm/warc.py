@@ -16,7 +16,6 @@ import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -32,7 +31,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from sparktab.llm.common import query, table
+from sparktab.llm.common import Store, query, table
 from sparktab.session import scratch_path
 
 SCHEMA = (
@@ -53,10 +52,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP_EXTRA = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff"
 
 
-def store(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path)
-
-
 def record_bytes(row: dict) -> bytes:
     """One WARC record: header, HTTP header, and for a response the payload."""
     payload = row["payload"] or b""
@@ -109,8 +104,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.level = int(options.get("level", 1))
 
     def write(self, iterator):
-        fs, folder = store(self.path)
-        fs.create_dir(folder, recursive=True)
+        folder = Store(self.path)
         files, out, at = [], None, 0
         for batch in iterator:
             for row in batch.to_pylist():
@@ -120,7 +114,7 @@ class WarcWriter(DataSourceArrowWriter):
                         out.close()
                     name, at = f"part-{uuid.uuid4().hex}.warc.gz", 0
                     files.append([name, [0]])
-                    out = fs.open_output_stream(f"{folder}/{name}")
+                    out = folder.create(name)
                 data = member(record_bytes(row), self.level)
                 out.write(data)
                 at += len(data)
@@ -133,17 +127,14 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages) -> None:
-        fs, folder = store(self.path)
-        fs.create_dir(folder, recursive=True)
         files = [f for m in messages if m is not None for f in m.files]
-        with fs.open_output_stream(f"{folder}/{MANIFEST}") as out:
+        with Store(self.path).create(MANIFEST) as out:
             out.write(json.dumps(files).encode())
 
     def abort(self, messages) -> None:
-        fs, folder = store(self.path)
         for m in messages:
             for name, _ in m.files if m is not None else []:
-                fs.delete_file(f"{folder}/{name}")
+                Store(self.path).delete(name)
 
 
 @dataclass
@@ -286,17 +277,13 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        fs, folder = store(self.path)
-        if fs.get_file_info(f"{folder}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{folder}/{MANIFEST}") as f:
+        folder = Store(self.path)
+        if folder.has(MANIFEST):
+            with folder.open(MANIFEST) as f:
                 files = json.loads(f.read())
             pieces = [Piece(name, a, b) for name, cuts in files for a, b in zip(cuts, cuts[1:], strict=False)]
         else:
-            found = fs.get_file_info(pafs.FileSelector(folder, recursive=True))
-            pieces = [
-                Piece(f.path[len(folder) + 1 :], 0, f.size)
-                for f in found if f.type == pafs.FileType.File and f.path.endswith((".warc", ".warc.gz"))
-            ]
+            pieces = [Piece(name, 0, size) for name, size in folder.files() if name.endswith((".warc", ".warc.gz"))]
         return pieces or [Piece("", 0, 0)]
 
     def read(self, partition):
@@ -304,9 +291,8 @@ class WarcReader(DataSourceReader):
         schema = pa.schema([(n, types.get(n, pa.string())) for n in self.names])
         if partition.stop <= partition.start:
             return
-        fs, folder = store(self.path)
         rows, size = [], 0
-        with fs.open_input_file(f"{folder}/{partition.name}") as file:
+        with Store(self.path).open(partition.name) as file:
             for header, full, payload in records(
                 Window(file), partition.start, partition.stop, self.tests, "payload" in self.names
             ):
