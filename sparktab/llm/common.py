@@ -150,6 +150,35 @@ def byte_codes(seed: int = 7) -> np.ndarray:
     return mixed((np.arange(1, 257, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def runs(gap: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs without a gap, cut at the texts' ends: (starts, stops, numbers of the texts)."""
+    held = ~gap
+    start = held.copy()
+    start[1:] &= gap[:-1]
+    edges = offsets[1:-1]
+    edges = edges[edges < len(gap)]
+    start[edges] = held[edges]
+    stop = held.copy()
+    stop[:-1] &= gap[1:] | start[1:]
+    starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    return starts, stops, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run's bytes: a polynomial over codes of the bytes, then a finalizer."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    power = np.full(int((stops - starts).max()), 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    begin = np.zeros(len(data), np.int64)
+    begin[starts] = starts
+    place = np.minimum(np.arange(len(data)) - np.maximum.accumulate(begin), len(power) - 1)
+    code = byte_codes()[data] * power[place]
+    total = np.append(np.uint64(0), np.cumsum(code, dtype=np.uint64))
+    return mixed(total[stops] - total[starts] + (stops - starts).astype(np.uint64))
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions of all ranges [start, start + length), one range after another."""
     lengths = lengths.astype(np.int64)
