@@ -15,8 +15,13 @@ cloudpickle.register_pickle_by_value(_package)
 
 def load_all() -> None:
     from sparktab.llm import (  # noqa: F401
+        ann,
         bpe,
+        decontaminate,
+        idfiles,
+        quality,
         shards,
+        similar,
         warc,
     )
 
