@@ -22,6 +22,7 @@ def load_all() -> None:
         quality,
         shards,
         similar,
+        suffixes,
         warc,
     )
 
