@@ -19,6 +19,7 @@ def load_all() -> None:
         bpe,
         decontaminate,
         idfiles,
+        licenses,
         quality,
         shards,
         similar,

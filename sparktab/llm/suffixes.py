@@ -343,8 +343,8 @@ def repeated_spans(stretches: DataFrame, least: int) -> DataFrame:
     return stretches.groupBy("bucket").applyInArrow(run, "sig long, start int, stop int")
 
 
-def cut_texts(texts: DataFrame, digests: bool) -> DataFrame:
-    """(sig, first, n_removed, n_spans, kept) of rows (sig, first, text, spans); ``digests``: SHA-256 of what is kept."""
+def cut_texts(texts: DataFrame, form: str) -> DataFrame:
+    """(sig, first, n_removed, n_spans, kept) of rows (sig, first, text, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,7 +361,11 @@ def cut_texts(texts: DataFrame, digests: bool) -> DataFrame:
                 left = b"".join([*parts, raw[at:]])
                 removed.append(len(raw) - len(left))
                 spans.append(n)
-                kept.append(hashlib.sha256(left).hexdigest().encode() if digests else left)
+                if form == "sha256":
+                    left = hashlib.sha256(left).hexdigest().encode()
+                elif form == "text":
+                    left = left.decode("utf-8", "ignore").encode()
+                kept.append(left)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("sig"), batch.column("first"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
                 names=["sig", "first", "n_removed", "n_spans", "kept"],
@@ -371,14 +375,14 @@ def cut_texts(texts: DataFrame, digests: bool) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str, text: str, least: int = LEAST, digests: bool = False, keep: list[str] | None = None
+    docs: DataFrame, id_col: str, text: str, least: int = LEAST, form: str = "bytes", keep: list[str] | None = None
 ) -> DataFrame:
     """Every row (columns ``keep``; all, if None) with n_bytes, n_removed, n_spans and kept.
 
     Texts are taken as UTF-8 bytes (null: empty); each byte covered by a string of ``least`` bytes that
     also starts in a row with a smaller id is removed. Strings don't cross texts, overlaps count, and
-    all is judged on the texts as given. ``kept`` holds the remaining bytes (with ``digests`` their
-    SHA-256 as hex); n_spans counts the maximal removed runs. Rows of one id don't remove from each
+    all is judged on the texts as given. ``kept`` holds the remaining bytes, or by ``form`` their "sha256" as
+    hex, or "text", without what is left of characters cut in two; n_spans counts the maximal removed runs. Rows of one id don't remove from each
     other; null ids are larger than all others. Exact copies are told by their MD5. Columns of the added
     names, in any spelling, are replaced.
     """
@@ -396,25 +400,25 @@ def remove_repeats(
     held = texts.join(shared, "sig").select("sig", F.col("first").alias("doc_id"), "text", "blobs")
     spans = repeated_spans(dealt_stretches(held, least, n_buckets), least)
     spans = spans.groupBy("sig").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    cut = cut_texts(texts.join(spans, "sig", "left").select("sig", "first", "text", "spans"), digests)
+    cut = cut_texts(texts.join(spans, "sig", "left").select("sig", "first", "text", "spans"), form)
     own = docs.select(
-        *[F.col(f"`{c}`") for c in kept if c != text or digests], sig.alias("_sig"), key.alias("_id"),
+        *[F.col(f"`{c}`") for c in kept if c.lower() != text.lower() or form == "sha256"], sig.alias("_sig"), key.alias("_id"),
         F.octet_length(body).cast("long").alias("_size"),
     )
     cut = cut.select(F.col("sig").alias("_sig"), F.col("first").alias("_first"), F.col("n_removed").alias("_removed"), F.col("n_spans").alias("_spans"), F.col("kept").alias("_kept"))
     whole = (F.col("_id") > F.col("_first")) & (F.col("_size") >= least)
-    empty = F.lit(hashlib.sha256(b"").hexdigest()).cast("binary") if digests else F.lit("").cast("binary")
+    empty = F.lit(hashlib.sha256(b"").hexdigest()).cast("binary") if form == "sha256" else F.lit("").cast("binary")
     out = F.when(whole, empty).otherwise(F.col("_kept"))
     return own.join(cut, "_sig").select(
-        *[F.col(f"`{c}`") for c in kept if c != text or digests], F.col("_size").alias("n_bytes"),
+        *[F.col(f"`{c}`") for c in kept if c.lower() != text.lower() or form == "sha256"], F.col("_size").alias("n_bytes"),
         F.when(whole, F.col("_size")).otherwise(F.col("_removed")).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.col("_spans")).alias("n_spans"),
-        (out.cast("string") if digests else out).alias("kept"),
+        (out if form == "bytes" else out.cast("string")).alias("kept"),
     )
 
 
 @query("op7_suffix_dedup")
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = remove_repeats(docs, "doc_id", "text", digests=True, keep=["doc_id"])
+    out = remove_repeats(docs, "doc_id", "text", form="sha256", keep=["doc_id"])
     return out.withColumnRenamed("kept", "kept_sha256")
