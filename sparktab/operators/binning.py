@@ -154,14 +154,16 @@ def rank_bin(
 ) -> DataFrame:
     """Equal-frequency bins by rank; ties are broken by the key's hash.
 
-    Sizes differ by at most one, the first ``n mod q`` bins being the larger ones.
+    Sizes differ by at most one, the first ``n mod q`` bins being the larger ones. Missing
+    values have no bin (null) and aren't counted.
     """
-    n = df.count()
+    row = df.select(F.count(col), F.count(F.lit(1)) - F.count(col)).first()
+    n, missing = row[0], row[1]
     ranked = value_rank(df, [], col, key, "__rank", rows_per_bucket=rows_per_bucket)
     size, extra = divmod(n, q)
     head = extra * (size + 1)
-    r = F.col("__rank") - 1
+    r = F.col("__rank") - 1 - F.lit(missing)  # nulls rank first
     tail = F.when(r < head, F.floor(r / F.lit(size + 1))).otherwise(
         F.lit(extra) + F.floor((r - head) / F.lit(max(size, 1)))
     )
-    return ranked.withColumn(out, tail.cast("int")).drop("__rank")
+    return ranked.withColumn(out, F.when(F.col(col).isNotNull(), tail.cast("int"))).drop("__rank")

@@ -185,7 +185,7 @@ def frequency_encode(fit: DataFrame, apply: DataFrame, col: str, out: str | None
         (F.count(F.lit(1)) / F.lit(rows)).alias(out)
     )
     keyed = apply.withColumn("__t", token(F.col(col)))
-    return lookup(keyed, shares, "__t", {out: 0.0}).drop("__t")
+    return lookup(keyed, materialize(shares, "stats"), "__t", {out: 0.0}).drop("__t")
 
 
 def joint_frequency_encode(
@@ -208,6 +208,7 @@ def count_encode(
         counts = _union(frames, c).groupBy(F.col(c).alias("__t")).agg(
             F.count(F.lit(1)).alias(f"{c}_count")
         )
+        counts = materialize(counts, "stats")
         out = lookup(out.withColumn("__t", token(F.col(c))), counts, "__t", {f"{c}_count": 0})
         out = out.drop("__t").withColumns(
             {

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktab.operators.joins import lookup
+from sparktab.functions.exprs import hash_text
+from sparktab.operators.joins import lookup, lookup_value, packed_stats
+from sparktab.session import materialize
 
 
 def _mean(df: DataFrame, y: str) -> float:
@@ -22,25 +25,40 @@ def class_shares(df: DataFrame, y: str, k: int) -> list[float]:
 
 def target_encode(
     fit: DataFrame, apply: DataFrame, cols: Sequence[str], y: str, smoothing: float = 1.0,
-    noise: float = 0.0, seed: int = 0, suffix: str = "_te",
+    noise: float = 0.0, seed: int = 0, suffix: str = "_te", key: str | None = None,
 ) -> DataFrame:
-    """``(sum + s*g) / (n + s)`` per category; null and unseen categories get the mean ``g``."""
+    """``(sum + s*g) / (n + s)`` per category; null and unseen categories get the mean ``g``.
+
+    ``noise`` scales each value by a normal draw of its own, made from the row's ``key``, the
+    column and the seed, so it doesn't depend on partitions.
+    """
+    if noise and key is None:
+        raise ValueError("noise needs a key column")
     g = _mean(fit, y)
+    stats = packed_stats(fit.select(*dict.fromkeys([*cols, y])), cols, [
+        (
+            (F.sum(F.col(y).cast("double")) + F.lit(smoothing * g))
+            / (F.count(F.lit(1)) + F.lit(float(smoothing)))
+        ).alias("__te")
+    ])
     out = apply
-    for c in cols:
+    for i, c in enumerate(cols):
         name = c + suffix
-        stats = fit.where(F.col(c).isNotNull()).groupBy(c).agg(
-            (
-                (F.sum(F.col(y).cast("double")) + F.lit(smoothing * g))
-                / (F.count(F.lit(1)) + F.lit(float(smoothing)))
-            ).alias(name)
-        )
-        out = lookup(out, stats, c, {name: g})
+        out = lookup_value(out, c, stats[c].withColumnRenamed("__te", name), {name: g})
         if noise:
-            out = out.withColumn(name, F.col(name) * (1 + F.lit(noise) * F.randn(seed)))
+            out = out.withColumn(name, F.col(name) * (1 + F.lit(noise) * normal_draw(key, seed + 2 * i)))
     return out
 
 
+def normal_draw(key: str, seed: int) -> Column:
+    """A standard normal number for each key and seed, from two md5 values."""
+    u, v = (
+        (F.conv(F.substring(hash_text(key, s), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(16.0**13)
+        for s in (seed, seed + 1)
+    )
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.lit(math.pi) * v)
+
+
 def leave_one_out_encode(
     df: DataFrame, col: str, y: str, smoothing: float = 1.0, out: str | None = None
 ) -> DataFrame:
@@ -50,7 +68,7 @@ def leave_one_out_encode(
     stats = df.where(F.col(col).isNotNull()).groupBy(col).agg(
         F.sum(F.col(y).cast("double")).alias("__s"), F.count(F.lit(1)).alias("__n")
     )
-    joined = lookup(df, stats, col)
+    joined = lookup(df, materialize(stats, "stats"), col)
     value = F.try_divide(
         F.col("__s") - F.col(y) + F.lit(smoothing * g), F.col("__n") - 1 + F.lit(float(smoothing))
     )
@@ -73,22 +91,19 @@ def fold_safe_encode(
     """Class rates per category that never see the row's own fold.
 
     Train rows: ``(S - s_f + a*g) / (N - n_f + a)``; apply rows: ``(S + a*g) / (N + a)``;
-    null and unseen categories: the class share ``g``. One aggregation by (category, fold)
-    covers all classes and combines map-side; the totals are sums of that small result.
+    null and unseen categories: the class share ``g``. One aggregation by (column, category,
+    fold) covers all columns and classes and combines map-side; the totals are sums of that
+    written result.
     """
     priors = class_shares(train, y, k)
     encoded, applied = train, apply
+    packed = _per_fold(train, cols, y, k, fold)
     for col in cols:
         names = _te_names(col, k, class_names)
         sums = [f"__s{c}" for c in range(k)]
-        per_fold = (
-            train.where(F.col(col).isNotNull())
-            .groupBy(col, fold)
-            .agg(F.count(F.lit(1)).cast("double").alias("__n"), *_class_sums(y, k))
-        )
-        totals = per_fold.groupBy(col).agg(*[F.sum(c).alias(f"{c}_all") for c in ["__n", *sums]])
-        others = per_fold.join(totals, col).select(
-            col,
+        per_fold, totals = packed[col]
+        others = per_fold.select(
+            "__v",
             fold,
             *[
                 (
@@ -98,10 +113,10 @@ def fold_safe_encode(
                 for s, g, name in zip(sums, priors, names)
             ],
         )
-        encoded = lookup(encoded, others, [col, fold], dict(zip(names, priors)))
+        encoded = lookup_value(encoded, col, others, dict(zip(names, priors)), [fold])
         if applied is not None:
             whole = totals.select(
-                col,
+                "__v",
                 *[
                     (
                         (F.col(f"{s}_all") + F.lit(smooth * g))
@@ -110,10 +125,26 @@ def fold_safe_encode(
                     for s, g, name in zip(sums, priors, names)
                 ],
             )
-            applied = lookup(applied, whole, col, dict(zip(names, priors)))
+            applied = lookup_value(applied, col, whole, dict(zip(names, priors)))
     return encoded, applied
 
 
+def _per_fold(train: DataFrame, cols: Sequence[str], y: str, k: int, fold: str) -> dict[str, tuple]:
+    """column -> (sums by value and fold beside the value's totals, totals by value)."""
+    sums = ["__n", *[f"__s{c}" for c in range(k)]]
+    stats = packed_stats(
+        train.select(*dict.fromkeys([*cols, y, fold])), cols,
+        [F.count(F.lit(1)).cast("double").alias("__n"), *_class_sums(y, k)], [fold],
+    )
+    out = {}
+    for col in cols:
+        over = Window.partitionBy("__v")  # a row per fold
+        beside = stats[col].select("*", *[F.sum(c).over(over).alias(f"{c}_all") for c in sums])
+        beside = materialize(beside, "stats")
+        out[col] = (beside, beside.select("__v", *[f"{c}_all" for c in sums]).distinct())
+    return out
+
+
 def auto_smooth_encode(
     train: DataFrame, cols: Sequence[str], y: str, k: int, fold: str, apply: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -138,15 +169,11 @@ def auto_smooth_encode(
         weight = F.try_divide(n * (g * (1 - g)), n * (g * (1 - g)) + inside)
         return F.coalesce(weight * mean + (1 - weight) * g, mean, g)
 
+    packed = _per_fold(train, cols, y, k, fold)
     for col in cols:
         names = _te_names(col, k, None)
         sums = [f"__s{c}" for c in range(k)]
-        per_fold = (
-            train.where(F.col(col).isNotNull())
-            .groupBy(col, fold)
-            .agg(F.count(F.lit(1)).cast("double").alias("__n"), *_class_sums(y, k))
-        )
-        totals = per_fold.groupBy(col).agg(*[F.sum(c).alias(f"{c}_all") for c in ["__n", *sums]])
+        per_fold, totals = packed[col]
         prior = {}
         for c, s in enumerate(sums):
             g = F.lit(None).cast("double")
@@ -155,8 +182,8 @@ def auto_smooth_encode(
                 share = (s_all[c] - r[f"s{c}"]) / left if left else 0.0
                 g = F.when(F.col(fold) == F.lit(r[fold]), F.lit(share)).otherwise(g)
             prior[s] = g
-        others = per_fold.join(totals, col).select(
-            col,
+        others = per_fold.select(
+            "__v",
             fold,
             *[
                 shrunk(
@@ -165,20 +192,20 @@ def auto_smooth_encode(
                 for s, name in zip(sums, names)
             ],
         )
-        encoded = lookup(encoded, others, [col, fold])
+        encoded = lookup_value(encoded, col, others, None, [fold])
         encoded = encoded.withColumns(
             {name: F.coalesce(F.col(name), prior[s]) for s, name in zip(sums, names)}
         )
         if applied is not None:
             shares = [float(s / n_all) if n_all else 0.0 for s in s_all]
             whole = totals.select(
-                col,
+                "__v",
                 *[
                     shrunk(F.col("__n_all"), F.col(f"{s}_all"), g).alias(name)
                     for s, g, name in zip(sums, shares, names)
                 ],
             )
-            applied = lookup(applied, whole, col, dict(zip(names, shares)))
+            applied = lookup_value(applied, col, whole, dict(zip(names, shares)))
     return encoded, applied
 
 
@@ -194,21 +221,22 @@ def aux_prior_encode(
     """Class rates per value learned from the auxiliary table only, with counts."""
     priors = class_shares(aux, y, k)
     out = apply
+    n = F.count(F.lit(1)).cast("double")
+    packed = packed_stats(aux.select(*dict.fromkeys([*cols, y])), cols, [
+        *[
+            (
+                (F.sum((F.col(y) == c).cast("double")) + F.lit(smooth * priors[c]))
+                / (n + F.lit(float(smooth)))
+            ).alias(f"_aux_{c}")
+            for c in range(k)
+        ],
+        F.count(F.lit(1)).alias("_aux_count"),
+    ])
     for col in cols:
-        n = F.count(F.lit(1)).cast("double")
-        stats = aux.where(F.col(col).isNotNull()).groupBy(col).agg(
-            *[
-                (
-                    (F.sum((F.col(y) == c).cast("double")) + F.lit(smooth * priors[c]))
-                    / (n + F.lit(float(smooth)))
-                ).alias(f"{col}_aux_{c}")
-                for c in range(k)
-            ],
-            F.count(F.lit(1)).alias(f"{col}_aux_count"),
-        )
+        stats = packed[col].select("__v", *[F.col(f"_aux_{c}").alias(f"{col}_aux_{c}") for c in [*range(k), "count"]])
         defaults: dict = {f"{col}_aux_{c}": priors[c] for c in range(k)}
         defaults[f"{col}_aux_count"] = 0
-        out = lookup(out, stats, col, defaults).withColumn(
+        out = lookup_value(out, col, stats, defaults).withColumn(
             f"{col}_aux_log_count", F.log1p(F.col(f"{col}_aux_count"))
         )
     return out

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sparktab.functions.exprs import hash_text
 from sparktab.operators.encoders import class_weights
-from sparktab.operators.ranks import hash_rank, value_rank
+from sparktab.operators.ranks import hash_digits, hash_rank, value_rank
+
+SAMPLE_ROWS = 2_000
 
 
 def stratified_folds(
@@ -53,12 +55,11 @@ def lowest_hashes(df: DataFrame, by: Sequence[str], key: str, seed: int, take: D
 
     ``take`` has the ``by`` columns and ``__take``. Hash-prefix counts show in which prefix
     the cut falls. Rows of later prefixes are dropped before any shuffle by a join with that
-    small table (at most 4,096 rows per group), so only about ``take`` rows are ranked.
+    small table, so only about ``take`` rows are ranked.
     """
-    digits = 3
     by = list(by)
     hashed = df.withColumn("__h", hash_text(key, seed)).withColumn(
-        "__b", F.substring("__h", 1, digits)
+        "__b", F.substring("__h", 1, hash_digits(df, by, SAMPLE_ROWS))
     )
     counts = hashed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     upto = F.sum("__n").over(Window.partitionBy(*by).orderBy("__b"))
@@ -158,14 +159,15 @@ def swap_noise(df: DataFrame, key: str, cols: Sequence[str], p: float, seed: int
 
     The donor is the next row in a hashed order of the keys (the last takes the first), a
     different order per column. The next row is found inside the hash prefix; the last row of
-    a prefix takes the first of the following one, from a table of at most 4,096 rows. One
-    shuffle per column.
+    a prefix takes the first of the following one, from a table with a row per prefix; their
+    number follows the row count. One shuffle per column.
     """
     limit = int(p * 16**7)
+    digits = hash_digits(df, [])
     out = df
     for i, c in enumerate(cols):
         hashed = out.withColumn("__h", hash_text(key, seed + 2 * i)).withColumn(
-            "__b", F.substring("__h", 1, 3)
+            "__b", F.substring("__h", 1, digits)
         )
         heads = hashed.groupBy("__b").agg(
             F.min_by(F.struct(c), F.struct("__h", key)).alias("__head")

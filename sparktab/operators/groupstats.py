@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparktab.functions.exprs import finite, total
 from sparktab.operators.joins import lookup
 from sparktab.operators.ranks import exact_quantiles
-from sparktab.session import spread
+from sparktab.session import materialize, spread
 
 
 def group_stats(df: DataFrame, keys: dict[str, str], cols: Sequence[str]) -> DataFrame:
@@ -25,7 +25,7 @@ def group_stats(df: DataFrame, keys: dict[str, str], cols: Sequence[str]) -> Dat
         for c in cols:
             aggs.append(F.avg(c).alias(f"{prefix}_{c}_mean"))
             aggs.append(F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{prefix}_{c}_std"))
-        out = lookup(out, df.groupBy(key).agg(*aggs), key)
+        out = lookup(out, materialize(df.groupBy(key).agg(*aggs), "stats"), key)
         out = out.withColumns(
             {f"{prefix}_{c}_dev": F.col(c) - F.col(f"{prefix}_{c}_mean") for c in cols}
         )

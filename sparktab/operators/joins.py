@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparktab.session import materialize
+
 
 def lookup(
     df: DataFrame,
@@ -37,6 +39,38 @@ def lookup(
     return out
 
 
+def key_text(col: str, df: DataFrame) -> Column:
+    """A value as text, for tables that hold the values of several columns; -0.0 reads as 0.0."""
+    kind = df.schema[col].dataType.typeName()
+    return (F.col(col) + F.lit(0.0) if kind in ("double", "float") else F.col(col)).cast("string")
+
+
+def packed_stats(
+    frames: DataFrame, cols: Sequence[str], aggregates: Sequence[Column], extra: Sequence[str] = ()
+) -> dict[str, DataFrame]:
+    """Per-value aggregates of several columns from one pass: column -> (``__v``, extra, aggregates).
+
+    Rows are unpivoted and combined map-side. The table is written once, a folder for each column,
+    so that a later join knows its size: small statistics are broadcast and no fact row moves.
+    Nulls are left out.
+    """
+    cols = list(cols)
+    needed = [c for c in frames.columns if c not in cols or c in extra]
+    cells = F.array(*[F.struct(F.lit(i).alias("__c"), key_text(c, frames).alias("__v")) for i, c in enumerate(cols)])
+    long = frames.select(*needed, *[F.col(c) for c in cols if c not in needed], F.inline(cells))
+    table = long.where(F.col("__v").isNotNull()).groupBy("__c", "__v", *extra).agg(*aggregates)
+    table = materialize(table, "packed", partition_by=["__c"])
+    return {c: table.where(F.col("__c") == i).drop("__c") for i, c in enumerate(cols)}
+
+
+def lookup_value(
+    df: DataFrame, col: str, stats: DataFrame, defaults: dict | None = None, also: Sequence[str] = ()
+) -> DataFrame:
+    """``lookup`` of a column's ``packed_stats`` (and of the same-named columns ``also``)."""
+    keyed = df.withColumn("__v", key_text(col, df))
+    return lookup(keyed, stats, ["__v", *also], defaults).drop("__v")
+
+
 def predictions_by_model(preds: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
     """One row per key with ``map(model -> p)``, from one aggregation of the long table.
 

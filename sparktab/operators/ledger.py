@@ -7,19 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktab.operators.ranks import best_before, running_sums
+from sparktab.operators.ranks import ROWS_PER_BUCKET, best_before, range_bucket, running_sums, split_points
+
+
+def time_ranges(df: DataFrame, ts: str, rows_per_bucket: int) -> DataFrame:
+    """``__t``: number of the measured range of time that holds the row; null times come first."""
+    timed = df.withColumn("__u", F.unix_micros(F.col(ts).cast("timestamp")).cast("double"))
+    points = split_points(timed, "__u", rows_per_bucket)
+    placed = range_bucket(timed, "__u", points, "__t")
+    return placed.withColumn("__t", F.coalesce("__t", F.lit(-1))).drop("__u")
 
 
 def running_best(
-    df: DataFrame, group: str, ts: str, key: str, score: str, bucket_seconds: int = 86_400
+    df: DataFrame, group: str, ts: str, key: str, score: str, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Best earlier score per group and whether the row is a new best (strictly greater).
 
-    A missing score never becomes the best. Time buckets keep one busy group off one task.
+    A missing score never becomes the best. Ranges of time, cut so that each holds about
+    ``rows_per_bucket`` rows, keep one busy group off one task.
     """
-    placed = df.withColumn(
-        "__t", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / bucket_seconds)
-    )
+    placed = time_ranges(df, ts, rows_per_bucket)
     out = best_before(placed, [group], ["__t"], [ts, key], score, "best_before").drop("__t")
     is_best = F.col(score).isNotNull() & (
         F.col("best_before").isNull() | (F.col(score) > F.col("best_before"))
@@ -113,12 +120,10 @@ def usage_rollup(df: DataFrame, provider: str, prompt: str, completion: str, cos
 
 
 def within_budget(
-    df: DataFrame, ts: str, key: str, cost: str, budget: float, bucket_seconds: int = 86_400
+    df: DataFrame, ts: str, key: str, cost: str, budget: float, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Calls made while the money spent before them was below ``budget``."""
-    placed = df.withColumn(
-        "__t", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / bucket_seconds)
-    )
+    placed = time_ranges(df, ts, rows_per_bucket)
     ran = running_sums(placed, [], ["__t"], [ts, key], {"spent": F.col(cost)})
     return ran.where(F.col("spent") - F.col(cost) < budget).drop("__t")
 

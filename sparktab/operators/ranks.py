@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sparktab.functions.exprs import edges_below, finite, hash_text, is_finite, number_array
 
 ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_HASH = 100_000
 MAX_BUILTIN_PROBS = 20
 
 
@@ -83,16 +84,28 @@ def best_before(
     )
 
 
+def hash_digits(df: DataFrame, by: Sequence[str], rows: int = ROWS_PER_HASH) -> int:
+    """Hex digits of a hash that cut the largest ``by`` group into buckets of about ``rows`` rows."""
+    most = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+    return _digits(most, rows)
+
+
+def _digits(n: int, rows: int) -> int:
+    digits = 0
+    while n > rows * 16**digits:
+        digits += 1
+    return digits
+
+
 def hash_rank(
-    df: DataFrame, by: Sequence[str], key: str, seed: int, out: str = "rank", digits: int = 3
+    df: DataFrame, by: Sequence[str], key: str, seed: int, out: str = "rank", rows: int = ROWS_PER_HASH
 ) -> DataFrame:
     """1-based rank by ``(md5(seed:key), key)`` inside each ``by`` group.
 
-    ``digits`` hex digits of the hash are the bucket: 3 gives 4,096 even buckets per group
-    whatever the group's share of the rows is; take 4 beyond about 1e10 rows.
+    The first digits of the hash are the bucket; their number follows the largest group's size.
     """
     hashed = df.withColumn("__h", hash_text(key, seed)).withColumn(
-        "__b", F.substring("__h", 1, digits)
+        "__b", F.substring("__h", 1, hash_digits(df, by, rows))
     )
     return running_sums(hashed, by, ["__b"], ["__h", key], {out: F.lit(1)}).drop("__h", "__b")
 
@@ -149,7 +162,8 @@ def value_rank(
 ) -> DataFrame:
     """1-based rank by ``value``, ties by ``(md5(seed:key), key)``, inside ``by`` groups.
 
-    A value shared by very many rows is spread over hash sub-buckets.
+    Nulls come first, and last if ``descending``. A value shared by very many rows is spread
+    over hash sub-buckets, as many as its measured count needs.
     """
     points = split_points(df, value, rows_per_bucket)
     order = F.col(value).desc() if descending else F.col(value).asc()
@@ -159,10 +173,14 @@ def value_rank(
         return df.withColumn(out, F.row_number().over(whole).cast("long"))
     placed = range_bucket(df, value, points, "__r")
     placed = placed.withColumn("__h", hash_text(key, seed))
-    if descending:
-        placed = placed.withColumn("__r", -F.col("__r"))
+    turned = -F.col("__r") if descending else F.col("__r")
+    edge = 2 * len(points) + 1
+    placed = placed.withColumn("__r", F.coalesce(turned, F.lit(edge if descending else -edge)))
+    # Nulls and values at a split point sit in odd buckets, which need no order by value.
+    repeated = placed.where(F.col("__r") % 2 != 0).groupBy(*by, "__r").agg(F.count(F.lit(1)).alias("__n"))
+    digits = _digits(repeated.agg(F.max("__n")).first()[0] or 0, rows_per_bucket)
     placed = placed.withColumn(
-        "__s", F.when(F.col("__r") % 2 != 0, F.substring("__h", 1, 4)).otherwise("")
+        "__s", F.when(F.col("__r") % 2 != 0, F.substring("__h", 1, digits)).otherwise("")
     )
     return running_sums(
         placed, by, ["__r", "__s"], [order, F.col("__h"), F.col(key)], {out: F.lit(1)}
