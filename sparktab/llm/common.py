@@ -197,31 +197,31 @@ def run_starts(values: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """Smallest id reachable over undirected edges, for each id in an edge: (id, component).
+    """Smallest id reachable over undirected edges, for each id in an edge with another: (id, component).
 
-    Alternates two steps until nothing changes: every id hands the smallest label around it to its
-    neighbours, and labels jump to their own label. Labels are pre-aggregated before each shuffle;
-    each round's table is written to the shared folder, so lost executors don't lose rounds.
+    Alternates two steps until the edges are stars around their smallest ids. In the first, each id
+    links its larger neighbours to the smallest id around it; in the second, each id links its smaller
+    neighbours and itself to the smallest of them. Minima are pre-aggregated before each shuffle, joins
+    with one row for each id leave adaptive execution free to split what a hub gathers, and each
+    round's edges are written to the shared folder, so lost executors don't lose rounds.
     """
     from sparktab.session import materialize
 
-    pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b").distinct()
-    both = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = materialize(
-        both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels"
-    )
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first())
+
+    a, b = F.col(left), F.col(right)
+    pairs = edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    pairs = materialize(pairs, "edges")
+    now = state(pairs)
     while True:
-        near = (
-            both.join(labels.select(F.col("id").alias("b"), "component"), "b")
-            .groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        )
-        step = labels.join(near, "id", "left").select(
-            "id", F.col("component").alias("old"), F.least("component", "near").alias("c")
-        )
-        up = labels.select(F.col("id").alias("c"), F.col("component").alias("above"))
-        step = materialize(
-            step.join(up, "c", "left").select("id", "old", F.least("c", "above").alias("component")), "labels"
-        )
-        if step.where("component <> old").isEmpty():
-            return step.select("id", "component")
-        labels = step.select("id", "component")
+        around = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        far = around.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = far.groupBy("a").agg(F.min("b").alias("m"))
+        near = far.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        pairs = materialize(near.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, now = now, state(pairs)
+        if now == before:
+            tops = pairs.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+            return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(tops)

@@ -20,7 +20,6 @@ No pairs are listed: a search stops at sets that are connected already.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,8 +168,8 @@ def dealt_shingles(docs: DataFrame, text: str, size: int, percent: int, n_bucket
 
     def flush(held):
         key, sig = (np.concatenate(x) for x in zip(*held, strict=True))
-        # Copies in one task say nothing new.
-        order = np.lexsort((sig, key))
+        # Copies in one task say nothing new. Postings of one signature side by side take less room.
+        order = np.lexsort((key, sig))
         key, sig = key[order], sig[order]
         new = run_starts(key) | run_starts(sig)
         key, sig = key[new], sig[new]
@@ -267,112 +266,197 @@ class Labels:
             self.up[max(i, j)] = min(i, j)
 
 
-def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
-    """Members of ``least`` lists or more, with the number of lists that hold them."""
+def long_lists(sizes: np.ndarray, least: int) -> int:
+    """How many of the longest lists to leave out of the merge: the cheapest of some choices.
+
+    Merging costs the short lists' lengths. What reaches ``least`` minus the number of long lists, at most
+    the short lists' total over that number, is looked up in each long list.
+    """
+    total = np.append(0, np.cumsum(sizes))
+    choices = np.unique(np.linspace(0, least - 1, 8).astype(int))
+    merged = total[len(sizes) - choices]
+    looked = choices * (200 + merged / (least - choices))
+    return int(choices[np.argmin(merged + looked)])
+
+
+def merge(short: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(members, number of lists that hold each) of ascending lists: on a heap, or many at once in numpy."""
+    if sum(map(len, short)) <= 200:
+        members, times = [], []
+        for m in heapq.merge(*[x.tolist() for x in short]):
+            if members and members[-1] == m:
+                times[-1] += 1
+            else:
+                members.append(m)
+                times.append(1)
+        return np.array(members, np.int64), np.array(times, np.int64)
+    every = np.sort(np.concatenate(short), kind="stable")  # a merge of ascending runs
+    first = np.flatnonzero(run_starts(every))
+    return every[first], np.diff(np.append(first, len(every)))
+
+
+def divide_skip(lists: list[np.ndarray], least: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(members of ``least`` lists or more, number of lists that hold each); of those marked in ``wanted``, if given."""
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lists = sorted((x for x in lists if len(x)), key=len)
     if len(lists) < least:
-        return {}
-    lists = sorted(lists, key=len)
-    # Long lists cost a binary search for each survivor of the merge; short ones cost their length.
-    n_long = min(least - 1, int(least / (0.02 * np.log2(max(len(lists[-1]), 2)) + 1)))
+        return nothing
+    n_long = long_lists(np.array([len(x) for x in lists]), least)
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    found: dict[int, int] = {}
-    last, times = -1, 0
-    for member in heapq.merge(*short):
-        if member == last:
-            times += 1
-            continue
-        if times >= least - n_long:
-            found[last] = times
-        last, times = member, 1
-    if times >= least - n_long:
-        found[last] = times
-    out = {}
-    for member, times in found.items():
-        for i, held in enumerate(long):
-            if times + len(long) - i < least:
-                break
-            at = bisect_left(held, member)
-            times += at < len(held) and held[at] == member
-        else:
-            if times >= least:
-                out[member] = times
-    return out
+    if wanted is not None:
+        short = [x[wanted[x]] for x in short]
+    member, times = merge(short)
+    for left, held in zip(range(n_long, 0, -1), long, strict=True):
+        alive = times + left >= least
+        if not alive.all():
+            member, times = member[alive], times[alive]
+        if not len(member):
+            return nothing
+        at = np.minimum(np.searchsorted(held, member), len(held) - 1)
+        times = times + (held[at] == member)
+    found = times >= least
+    return member[found], times[found]
 
 
 def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def search_part(sets: list[np.ndarray], percent: int, labels: Labels, asked: list[int] | None = None) -> None:
-    """Join the labels of all linked sets of a part; with ``asked``, of links that touch one of these.
+class Index:
+    """Inverted lists of some sets."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.n = np.array([len(s) for s in sets], np.int64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.n)
+        order = np.lexsort((owner, flat))
+        flat, self.owner = flat[order], owner[order]
+        self.first = np.flatnonzero(run_starts(flat))
+        self.keys, self.ends = flat[self.first], np.append(self.first[1:], len(flat))
 
-    First each set is searched for among the leaders, the sets that found no leader before them; in
-    groups of copies nearly all sets end here. Then sets outside the most frequent label are searched
-    for among all, but for partners that have their label already.
+    def search(self, own: np.ndarray, wanted: np.ndarray, percent: int) -> list[int]:
+        """The marked sets that link with ``own``."""
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        at = at[self.keys[at] == own]
+        lists = [self.owner[a:b] for a, b in zip(self.first[at].tolist(), self.ends[at].tolist(), strict=True)]
+        member, common = divide_skip(lists, int(least_common(len(own), percent)), wanted)
+        return member[linked(common, len(own), self.n[member], percent)].tolist()
+
+
+def search_part(sets: list[np.ndarray], percent: int, labels: Labels) -> None:
+    """Join the labels of all linked sets of a part.
+
+    First each set is searched for among the leaders before it, the sets that found no leader
+    themselves; in groups of copies nearly all sets end here. Then sets outside the most frequent label
+    are searched for among all, so every pair of different labels is met from one side at least.
     """
-    n = [len(s) for s in sets]
-    if asked is None:
-        index: dict[int, list[int]] = {}
-        for i, own in enumerate(sets):
-            keys = own.tolist()
-            lists = [index[k] for k in keys if k in index]
-            found = divide_skip(lists, least_common(n[i], percent)) if lists else {}
-            partners = [j for j, common in found.items() if linked(common, n[i], n[j], percent)]
-            for j in partners:
-                labels.join(i, j)
-            if not partners:
-                for k in keys:
-                    index.setdefault(k, []).append(i)
-        roots = [labels.find(i) for i in range(len(sets))]
-        most = max(set(roots), key=roots.count) if len(set(roots)) < 1000 else int(np.bincount(roots).argmax())
-        asked = [i for i, r in enumerate(roots) if r != most]
-    if not asked:
-        return
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), n)
-    order = np.lexsort((owner, flat))
-    flat, owner = flat[order], owner[order]
-    for i in asked:
-        low, high = np.searchsorted(flat, sets[i]), np.searchsorted(flat, sets[i], side="right")
-        own = labels.find(i)
-        lists = [owner[a:b].tolist() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-        for j, common in divide_skip(lists, least_common(n[i], percent)).items():
-            if j != i and labels.find(j) != own and linked(common, n[i], n[j], percent):
-                labels.join(i, j)
-                own = labels.find(i)
+    index, leader = Index(sets), np.zeros(len(sets), bool)
+    for i, own in enumerate(sets):
+        partners = index.search(own, leader, percent)
+        for j in partners:
+            labels.join(i, j)
+        leader[i] = not partners
+    roots = np.array([labels.find(i) for i in range(len(sets))])
+    asked = roots != np.bincount(roots).argmax()
+    # Of two such sets the later one asks for both.
+    for i in np.flatnonzero(asked).tolist():
+        wanted = ~asked
+        wanted[:i] = True
+        wanted[i] = False
+        for j in index.search(sets[i], wanted, percent):
+            labels.join(i, j)
+
+
+def own_sets(group: pa.Table, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(signatures, sets) of rows (sig, text), ascending. Rows of one id may hold several texts, and equal
+    rows come twice: one row that has the named signature is kept."""
+    sig = group["sig"].to_numpy()
+    hashed, bounds = shingles(*text_bytes(group["text"].combine_chunks()), size)
+    rows = np.flatnonzero(signatures(hashed, bounds) == sig)
+    rows = rows[np.argsort(sig[rows], kind="stable")]
+    rows = rows[run_starts(sig[rows])]
+    return sig[rows], [hashed[bounds[i] : bounds[i + 1]] for i in rows]
 
 
 def search_parts(texts: DataFrame, size: int, percent: int, n_buckets: int) -> DataFrame:
-    """(sig, root): each set's smallest linked signature, of ``texts`` (sig, part, text) with whole parts in one task."""
+    """(sig, root): each set's smallest linked signature in its part, of ``texts`` (sig, part, text)."""
 
     def run(group: pa.Table) -> pa.Table:
-        sig, part = group["sig"].to_numpy(), group["part"].to_numpy()
-        hashed, bounds = shingles(*text_bytes(group["text"].combine_chunks()), size)
-        # Rows of one id may hold several texts, and equal rows come twice: one row of the named set is kept.
-        own = np.flatnonzero(signatures(hashed, bounds) == sig)
-        order = own[np.lexsort((sig[own], part[own]))]
-        order = order[run_starts(sig[order])]
-        root = sig.copy()
-        for rows in np.split(order, np.flatnonzero(run_starts(part[order]))[1:]):
-            labels = Labels(len(rows))
-            search_part([hashed[bounds[i] : bounds[i + 1]] for i in rows], percent, labels)
-            for k, i in enumerate(rows):
-                root[i] = sig[rows[labels.find(k)]]
-        return pa.table({"sig": sig[order], "root": root[order]})
+        sigs, roots = [], []
+        group = group.sort_by("part")
+        part = group["part"].to_numpy()
+        edges = np.append(np.flatnonzero(run_starts(part)), len(part))
+        for a, b in zip(edges, edges[1:], strict=False):
+            sig, sets = own_sets(group.slice(a, b - a), size)
+            if len(sig):
+                labels = Labels(len(sig))
+                search_part(sets, percent, labels)
+                sigs.append(sig)
+                roots.append(sig[[labels.find(i) for i in range(len(sig))]])
+        none = np.zeros(0, np.int64)
+        return pa.table({"sig": np.concatenate([none, *sigs]), "root": np.concatenate([none, *roots])})
 
     dealt = texts.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(n_buckets)).cast("int"))
     return dealt.groupBy("bucket").applyInArrow(run, "sig long, root long")
 
 
+def search_blocks(texts: DataFrame, size: int, percent: int, n_buckets: int) -> DataFrame:
+    """(sig, root) as ``search_parts`` gives it, for parts of more than ``PART`` sets.
+
+    A part is cut into blocks, each searched on its own. The blocks' roots are searched as one part, where
+    they are few enough, which connects the copies of one original over all blocks. Sets outside the
+    part's most frequent label are then searched for in every block, in lots of ``PART``; so all pairs of
+    different labels are met and no task holds more than a block and a lot.
+    """
+    texts = materialize(texts.withColumn("block", F.pmod(F.xxhash64("sig"), F.ceil(F.col("sets") / PART))), "blocks")
+    cells = texts.select("sig", F.xxhash64("part", "block").alias("part"), "text")
+    inner = materialize(search_parts(cells, size, percent, n_buckets), "inner")
+    tops = texts.join(inner.where("sig = root").select("sig"), "sig")
+    few = tops.groupBy("part").count().where(F.col("count") <= PART).select("part")
+    outer = search_parts(tops.join(few, "part").select("sig", "part", "text"), size, percent, n_buckets)
+    known = materialize(inner.unionByName(outer), "known")
+    names = components(known, "sig", "root")
+    label = F.coalesce("component", "sig")
+    named = texts.join(names, texts["sig"] == names["id"], "left").select(texts["*"], label.alias("label"))
+    named = materialize(named, "named")
+    most = named.groupBy("part", "label").count().groupBy("part").agg(F.max_by("label", "count").alias("most"))
+    asked = materialize(named.join(most, "part").where("label <> most").select("sig", "part", "label", "text"), "asked")
+    lots = asked.groupBy("part").agg(F.ceil(F.count("*") / PART).alias("lots"))
+    blocks = named.select("part", F.ceil(F.col("sets") / PART).alias("blocks")).distinct()
+    left = named.join(lots, "part").select("sig", "part", "label", "text", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    right = asked.join(lots, "part").join(blocks, "part").select(
+        "sig", "part", "label", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("sig", F.lit("lot")), "lots").alias("lot"),
+    )
+
+    def run(block: pa.Table, lot: pa.Table) -> pa.Table:
+        pairs = []
+        if block.num_rows and lot.num_rows:
+            sig, sets = own_sets(block, size)
+            label_of = dict(zip(block["sig"].to_pylist(), block["label"].to_pylist(), strict=True))
+            labels = np.array([label_of[s] for s in sig.tolist()], np.int64)
+            index = Index(sets)
+            mine = dict(zip(lot["sig"].to_pylist(), lot["label"].to_pylist(), strict=True))
+            for s, own in zip(*own_sets(lot, size), strict=True):
+                found = index.search(own, labels != mine[int(s)], percent)
+                pairs += [(int(s), int(x)) for x in np.unique(labels[found])]
+        flat = np.array(pairs, np.int64).reshape(-1, 2)
+        return pa.table({"sig": flat[:, 0], "root": flat[:, 1]})
+
+    keys = ["part", "block", "lot"]
+    across = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "sig long, root long")
+    names = components(known.unionByName(across), "sig", "root")
+    return texts.select("sig").distinct().join(names, F.col("sig") == F.col("id"), "left").select("sig", F.coalesce("component", "sig").alias("root"))
+
+
 def similar_groups(docs: DataFrame, id_col: str, text: str, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
     A set holds the different ``size``-word shingles of the lower-cased (A-Z) whole text; a text of fewer
     words is one shingle; a text without words, or null, has none and links with nothing. Rows link when
     100 * intersection >= percent * union. component_id is the smallest id reachable by links, the row's
-    own included (null ids reach, but don't name; a group of null ids only has a null component). Repeated
-    rows are in one component. Only the two named columns are read. Sets and shingles are told apart by
-    64-bit hashes.
+    own included. A set that only rows of null id have links with nothing and its component is null.
+    Repeated rows are in one component. Only the two named columns are read. Sets and shingles are told
+    apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     n_buckets = width(spark)
@@ -381,16 +465,23 @@ def similar_groups(docs: DataFrame, id_col: str, text: str, size: int = WORDS, p
     full = sizes.where("n > 0")
     shared = shared_shingles(dealt_shingles(docs, "text", size, percent, n_buckets), n_buckets)
     edges = materialize(stars(short_lists(shared, full, percent, n_buckets)), "stars")
-    parts = components(edges)
-    firsts = full.groupBy("sig").agg(F.min("doc_id").alias("first"), F.min_by("doc_id", F.col("doc_id").isNull()).alias("any"))
+    parts = materialize(components(edges), "parts")
+    firsts = full.groupBy("sig").agg(F.min("doc_id").alias("first"))
     chosen = firsts.join(parts, F.col("sig") == F.col("id")).select(
         F.col("first").alias("doc_id"), "sig", F.col("component").alias("part")
     )
     texts = docs.join(chosen, "doc_id").select("sig", "part", F.coalesce("text", F.lit("")).alias("text"))
-    roots = materialize(search_parts(texts, size, percent, n_buckets), "roots")
-    named = (
-        roots.join(firsts.select("sig", "first"), "sig").groupBy("root").agg(F.min("first").alias("component_id"))
-    )
+    large = parts.groupBy(F.col("component").alias("part")).agg(F.count("*").alias("sets")).where(F.col("sets") > PART)
+    if large.isEmpty():
+        roots = search_parts(texts, size, percent, n_buckets)
+    else:
+        # Small and large parts give the same links; large ones are cut so that a task can hold a block.
+        texts = materialize(texts.join(large, "part", "left"), "texts")
+        roots = search_parts(texts.where("sets is null").drop("sets"), size, percent, n_buckets).unionByName(
+            search_blocks(texts.where("sets is not null"), size, percent, n_buckets)
+        )
+    roots = materialize(roots, "roots")
+    named = roots.join(firsts, "sig").groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = roots.join(named, "root").select("sig", "component_id")
     of_class = firsts.join(of_class, "sig", "left").select("sig", F.coalesce("component_id", "first").alias("component_id"))
     return (
