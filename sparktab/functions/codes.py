@@ -57,12 +57,12 @@ def _known(c: Column, sentinel: float) -> Column:
 
 
 def floor_code(c: Column, sentinel: float = -999999.0) -> Column:
-    return F.floor(_known(c, sentinel)).cast("int")
+    return F.floor(_known(c, sentinel)).cast("long")
 
 
 def round_code(c: Column, decimals: int, sentinel: float = -999999.0) -> Column:
     """Scaled and rounded half to even."""
-    return F.rint(_known(c, sentinel) * F.lit(float(10**decimals))).cast("int")
+    return F.rint(_known(c, sentinel) * F.lit(float(10**decimals))).cast("long")
 
 
 def mod_code(c: Column, modulus: int) -> Column:
@@ -108,10 +108,10 @@ def hash_cross3(a: Column, b: Column, c: Column) -> Column:
 
 
 def all_crosses(
-    df: DataFrame, bases: Sequence[str], manual: Sequence[tuple[str, str]] = (), width: int = 10
+    df: DataFrame, bases: Sequence[str], manual: Sequence[tuple[str, str]] = (), width: int | None = None
 ) -> DataFrame:
-    """Hashed crosses: the manual pairs, all pairs of the first ``width`` bases that exist,
-    and the trios at positions 0-2, 3-5 and 6-8. Absent bases are skipped."""
+    """Hashed crosses: the manual pairs, all pairs of the bases that exist (of the first ``width``,
+    if given), and the trios at positions 0-2, 3-5 and 6-8. Absent bases are skipped."""
     have = set(df.columns)
     bases = [b for b in bases if b in have][:width]
     new: dict[str, Column] = {}

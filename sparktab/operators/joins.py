@@ -74,14 +74,30 @@ def lookup_value(
 def predictions_by_model(preds: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
     """One row per key with ``map(model -> p)``, from one aggregation of the long table.
 
-    Only keys that every model covers are kept, as an inner join of all models would.
+    Only keys that every model covers are kept, as an inner join of all models would. Several
+    predictions of one model for a key (seeds) are averaged element by element.
     """
     by = list(by)
     n_models = preds.select(F.count_distinct("model")).first()[0]
+    entries, named = F.col("__e"), F.array_distinct(F.transform("__e", lambda e: e["model"]))
+    averaged = F.transform(
+        named, lambda m: F.struct(m.alias("model"), _mean_vector(F.filter("__e", lambda e: e["model"] == m)).alias("p"))
+    )
     return (
         preds.groupBy(*by)
-        .agg(F.map_from_entries(F.collect_list(F.struct("model", "p"))).alias("models"))
-        .where(F.size("models") == n_models)
+        .agg(F.collect_list(F.struct("model", "p")).alias("__e"))
+        .where(F.size(named) == n_models)
+        .select(
+            *by, F.map_from_entries(F.when(F.size(entries) > n_models, averaged).otherwise(entries)).alias("models")
+        )
+    )
+
+
+def _mean_vector(entries: Column) -> Column:
+    """Element-wise mean of the vectors ``p`` of several entries."""
+    return F.transform(
+        F.sequence(F.lit(0), F.size(entries[0]["p"]) - 1),
+        lambda i: F.aggregate(entries, F.lit(0.0), lambda s, e: s + e["p"][i]) / F.size(entries),
     )
 
 

@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktab.functions.exprs import hash_text
+from sparktab.functions.exprs import finite, hash_text
 from sparktab.functions.proba import cascade_compose, ovr_combine
 from sparktab.operators.encoders import class_weights
 from sparktab.operators.folds import balanced_sample
@@ -32,9 +32,9 @@ from sparktab.operators.metrics import auc
 
 
 def with_features(df: DataFrame, cols: Sequence[str | Column], keep: Sequence[str]) -> DataFrame:
-    """``features`` vector from numeric columns; missing values count as 0."""
+    """``features`` vector from numeric columns; missing, NaN and infinite values count as 0."""
     cells = [
-        F.coalesce((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(0.0)) for c in cols
+        F.coalesce(finite((F.col(c) if isinstance(c, str) else c).cast("double")), F.lit(0.0)) for c in cols
     ]
     return df.select(*keep, array_to_vector(F.array(*cells)).alias("features"))
 
@@ -152,16 +152,17 @@ class Perceptron:
         return _Fitted(Pipeline(stages=stages).fit(rows), self.k)
 
 
-# Booster settings by row count: depth stands for the leaf counts 15, 31 and 63 (fixed values).
-PRESETS = (
-    (10_000, {"depth": 4, "step": 0.05, "min_rows": 50, "subsample": 0.8}),
-    (100_000, {"depth": 5, "step": 0.05, "min_rows": 20, "subsample": 0.8}),
-    (None, {"depth": 6, "step": 0.1, "min_rows": 10, "subsample": 0.8}),
-)
+# Booster settings: depth stands for the leaf counts 15, 31 and 63 (fixed values).
+PRESETS = {
+    "small": {"depth": 4, "step": 0.05, "min_rows": 50, "subsample": 0.8},
+    "medium": {"depth": 5, "step": 0.05, "min_rows": 20, "subsample": 0.8},
+    "large": {"depth": 6, "step": 0.1, "min_rows": 10, "subsample": 0.8},
+}
 
 
-def preset_for_size(n: int) -> dict:
-    return dict(next(values for limit, values in PRESETS if limit is None or n < limit))
+def preset(name: str) -> dict:
+    """Settings the caller names. They were tuned on fewer than 10,000 rows, fewer than 100,000, and more."""
+    return dict(PRESETS[name])
 
 
 def refit_rounds(best: Sequence[int], cap: int, default: int) -> int:
@@ -272,9 +273,9 @@ class _FittedOneVsRest:
         return out.withColumn("p", ovr_combine([F.col(n) for n in names])).drop(*names)
 
 
-def boosted(k: int, n: int | None = None, **settings) -> OneVsRest:
-    """Boosted multiclass learner; ``n`` rows choose the preset."""
-    chosen = {**(preset_for_size(n) if n is not None else {}), **settings}
+def boosted(k: int, preset_name: str | None = None, **settings) -> OneVsRest:
+    """Boosted multiclass learner with a named preset, if any; ``settings`` come first."""
+    chosen = {**(preset(preset_name) if preset_name is not None else {}), **settings}
     return OneVsRest(k, Binary(**chosen))
 
 

@@ -97,10 +97,14 @@ def align_to(df: DataFrame, ids: DataFrame, id_col: str, on_missing: str = "null
 
 
 def check_contract(
-    df: DataFrame, key: str, p: str, k: int, by: Sequence[str] = (), tolerance: float = 1e-6
+    df: DataFrame, key: str, p: str, k: int, by: Sequence[str] = (), tolerance: float = 1e-6,
+    n_rows: int | None = None, equal_rows: bool = False,
 ) -> DataFrame:
     """Per group: rows, distinct keys, vector widths, null and row-sum violations.
 
+    A group is valid if it has none and, where asked, holds ``n_rows`` rows or (``equal_rows``) as
+    many as the largest group.
+
     Distinct keys are counted by a first aggregation on (group, key), which also carries the
     other figures, so a key may repeat any number of times.
     """
@@ -113,7 +117,7 @@ def check_contract(
         F.count_if(bad).alias("bad"),
         F.count_if(~bad & (F.abs(s - 1) > tolerance)).alias("off"),
     )
-    return first.groupBy(*by).agg(
+    found = first.groupBy(*by).agg(
         F.sum("n").alias("rows"),
         F.count(F.lit(1)).alias("keys"),
         F.min("lo").alias("min_width"),
@@ -123,11 +127,17 @@ def check_contract(
         ((F.min("lo") == k) & (F.max("hi") == k) & (F.sum("bad") == 0) & (F.sum("off") == 0)
          & (F.sum("n") == F.count(F.lit(1)))).alias("valid"),
     )
+    if n_rows is not None:
+        found = found.withColumn("valid", F.col("valid") & (F.col("rows") == n_rows))
+    if equal_rows:
+        most = found.agg(F.max("rows").alias("__most"))
+        found = found.join(F.broadcast(most)).withColumn("valid", F.col("valid") & (F.col("rows") == F.col("__most"))).drop("__most")
+    return found
 
 
 def align_columns(a: DataFrame, b: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     """Columns of both frames that are not text, id or target, in the order of ``a``."""
-    other = set(b.columns) | set()
+    other = set(b.columns)
     skip = set(exclude)
     return [
         f.name
@@ -140,13 +150,14 @@ def read_pseudo_labels(
     df: DataFrame, classes: Sequence[str], id_col: str = "id", target: str = "class",
     threshold: float = 0.995,
 ) -> DataFrame | None:
-    """``(id, label, conf)`` from either layout; None for an unknown one.
+    """``(id, label, conf)`` from either layout; None for an unknown one. A table without ids would
+    have to be matched by row order and is refused.
 
     One probability column per class: rows reaching ``threshold`` stay. ``(id, class)``: all
     rows of known classes stay with confidence 1.
     """
     if id_col not in df.columns:
-        return None
+        raise ValueError(f"pseudo labels need the key column {id_col}; rows have no order to match them by")
     if set(classes) <= set(df.columns):
         probs = [F.col(c).cast("double") for c in classes]
         s = total(probs)

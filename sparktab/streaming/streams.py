@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktab.session import scratch_path
-
 
 def read_stream(
     spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet", pattern: str | None = None,
@@ -59,13 +57,14 @@ def watch_experiments(
     )
 
 
-def run_to_table(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
-    """Process everything available into a table in the shared folder and return it.
+def run_to_table(stream: DataFrame, path: str, state: str, mode: str = "append") -> DataFrame:
+    """Process everything available into the table at ``path`` and return the whole table.
 
-    The checkpoint lies beside the table, so a restarted run continues where it stopped.
+    ``state`` is the checkpoint folder: a run with the same two folders continues where the last
+    one stopped. In append mode windows that are still open when the input ends are not emitted;
+    they come once later rows move the watermark past their end.
     """
     spark = stream.sparkSession
-    path, state = scratch_path(spark, tag), scratch_path(spark, f"{tag}-state")
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)

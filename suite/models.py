@@ -46,7 +46,7 @@ def t1(spark, sf):
 @query("t2_boosted_multiclass")
 def t2(spark, sf):
     rows = frame(spark, sf, folds=2)
-    learner = T.boosted(3, rows.count(), rounds=3, depth=3)
+    learner = T.boosted(3, "medium", rounds=3, depth=3)
     return _report(Q.oof_predict(rows, learner, 3, "boosted"), ["fold"])
 
 
@@ -220,8 +220,8 @@ def t15(spark, sf):
 @query("t16_preset_for_size")
 def t16(spark, sf):
     rows = frame(spark, sf, folds=2)
-    chosen = T.preset_for_size(rows.count())
-    fitted = T.boosted(3, rows.count(), rounds=2, depth=2).fit(rows)
+    chosen = T.preset("small")
+    fitted = T.boosted(3, "small", rounds=2, depth=2).fit(rows)
     return _report(fitted.proba(rows)).withColumn("step", F.lit(chosen["step"]))
 
 

@@ -176,7 +176,7 @@ def s13(spark, sf):
     named = F.when(F.col("o_orderstatus") == "F", "galaxy").when(F.col("o_orderstatus") == "O", "qso").otherwise("other")
     a = T.read_pseudo_labels(wide, CLASSES, threshold=0.55).withColumn("layout", F.lit("proba"))
     b = T.read_pseudo_labels(o.select(F.col("o_orderkey").alias("id"), named.alias("class")), CLASSES)
-    assert T.read_pseudo_labels(o, CLASSES) is None
+    assert T.read_pseudo_labels(o.select(F.col("o_orderkey").alias("id")), CLASSES) is None
     return rounded(a.unionByName(b.withColumn("layout", F.lit("label"))))
 
 

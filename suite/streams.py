@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparktab.operators.binning import QuantileBinner
 from sparktab.operators.joins import lookup
+from sparktab.session import materialize, scratch_path
 from sparktab.streaming import streams as X
 from suite.common import query, r, rounded, table
 from suite.binning import _below, _cont, _TRIM
@@ -28,6 +29,7 @@ def x1(spark, sf):
     half = ev.where("event_id % 2 = 0")
     bins = QuantileBinner(["value"], 10).fit(half)
     means = half.where("user_id % 10 <> 0").groupBy("user_id").agg(F.avg("value").alias("user_mean"))
+    means = materialize(means, "means")  # once, not in every micro-batch
     scored = X.score_stream(
         _stream(spark, sf).select("event_id", "user_id", "value"),
         [
@@ -36,7 +38,8 @@ def x1(spark, sf):
             lambda d: lookup(d, means, "user_id", {"user_mean": 0.0}),
         ],
     )
-    return rounded(X.run_to_table(scored.select("event_id", "value_log", "value_q10", "user_mean"), "scored"))
+    picked = scored.select("event_id", "value_log", "value_q10", "user_mean")
+    return rounded(X.run_to_table(picked, scratch_path(spark, "scored"), scratch_path(spark, "scored-state")))
 
 
 @query(
@@ -50,5 +53,5 @@ def x2(spark, sf):
     """Every row arrives twice; windows are emitted once the watermark passes their end."""
     twice = _stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     watched = X.watch_experiments(twice, "ts", "event_id", "value", "event_type")
-    out = X.run_to_table(watched, "watched")
+    out = X.run_to_table(watched, scratch_path(spark, "watched"), scratch_path(spark, "watched-state"))
     return rounded(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
