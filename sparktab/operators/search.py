@@ -12,7 +12,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -78,7 +78,12 @@ def score_candidates(
     df: DataFrame, features: Sequence[Column], candidates: Sequence[Candidate], y: str, k: int,
     by: str | None = None, form: str = "auto",
 ) -> DataFrame:
-    """``(cand, [by], y, n, hit)``: rows and right answers per candidate, group and class."""
+    """``(cand, [by], y, n, hit)``: rows and right answers per candidate, group and class.
+
+    Two forms with one result: JVM sums for few candidates, NumPy batches for many. A row with a
+    missing feature counts in ``n`` and is nobody's hit; of equal scores the first class wins;
+    groups and classes keep their types.
+    """
     if form == "auto":
         form = "sums" if len(candidates) <= MAX_SUM_COLUMNS else "arrays"
     if form == "sums":
@@ -91,10 +96,14 @@ def _score_by_sums(df, features, candidates, y, by) -> DataFrame:
     keep = ([by] if by else []) + [y]
     base = df.select(*keep, *[e.alias(n) for n, e in zip(names, features)])
     xs = [F.col(n) for n in names]
+    whole = F.lit(True)
+    for x in xs:
+        whole = whole & x.isNotNull() & ~F.isnan(x)
     hits = [
         F.sum(
-            (
-                argmax_of([weighted(xs, w, b) for w, b in zip(c.weights, c.bias)]) == F.col(y)
+            F.coalesce(
+                whole & (argmax_of([weighted(xs, w, b) for w, b in zip(c.weights, c.bias)]) == F.col(y)),
+                F.lit(False),
             ).cast("long")
         ).alias(f"h{j}")
         for j, c in enumerate(candidates)
@@ -115,6 +124,7 @@ def _score_by_arrays(df, features, candidates, y, by) -> DataFrame:
     n_cand, k, width = weights.shape
     matrix = weights.reshape(n_cand * k, width).T
     keys = ([by] if by else []) + [y]
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rows_at_once = max(256, 4_000_000 // (n_cand * k))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,12 +132,18 @@ def _score_by_arrays(df, features, candidates, y, by) -> DataFrame:
         sizes: dict[tuple, int] = {}
         for pdf in batches:
             x = np.stack(pdf["x"].to_numpy())
+            x = x.astype("float64")
+            whole = ~np.isnan(x).any(1)
             truth = pdf[y].to_numpy()
             codes, groups = pd.factorize(pd.MultiIndex.from_frame(pdf[keys]))
             for start in range(0, len(pdf), rows_at_once):
                 part = slice(start, start + rows_at_once)
-                s = (x[part] @ matrix).reshape(-1, n_cand, k) + bias
-                right = s.argmax(2) == truth[part, None]
+                # Features are added one after another, as an expression adds them.
+                s = np.zeros((len(x[part]), n_cand * k))
+                for j in np.flatnonzero(matrix.any(1)):
+                    s += np.nan_to_num(x[part, j, None]) * matrix[j]
+                s = s.reshape(-1, n_cand, k) + bias
+                right = (s.argmax(2) == truth[part, None]) & whole[part, None]
                 for g in np.unique(codes[part]):
                     inside = codes[part] == g
                     key = tuple(groups[g])
@@ -136,11 +152,11 @@ def _score_by_arrays(df, features, candidates, y, by) -> DataFrame:
         for key, hit in counts.items():
             out = pd.DataFrame({"cand": np.arange(n_cand, dtype="int32")})
             for name, value in zip(keys, key):
-                out[name] = int(value)
+                out[name] = value
             out["n"], out["hit"] = sizes[key], hit.astype("int64")
             yield out
 
-    fields = ", ".join(["cand int", *[f"`{c}` long" for c in keys], "n long", "hit long"])
+    fields = ", ".join(["cand int", *[f"`{c}` {types[c]}" for c in keys], "n long", "hit long"])
     ready = df.select(*keys, F.array(*features).alias("x"))
     return (
         ready.mapInPandas(partial, fields)
@@ -255,24 +271,34 @@ def search_blend_weights(
 ) -> tuple[list[float], float]:
     """Model weights on the simplex with the best balanced accuracy.
 
-    A coarse grid, then ever finer grids around the best point; the single models are part
-    of the first grid. Ties go to the earlier candidate.
+    The first candidates are the single models, the even blend, and the even blends of two. Then
+    weight moves from one model to another, n**2 moves in each of ``rounds`` rounds for each step
+    size from 1/2 down to 1/(4 * steps), so the number of candidates grows with the square of the
+    number of models. The result is never below the best single model or the even blend. Ties
+    go to the earlier candidate.
     """
     features = model_features(models, k)
-    points = simplex_grid(len(models), steps)
+    n = len(models)
+    points = [tuple(float(i == j) for j in range(n)) for i in range(n)] + [(1.0 / n,) * n]
+    points += [tuple(0.5 * ((i in pair) - 0.0) for i in range(n)) for pair in combinations(range(n), 2)]
     best: list[float] = []
     score = -1.0
-    step = 1.0 / steps
-    for _ in range(rounds):
+    step, turn = 0.5, 0
+    while True:
         cands = [blend_candidate(p, k) for p in points]
         found = collect_scores(
             score_candidates(wide, features, cands, y, k), len(cands), k, y, None
         )
         values = balanced(found.recalls())
         top = int(np.argmax(values))
-        if values[top] > score:
+        better = values[top] > score
+        if better:
             best, score = list(points[top]), float(values[top])
-        step /= 2
+        turn += 1
+        if not better or turn > rounds:
+            step, turn = step / 2, 0
+        if step < 0.25 / steps:
+            return best, score
         near = set()
         for i, j in product(range(len(models)), repeat=2):
             if i != j and best[j] - step >= -1e-12:
@@ -281,7 +307,6 @@ def search_blend_weights(
                 moved[j] = max(0.0, moved[j] - step)
                 near.add(tuple(moved))
         points = sorted(near)
-    return best, score
 
 
 def search_rules(

@@ -8,6 +8,7 @@ sides, so one crowded cell becomes many tasks. Each (query, block) keeps k rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,12 @@ from sparktab.session import materialize
 
 
 def _pivots(ref: DataFrame, features: str, n: int, wanted: int) -> np.ndarray:
-    fraction = min(1.0, 4.0 * wanted / max(n, 1))
+    # Drawn evenly over the whole frame, whatever the order of its files.
+    fraction = min(1.0, wanted / max(n, 1))
     probe = ref.sample(fraction=fraction, seed=3) if fraction < 1 else ref
-    rows = [r[0] for r in probe.select(features).limit(wanted).collect()]
+    rows = [r[0] for r in probe.select(features).collect()]
+    if not rows:
+        rows = [ref.select(features).first()[0]]
     return np.unique(np.array(rows, dtype="float64"), axis=0)
 
 
@@ -42,12 +46,16 @@ def _distance_function():
 
 def nearest(
     ref: DataFrame, query: DataFrame, key: str, features: str, k: int, y: str = "y",
-    block_rows: int = 20_000, max_pivots: int = 256,
+    block_rows: int = 20_000,
 ) -> DataFrame:
-    """``(key, ref_key, y, distance)``: the k nearest reference rows, ties by reference key."""
+    """``(key, ref_key, y, distance)``: the k nearest reference rows, ties by reference key.
+
+    The number of pivots grows with the square root of the rows, so cells and the choice among
+    them grow alike. A task holds one block and the distances of a slice of queries to it.
+    """
     distances = _distance_function()
     n = ref.count()
-    centres = _pivots(ref, features, n, max(1, min(max_pivots, n // 50)))
+    centres = _pivots(ref, features, n, max(1, min(2 * math.isqrt(n), n // 50)))
     m = len(centres)
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,7 +69,7 @@ def nearest(
         ref.select(F.col(key).cast("long"), F.col(y).cast("int"), cast).mapInPandas(to_cells, shape),
         "knn-cells",
     )
-    # Per cell: size, radius and its k smallest radii. At most max_pivots rows.
+    # Per cell: size, radius and its k smallest radii. One row per pivot.
     near = Window.partitionBy("cell").orderBy("radius")
     inner = (
         cells.select("cell", "radius").withColumn("r", F.row_number().over(near))
@@ -127,18 +135,21 @@ def nearest(
             return pd.DataFrame({key: [], "ref_key": [], y: [], "distance": []})
         right = right.sort_values(key, ignore_index=True)
         ids, labels = right[key].to_numpy(), right[y].to_numpy()
-        points = np.stack(right[features].to_numpy())
-        d = distances(np.stack(left[features].to_numpy()), points)
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        width = order.shape[1]
-        return pd.DataFrame(
-            {
-                key: np.repeat(left[key].to_numpy(), width),
-                "ref_key": ids[order].ravel(),
-                y: labels[order].ravel(),
-                "distance": np.take_along_axis(d, order, 1).ravel(),
-            }
-        )
+        points, asked_ = np.stack(right[features].to_numpy()), np.stack(left[features].to_numpy())
+        width, parts = min(k, len(ids)), []
+        rows = max(1, 4_000_000 // len(ids))  # at most 32 MB of distances at a time
+        for start in range(0, len(asked_), rows):
+            d = distances(asked_[start : start + rows], points)
+            # All rows as near as the k-th, then ties by reference key.
+            bound = np.partition(d, width - 1, axis=1)[:, width - 1 : width]
+            q, r = np.nonzero(d <= bound)
+            near = np.lexsort((r, d[q, r], q))
+            q, r = q[near], r[near]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            q, r = q[place < width], r[place < width]
+            parts.append((left[key].to_numpy()[start + q], ids[r], labels[r], d[q, r]))
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        return pd.DataFrame(dict(zip([key, "ref_key", y, "distance"], columns)))
 
     group = ["cell", "part", "slice"]
     found = asked.groupBy(*group).cogroup(stored.groupBy(*group)).applyInPandas(

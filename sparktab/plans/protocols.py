@@ -212,11 +212,10 @@ def multi_level(
         for rule in rules:
             naive[(str(kind), rule)] = search_rule(rows, "p", "y", k, rule, **search)[1]
     labels: dict = {key: [] for key in naive}
-    ids = preds.select("id", fold).distinct()
     for f in fold_numbers(preds, fold):
-        train_ids = ids.where(F.col(fold) != f).select("id")
         held = preds.where(F.col(fold) == f)
-        block, after = _level_one(preds, models, metas, train_ids, held, k, inner, seed + f)
+        rest = preds.where(F.col(fold) != f)
+        block, after = _level_one(rest, models, metas, None, held, k, inner, seed + f)
         for kind in level2:
             rows, scored = _level_two(kind, block, after, names, k)
             rows = materialize(rows.select("id", "y", "p"), "level2-block")

@@ -84,15 +84,23 @@ def c4(spark, sf):
     )
 
 
+def _stacked(frames):
+    """All encoded frames, each row with the number of its frame."""
+    out = frames[0].withColumn("frame", F.lit(0))
+    for i, frame in enumerate(frames[1:], 1):
+        out = out.unionByName(frame.withColumn("frame", F.lit(i)))
+    return out
+
+
 @query(
     "c5_label_encode",
     """WITH v AS (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS code FROM (SELECT DISTINCT p_name FROM part))
-    SELECT p_partkey, code AS p_name_code FROM part JOIN v USING (p_name) WHERE p_partkey % 3 = 0""",
+    SELECT p_partkey, code AS p_name_code, CAST(p_partkey % 3 AS INTEGER) AS frame FROM part JOIN v USING (p_name)""",
 )
 def c5(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name")
     frames = [part.where(F.col("p_partkey") % 3 == i) for i in range(3)]
-    return C.label_encode(frames, "p_name")[0].drop("p_name")
+    return _stacked(C.label_encode(frames, "p_name")).drop("p_name")
 
 
 @query(
@@ -122,14 +130,15 @@ def c7(spark, sf):
     "c8_sorted_codes_per_fold",
     f"""WITH {PHOTO}, t AS (SELECT id, {SPEC} || '|' || {POP} AS j FROM photo WHERE source <> 'aux'),
     c AS (SELECT j, row_number() OVER (ORDER BY j) - 1 AS code FROM (SELECT DISTINCT j FROM t))
-    SELECT id, code AS joint_code FROM photo JOIN t USING (id) JOIN c USING (j) WHERE source = 'train' AND id % 5 = 2""",
+    SELECT id, code AS joint_code, CASE WHEN source = 'test' THEN 2 WHEN id % 5 = 2 THEN 1 ELSE 0 END AS frame
+    FROM photo JOIN t USING (id) JOIN c USING (j)""",
 )
 def c8(spark, sf):
     made = codes.cross([F.col("spectral_type"), F.col("galaxy_population")])
     parts = _split(spark, sf, made.alias("joint"))
     train = parts["train"].where("id % 5 <> 2")
     valid = parts["train"].where("id % 5 = 2")
-    return C.label_encode([train, valid, parts["test"]], "joint")[1].select("id", "joint_code")
+    return _stacked(C.label_encode([train, valid, parts["test"]], "joint")).select("id", "joint_code", "frame")
 
 
 _CARDS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"]
@@ -170,15 +179,15 @@ def c11(spark, sf):
 
 @query(
     "c12_count_encode",
-    """WITH n AS (SELECT o_custkey, count(*) AS c FROM orders WHERE o_orderkey % 4 < 2 GROUP BY 1)
+    """WITH n AS (SELECT o_custkey, count(*) AS c FROM orders GROUP BY 1)
     SELECT o_orderkey, coalesce(c, 0) AS o_custkey_count, """
     + r("ln(1 + coalesce(c, 0))", "o_custkey_log_count") + ", "
-    + r("coalesce(c, 0) / (SELECT count(*) FROM orders WHERE o_orderkey % 4 < 2)", "o_custkey_share", 9)
+    + r("coalesce(c, 0) / (SELECT count(*) FROM orders)", "o_custkey_share", 9)
     + " FROM orders LEFT JOIN n USING (o_custkey)",
 )
 def c12(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    frames = [o.where("o_orderkey % 4 = 0"), o.where("o_orderkey % 4 = 1")]
+    frames = [o.where("o_orderkey % 4 = 0"), o.where("o_orderkey % 4 <> 0")]
     out = C.count_encode(frames, o, ["o_custkey"]).drop("o_custkey")
     share = F.floor(F.col("o_custkey_share") * 1e9 + 0.5) / 1e9
     ln = F.floor(F.col("o_custkey_log_count") * 1e6 + 0.5) / 1e6

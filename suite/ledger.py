@@ -152,10 +152,10 @@ def l4_budget(spark, sf):
 @query(
     "l5_validation_rollup",
     f"""SELECT user_id AS skill, count(DISTINCT event_type) AS competitions, {r('avg(CASE WHEN event_id % 3 <> 0 THEN value END)', 'avg_gain')},
-      count(DISTINCT event_type) >= 3 AS validated FROM events WHERE user_id % 4 = 0 OR event_type = 'click' GROUP BY user_id""",
+      count(DISTINCT event_type) >= 3 AS validated FROM events GROUP BY user_id""",
 )
 def l5(spark, sf):
-    ev = table(spark, sf, "events").where("user_id % 4 = 0 OR event_type = 'click'").select(
+    ev = table(spark, sf, "events").select(
         F.col("user_id").alias("skill"), F.col("event_type").alias("competition"),
         F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("gain"))
     return rounded(L.validation_rollup(ev, "skill", "competition", "gain"))

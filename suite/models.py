@@ -213,7 +213,7 @@ def t14(spark, sf):
 
 @query("t15_tune_meta")
 def t15(spark, sf):
-    out = Q.tune_meta(meta(spark, sf), 3, Q.META_GRID[:3], iters=10, **_QUICK)
+    out = Q.tune_meta(meta(spark, sf), 3, Q.META_GRID, iters=10, **_QUICK)
     return rounded(spark.createDataFrame(out))
 
 

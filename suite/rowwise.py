@@ -150,20 +150,20 @@ def p7(spark, sf):
 
 @query(
     "p8_interactions",
-    f"""WITH {PHOTO}, s AS (SELECT spectral_type, count(*) / (SELECT count(*) FROM photo) AS share
-      FROM photo WHERE spectral_type IS NOT NULL GROUP BY 1)
+    f"""WITH {PHOTO}, s AS (SELECT coalesce(spectral_type, '__NA__') AS kind, count(*) / (SELECT count(*) FROM photo) AS share
+      FROM photo GROUP BY 1)
     SELECT id, """ + ", ".join(
         [r(f"redshift * {b}", f"redshift_x_{b}") for b in BANDS]
         + [r(f"redshift / (abs({b}) + 1e-6)", f"redshift_over_{b}") for b in BANDS]
         + [r("share * coalesce(CASE WHEN redshift < 1 THEN 0 WHEN redshift < 2 THEN 1 END, -1)", "share_bin")])
-    + " FROM photo JOIN s USING (spectral_type)",
+    + " FROM photo JOIN s ON coalesce(spectral_type, '__NA__') = kind",
 )
 def p8(spark, sf):
     ph = photo(spark, sf)
     from sparktab.operators.categories import frequency_encode
 
     df = R.interactions(ph.select("id", "spectral_type", "redshift", *BANDS), "redshift", BANDS)
-    df = frequency_encode(ph, df, "spectral_type", "share").where("spectral_type IS NOT NULL")
+    df = frequency_encode(ph, df, "spectral_type", "share")
     df = df.withColumn("bin", F.when(F.col("redshift") < 1, 0).when(F.col("redshift") < 2, 1))
     df = R.share_times_bin(df, "share", "bin", "share_bin")
     return rounded(df.drop(*BANDS, "redshift", "spectral_type", "share", "bin"))

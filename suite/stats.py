@@ -223,12 +223,12 @@ def e19(spark, sf):
     "e20_term_weights",
     r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
-    d AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 5)
+    d AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
     SELECT doc_id, term, tf, df, """ + r("tf * (ln((1e0 + (SELECT count(*) FROM documents)) / (1e0 + df)) + 1e0)", "weight")
     + " FROM tf JOIN d USING (term)",
 )
 def e20(spark, sf):
-    return rounded(G.term_weights(table(spark, sf, "documents"), "doc_id", "text", 5))
+    return rounded(G.term_weights(table(spark, sf, "documents"), "doc_id", "text", 1))
 
 
 @query("e20_tfidf_components")

@@ -110,21 +110,22 @@ def test_swap_noise_keeps_multiset_of_donors(spark):
 
 
 def example(spark):
-    rows = list(zip(range(8), "ABABCCAB", [1, 0, 1, 1, 0, 0, 1, 0]))
+    rows = [(0, "p", 1), (1, "q", 1), (2, "q", 0), (3, "p", 1), (4, "r", 0), (5, "q", 0), (6, "p", 0), (7, "p", 1), (8, "q", 0), (9, "p", 0)]
     return spark.createDataFrame(rows, "id int, c string, y int")
 
 
 def test_target_encoding_example(spark):
     fit = example(spark)
-    apply = spark.createDataFrame([("A",), ("B",), ("C",), ("new",), (None,)], "c string")
+    apply = spark.createDataFrame([("p",), ("q",), ("r",), ("new",), (None,)], "c string")
     got = {r["c"]: r["c_te"] for r in encoders.target_encode(fit, apply, ["c"], "y", 1.0).collect()}
-    assert got["A"] == 0.875 and got["B"] == 0.375 and abs(got["C"] - 1 / 6) < 1e-12
-    assert got["new"] == 0.5 and got[None] == 0.5
+    # The mean is 4 / 10; p has 3 of 5, q 1 of 4, r 0 of 1.
+    assert abs(got["p"] - 3.4 / 6) < 1e-12 and abs(got["q"] - 1.4 / 5) < 1e-12 and abs(got["r"] - 0.2) < 1e-12
+    assert got["new"] == 0.4 and got[None] == 0.4
 
 
 def test_leave_one_out_example(spark):
     got = {r["id"]: r["c_loo"] for r in encoders.leave_one_out_encode(example(spark), "c", "y", 1.0).collect()}
-    assert abs(got[0] - 0.8333333333) < 1e-9 and got[1] == 0.5
+    assert abs(got[0] - 2.4 / 5) < 1e-12 and abs(got[2] - 1.4 / 4) < 1e-12
 
 
 def test_leave_one_out_single_row_group(spark):
