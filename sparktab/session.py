@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -21,6 +22,9 @@ SETTINGS = {
 }
 
 
+_owned: set[str] = set()
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings above to a session."""
     for key, value in SETTINGS.items():
@@ -45,7 +49,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new path for a written intermediate. All of an application's lie in one folder, which
+    ``clear_scratch`` deletes; that happens by itself when the driver's Python ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/sparktab-{spark.sparkContext.applicationId}"
+    if folder not in _owned:
+        _owned.add(folder)
+        atexit.register(_delete, spark, folder)
+    return f"{folder}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediates of the application; tables that were read from them are gone then."""
+    for folder in list(_owned):
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    _owned.discard(folder)
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session has ended; the folder's owner clears it
+        pass
 
 
 def materialize(df: DataFrame, tag: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
