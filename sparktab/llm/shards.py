@@ -79,7 +79,22 @@ def shard_by_bytes(df: DataFrame, id_col: str, size: Column, tie: Column, n: int
     return placed.join(first, "shard").select("id", "size", "tie", "shard", (F.col("row") - F.col("first")).alias("slot"))
 
 
-@query("op2_sharding")
+@query(
+    "op2_sharding",
+    """
+    WITH RECURSIVE k AS (SELECT i, i AS c, 0 AS bit FROM range(256) AS r(i) UNION ALL
+      SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, bit + 1 FROM k WHERE bit < 8),
+    t AS (SELECT list(c ORDER BY i) AS crcs FROM k WHERE bit = 8),
+    d AS (SELECT doc_id, coalesce(text, '') AS body, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size FROM documents),
+    b AS (SELECT doc_id, size, [CAST(4294967295 AS BIGINT)] || list_transform(regexp_extract_all(hex(encode(body)), '..'),
+        lambda h: CAST(16 * (strpos('0123456789ABCDEF', h[1]) - 1) + strpos('0123456789ABCDEF', h[2]) - 1 AS BIGINT)) AS bytes FROM d),
+    r AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c // 256, crcs[CAST(xor(c % 256, x) AS BIGINT) + 1])), 4294967295) AS crc FROM b, t),
+    s AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, crc, size ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM r),
+    p AS (SELECT *, CAST(least(23, ((2 * start + size) * 24) // (2 * total)) AS INTEGER) AS shard FROM s)
+    SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+      row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+    FROM p""",
+)
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))

@@ -417,7 +417,26 @@ def remove_repeats(
     )
 
 
-@query("op7_suffix_dedup")
+@query(
+    "op7_suffix_dedup",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    piece AS (SELECT doc_id, b, substr(h, 2 * b + 1, 1122) AS t FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 512)) AS b FROM d)),
+    w AS (SELECT doc_id, b + j AS i, substr(t, 2 * j + 1, 100) AS g
+      FROM (SELECT doc_id, b, t, unnest(range(least(512, length(t) // 2 - 49))) AS j FROM piece)),
+    m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+    hit AS (SELECT doc_id, i FROM w JOIN m USING (g) WHERE least < doc_id),
+    brk AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS new FROM hit),
+    num AS (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM brk),
+    span AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM num GROUP BY doc_id, run),
+    cut AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM span),
+    part AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last,
+        string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS head FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+      CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+      sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN part USING (doc_id)""",
+)
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = remove_repeats(docs, "doc_id", "text", form="sha256", keep=["doc_id"])

@@ -37,9 +37,13 @@ def result(spark, name):
     return llm.QUERIES[name](spark, SF).toPandas()
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op10_decontaminate"])
+@pytest.mark.parametrize("name", ["op1_warc", "op2_sharding", "op7_suffix_dedup", "op8_similar", "op10_decontaminate"])
 def test_same_as_sql(spark, duck, name):
-    assert differences(result(spark, name), duck.execute(llm.ORACLES[name]).df()) is None
+    got, want = result(spark, name), duck.execute(llm.ORACLES[name]).df()
+    for c in ("refers_to", "grown_shard"):  # integers with nulls
+        if c in got.columns:
+            got[c], want[c] = (x[c].astype("Int64").astype(str) for x in (got, want))
+    assert differences(got, want) is None
 
 
 def test_sharding(spark, documents):
