@@ -272,7 +272,7 @@ def search_blend_weights(
     """Model weights on the simplex with the best balanced accuracy.
 
     The first candidates are the single models, the even blend, and the even blends of two. Then
-    weight moves from one model to another, n**2 moves in each of ``rounds`` rounds for each step
+    weight (a step, or all there is) moves from one model to another, n**2 moves in each of ``rounds`` rounds for each step
     size from 1/2 down to 1/(4 * steps), so the number of candidates grows with the square of the
     number of models. The result is never below the best single model or the even blend. Ties
     go to the earlier candidate.
@@ -301,12 +301,15 @@ def search_blend_weights(
             return best, score
         near = set()
         for i, j in product(range(len(models)), repeat=2):
-            if i != j and best[j] - step >= -1e-12:
+            moving = min(step, best[j])
+            if i != j and moving > 1e-12:
                 moved = list(best)
-                moved[i] += step
-                moved[j] = max(0.0, moved[j] - step)
+                moved[i] += moving
+                moved[j] -= moving
                 near.add(tuple(moved))
         points = sorted(near)
+        if not points:  # one model alone
+            return best, score
 
 
 def search_rules(
