@@ -201,7 +201,8 @@ def value_shares(df: DataFrame, col: str) -> DataFrame:
 
 
 def profile(df: DataFrame, numeric: Sequence[str], other: Sequence[str], sentinels: Sequence[float] = (-9999.0,)) -> DataFrame:
-    """One row per column: rows, nulls, sentinels, distinct values, min, mean, max.
+    """One row per column: rows, nulls, sentinels, distinct values, min, mean, max, std, and the exact
+    quartiles q25, q50, q75 of the finite values.
 
     Distinct values come from a second aggregation over (column, value) pairs, so no task
     holds a set of values.
@@ -219,7 +220,9 @@ def profile(df: DataFrame, numeric: Sequence[str], other: Sequence[str], sentine
             F.min(c).cast("double").alias(f"min_{c}"),
             F.avg(c).alias(f"mean_{c}"),
             F.max(c).cast("double").alias(f"max_{c}"),
+            F.stddev_samp(c).alias(f"std_{c}"),
         ]
+    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75]) if numeric else {}
     none = F.lit(None).cast("double")
     rows = F.array(
         *[
@@ -231,6 +234,11 @@ def profile(df: DataFrame, numeric: Sequence[str], other: Sequence[str], sentine
                 (F.col(f"min_{c}") if c in numeric else none).alias("min"),
                 (F.col(f"mean_{c}") if c in numeric else none).alias("mean"),
                 (F.col(f"max_{c}") if c in numeric else none).alias("max"),
+                (F.col(f"std_{c}") if c in numeric else none).alias("std"),
+                *[
+                    F.lit(quartiles[c][i] if c in numeric and quartiles[c] else None).cast("double").alias(n)
+                    for i, n in enumerate(["q25", "q50", "q75"])
+                ],
             )
             for c in cols
         ]

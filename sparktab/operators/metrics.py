@@ -219,8 +219,11 @@ def oracle_coverage(wide: DataFrame, models: Sequence[str], k: int, y: str = "y"
     )
 
 
-def compare_sets(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Differences of mean agreement and mean error overlap between two model sets."""
+def compare_sets(
+    a: DataFrame, b: DataFrame, coverage_a: DataFrame | None = None, coverage_b: DataFrame | None = None
+) -> DataFrame:
+    """Differences of mean agreement and mean error overlap between two model sets (``pairwise_agreement``),
+    and with both sets' ``oracle_coverage`` of its two figures."""
 
     def summary(pairs: DataFrame, tag: str) -> DataFrame:
         return pairs.agg(
@@ -232,10 +235,17 @@ def compare_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     def pick(col: str, tag: str) -> Column:
         return F.max(F.when(F.col("which") == tag, F.col(col)))
 
-    return both.agg(
+    out = both.agg(
         (pick("agreement", "b") - pick("agreement", "a")).alias("agreement_delta"),
         (pick("jaccard", "b") - pick("jaccard", "a")).alias("jaccard_delta"),
     )
+    if coverage_a is None or coverage_b is None:
+        return out
+    names = ["any_right", "any_right_recall"]
+    tagged = coverage_a.withColumn("which", F.lit("a")).unionByName(coverage_b.withColumn("which", F.lit("b")))
+    deltas = tagged.agg(*[(pick(n, "b") - pick(n, "a")).alias(f"{n}_delta") for n in names])
+    # One row on either side.
+    return out.withColumn("__one", F.lit(1)).join(deltas.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
 def optimism_gap(naive: DataFrame, nested: DataFrame, on: Sequence[str], score: str = "score") -> DataFrame:

@@ -159,15 +159,19 @@ def m10(spark, sf):
 
 @query(
     "m11_compare_sets",
-    f"""WITH {_WIDE}, a AS ({_pairs(['m1', 'm2', 'm3'])}), b AS ({_pairs(['m2', 'm3', 'm4'])})
-    SELECT {r('(SELECT avg(agreement) FROM b) - (SELECT avg(agreement) FROM a)', 'agreement_delta', 4)},
+    f"""WITH {_WIDE}, a AS ({_pairs(['m1', 'm2', 'm3'])}), b AS ({_pairs(['m2', 'm3', 'm4'])}),
+    h AS (SELECT y, CAST(m1 = y OR m2 = y OR m3 = y AS INTEGER) AS p, CAST(m2 = y OR m3 = y OR m4 = y AS INTEGER) AS q FROM wide),
+    c AS (SELECT y, avg(p) AS p, avg(q) AS q FROM h GROUP BY y)
+    SELECT {r('(SELECT avg(q) - avg(p) FROM h)', 'any_right_delta', 4)}, {r('(SELECT avg(q) - avg(p) FROM c)', 'any_right_recall_delta', 4)},
+      {r('(SELECT avg(agreement) FROM b) - (SELECT avg(agreement) FROM a)', 'agreement_delta', 4)},
       {r('(SELECT avg(error_jaccard) FROM b) - (SELECT avg(error_jaccard) FROM a)', 'jaccard_delta', 4)}""",
 )
 def m11(spark, sf):
     wide = wide_labels(spark, sf)
     a = M.pairwise_agreement(wide, ["m1", "m2", "m3"])
     b = M.pairwise_agreement(wide, ["m2", "m3", "m4"])
-    return rounded(M.compare_sets(a, b), 4)
+    cover = [M.oracle_coverage(wide, m, 3) for m in (["m1", "m2", "m3"], ["m2", "m3", "m4"])]
+    return rounded(M.compare_sets(a, b, *cover), 4)
 
 
 _FOLD = f"{_LAB}, c AS ({_counts('model, fold')}), s AS (SELECT model, fold, {_BA} AS score FROM c)"

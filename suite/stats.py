@@ -145,12 +145,14 @@ _PN, _PO = ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag", "l_
     "e15_profile",
     " UNION ALL ".join(
         [f"""SELECT '{c}' AS "column", count(*) AS "rows", count(*) - count({c}) AS nulls, count(*) FILTER ({c} = -9999) AS sentinels,
-        {r(f'min({c})', 'min')}, {r(f'avg({c})', 'mean', 4)}, {r(f'max({c})', 'max')}, count(DISTINCT {c}) AS n_distinct FROM lineitem""" for c in _PN]
-        + [f"""SELECT '{c}', count(*), count(*) - count({c}), 0, NULL, NULL, NULL, count(DISTINCT {c}) FROM lineitem""" for c in _PO]),
+        {r(f'min({c})', 'min')}, {r(f'avg({c})', 'mean', 4)}, {r(f'max({c})', 'max')}, {r(f'stddev_samp({c})', 'std', 4)},
+        {r(f'quantile_cont({c}, 0.25)', 'q25', 4)}, {r(f'quantile_cont({c}, 0.5)', 'q50', 4)}, {r(f'quantile_cont({c}, 0.75)', 'q75', 4)}, count(DISTINCT {c}) AS n_distinct FROM lineitem""" for c in _PN]
+        + [f"""SELECT '{c}', count(*), count(*) - count({c}), 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(DISTINCT {c}) FROM lineitem""" for c in _PO]),
 )
 def e15(spark, sf):
     out = G.profile(table(spark, sf, "lineitem"), _PN, _PO)
-    return rounded(out.withColumn("mean", F.floor(F.col("mean") * 1e4 + 0.5) / 1e4))
+    short = {c: F.floor(F.col(c) * 1e4 + 0.5) / 1e4 for c in ("mean", "std", "q25", "q50", "q75")}
+    return rounded(out.withColumns(short))
 
 
 @query(
