@@ -153,28 +153,28 @@ def prepare(
     return made["train"], made["test"], features
 
 
-# Numeric columns and name words of the column profiles (fixed values).
 RAW_COLUMNS = ("alpha", "delta", *BANDS, "redshift")
-SKY_COLUMNS = (
-    *RAW_COLUMNS, "sin_alpha", "cos_alpha", "sin_delta", "cos_delta", "sky_x", "sky_y", "sky_z",
-    "redshift_abs", "redshift_log1p", "redshift_sq", "u_g", "g_r", "r_i", "i_z", "u_r",
-    "mag_mean", "mag_std",
-)
-MINIMAL_COLUMNS = (
-    *RAW_COLUMNS, "u_g", "g_r", "r_i", "i_z", "u_r", "g_i", "r_z", "mag_mean", "mag_std",
-    "mag_range", "redshift_abs", "redshift_log1p", "uv_excess", "red_sequence_score",
-    "qso_color_plane",
-)
+NEXT_COLORS = tuple(f"{a}_{b}" for a, b in zip(BANDS, BANDS[1:]))
+SKIP_COLORS = tuple(f"{a}_{b}" for a, b in zip(BANDS, BANDS[2:]))
+BRIGHTNESS = ("mag_mean", "mag_std", "mag_range")
+REDSHIFT_FORMS = ("redshift_abs", "redshift_log1p", "redshift_sq")
+DIRECTIONS = (*(f"{f}_{c}" for c in ("alpha", "delta") for f in ("sin", "cos")), "sky_x", "sky_y", "sky_z")
+SKY_COLUMNS = (*RAW_COLUMNS, *DIRECTIONS, *REDSHIFT_FORMS, *NEXT_COLORS, SKIP_COLORS[0], *BRIGHTNESS[:2])
+MINIMAL_COLUMNS = (*RAW_COLUMNS, *NEXT_COLORS, *SKIP_COLORS, *BRIGHTNESS, *REDSHIFT_FORMS[:2], "qso_color_plane")
+# Name words of the column profiles (fixed values).
 COLOR_WORDS = (*BANDS, "redshift", "mag", "curv", "curvature", "slope", "uv", "qso", "sequence")
 SKY_WORDS = ("alpha", "delta", "sky")
 PROFILES = ("full", "color", "sky", "minimal", "numeric_only", "rounded", "priorheavy")
+ALIASES = {"compact": "minimal", "numeric": "numeric_only"}
 
 
 def select_profile(df: DataFrame, profile: str, keep: Sequence[str] = ("id",)) -> DataFrame:
     """Column subset by profile; text columns count as categories.
 
-    A name matches a word when one of its underscore-separated parts equals it.
+    A name matches a word when one of its underscore-separated parts equals it. Rounded categories are
+    named with the word "round" or end in the number of digits (``_r1``).
     """
+    profile = ALIASES.get(profile, profile)
     if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}; choose from {PROFILES}")
     if profile == "full":
@@ -191,7 +191,7 @@ def select_profile(df: DataFrame, profile: str, keep: Sequence[str] = ("id",)) -
         "sky": [c for c in numbers if c in SKY_COLUMNS] + base + having(texts, SKY_WORDS),
         "minimal": [c for c in numbers if c in MINIMAL_COLUMNS] + base,
         "numeric_only": numbers,
-        "rounded": numbers + [c for c in texts if "round" in c],
+        "rounded": numbers + [c for c in texts if "round" in c or re.search(r"_r\d$", c)],
         "priorheavy": numbers + texts,
     }[profile]
     return df.select(*[c for c in df.columns if c in keep or c in chosen])
