@@ -125,6 +125,7 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(source)
         splitter, codes, known = Splitter(model.specials, kinds), WordCodes(model.encode), 0
+        cleared = codes.cleared
         shown = pa.array(model.tokens, pa.string())
         numbers = pa.array([str(i) for i in range(model.size)], pa.string())
         id_text = word_text = pa.array([], pa.string())
@@ -132,8 +133,8 @@ def encode_texts(
             for part in slices(batch, copy):
                 words = splitter.split(part.column(copy).to_pylist())
                 rows = codes.codes(words)
-                if len(codes.offsets) - 1 < known:
-                    known, id_text, word_text = 0, id_text[:0], word_text[:0]
+                if codes.cleared > cleared:
+                    cleared, known, id_text, word_text = codes.cleared, 0, id_text[:0], word_text[:0]
                 if len(codes.offsets) - 1 > known:
                     ids = pa.array(codes.ids[codes.offsets[known] :])
                     at = pa.array((codes.offsets[known:] - codes.offsets[known]).astype(np.int32))

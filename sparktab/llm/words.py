@@ -104,6 +104,7 @@ class Words:
 
     def __init__(self, points, starts, stops, bounds) -> None:
         self.points, self.starts, self.stops, self.bounds = points, starts, stops, bounds
+        self.place = None
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -112,18 +113,26 @@ class Words:
         if not len(self):
             return np.zeros(0, np.uint64)
         lengths = self.stops - self.starts
+        if self.place is None:
+            begin = np.zeros(len(self.points), np.int64)
+            begin[self.starts] = self.starts
+            self.place = np.arange(len(self.points)) - np.maximum.accumulate(begin)
+            # Spaces between words add nothing to the word before them.
+            np.minimum(self.place, int(lengths.max()) - 1, out=self.place)
         power = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15 + 2 * seed, np.uint64), dtype=np.uint64)
-        inside = np.zeros(len(self.points) + 1, np.int64)
-        inside[self.starts] = 1
-        place = np.arange(len(self.points)) - np.maximum.accumulate(np.where(inside[:-1] > 0, np.arange(len(self.points)), 0))
-        codes = mixed(self.points.astype(np.uint64) + np.uint64(1 + (seed << 32)))
-        np.minimum(place, len(power) - 1, out=place)
-        codes *= power[place]
-        # Spaces between words add nothing to the word before them.
+        codes = self.codes(seed)
+        codes *= power[self.place]
         ends = np.cumsum(codes, dtype=np.uint64)
         first = np.where(self.starts > 0, ends[self.starts - 1], np.uint64(0))
         return mixed(ends[self.stops - 1] - first + lengths.astype(np.uint64))
 
+    def codes(self, seed: int) -> np.ndarray:
+        """A 64-bit code for each code point."""
+        salt = np.uint64(1 + (seed << 32))
+        if int(self.points.max()) < 1 << 16:
+            return mixed(np.arange(1 << 16, dtype=np.uint64) + salt)[self.points]
+        return mixed(self.points.astype(np.uint64) + salt)
+
     def spell(self, i: int) -> str | int:
         """The i-th word; a special token as its number."""
         raw = self.points[self.starts[i] : self.stops[i]]
@@ -138,10 +147,11 @@ class WordCodes:
     """
 
     def __init__(self, encode, most: int = 400_000) -> None:
-        self.encode, self.most, self.seed = encode, most, 0
+        self.encode, self.most, self.seed, self.cleared = encode, most, 0, 0
         self.clear()
 
     def clear(self) -> None:
+        self.cleared += 1
         self.keys = self.checks = np.zeros(0, np.uint64)
         self.rows = np.zeros(0, np.int64)
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
