@@ -391,7 +391,8 @@ def remove_repeats(
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     md5 = F.md5(body.cast("binary"))
-    sig = F.conv(F.substring(md5, 1, 16), 16, -10).cast("long")
+    # Never null, and known to be so: both joins below then read one and the same exchange of the texts.
+    sig = F.coalesce(F.conv(F.substring(md5, 1, 16), 16, -10).cast("long"), F.lit(0).cast("long"))
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(NO_ID)))
     plain = docs.select(sig.alias("sig"), key.alias("doc_id"), body.alias("text"))
     shared = shared_anchors(dealt_anchors(plain, least, n_buckets)).groupBy("sig").agg(F.collect_list("blob").alias("blobs"))
