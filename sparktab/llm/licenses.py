@@ -4,6 +4,16 @@ Words that occur exactly once in both a text and a template are anchors; the lon
 the same order on both sides is kept, and the gaps between them are aligned in the same way until no
 anchors are left. Coverage is the share of the template's words that are aligned.
 
+A text may hold a license more than once, or use its words elsewhere; then few words are unique in the
+whole of it. So where the whole text isn't aligned as far as its words allow, stretches of it are aligned
+too: of about the template's length from every place where a covering alignment can begin, then of growing
+lengths up to the whole text. The best alignment counts.
+
+A text may hold a license more than once, or use its words elsewhere; then few words are unique in the
+whole of it. So where the whole text isn't aligned as far as its words allow, stretches of it are too: from
+every place where an alignment that covers enough can begin, of about the template's length and then of
+growing lengths up to the whole text. The best alignment counts.
+
 A template can't be covered better than by the words it has in common with the text, so only templates
 for which this bound reaches the threshold are aligned; nothing that could reach it is left out.
 """
@@ -129,6 +139,52 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def stretch_bounds(ids: np.ndarray, caps: np.ndarray, length: int) -> np.ndarray:
+    """Words of a template (``caps`` of each) that the ``length`` words from each place of a text on have at most.
+
+    ``ids`` are the text's words as places in ``caps``, -1 for others.
+    """
+    at = np.flatnonzero((ids >= 0) & (caps[ids] > 0))
+    at = at[np.argsort(ids[at], kind="stable")]
+    word = ids[at]
+    # A word counts in the stretches that begin behind its occurrence ``caps`` times before.
+    back = np.arange(len(at)) - caps[word]
+    low = np.where((back >= 0) & (word[back] == word), at[back] + 1, 0)
+    low = np.maximum(low, at - length + 1)
+    change = np.bincount(low, minlength=len(ids) + 1) - np.bincount(at + 1, minlength=len(ids) + 1)
+    return np.cumsum(change[: len(ids)])
+
+
+def best_alignment(text: list[int], ids: np.ndarray, template: list[int], caps: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The longest alignment of the whole text or of a stretch of it, if one has ``least`` pairs.
+
+    Of equally long ones, that of the whole text, then of the shortest and the first stretches.
+    """
+    best = patience(text, template)
+    most = int(stretch_bounds(ids, caps, len(text)).max(initial=0))
+    length = len(template) + len(template) // 4 + 1
+    step = 1
+    while len(best) < most:
+        bounds = stretch_bounds(ids, caps, length)
+        starts = np.arange(0, len(text), step)
+        starts = starts[bounds[starts] >= max(least, len(best) + 1)]
+        for s in starts[np.argsort(-bounds[starts], kind="stable")].tolist():
+            need = max(least, len(best) + 1)
+            if bounds[s] < need:
+                break
+            # An alignment that begins here, but further inside the template, has too few words left.
+            if step > 1 or text[s] in template[: len(template) - need + 1]:
+                pairs = patience(text[s : s + length], template)
+                if len(pairs) > len(best):
+                    best = [(s + i, j) for i, j in pairs]
+        if length >= len(text):
+            break
+        # Longer stretches overlap by seven eighths, so that all of one length take time in line with the text.
+        length += length // 2
+        step = max(1, length // 8)
+    return best
+
+
 def scan_licenses(
     df: DataFrame, text: str, templates: dict[str, str] | None = None, coverage: float = COVERAGE, keep: list[str] | None = None
 ) -> DataFrame:
@@ -138,7 +194,7 @@ def scan_licenses(
     name; null if none reaches ``coverage``), coverage, n_matched (aligned words), first_word and
     last_word (places of the first and last aligned word in the text), n_covered (templates that reach
     it). A null or empty text covers nothing; a template without words is never covered. Texts are
-    aligned whole. Columns of these names in ``df``, in any spelling, are replaced.
+    aligned whole and, where that leaves words of a template over that they hold, in stretches. Columns of these names in ``df``, in any spelling, are replaced.
     """
     added = ["license", "coverage", "n_matched", "first_word", "last_word", "n_covered"]
     types = ["string", "double", "int", "int", "int", "int"]
@@ -157,6 +213,8 @@ def scan_licenses(
         # How often each template holds each word.
         holds = np.stack([np.bincount(np.searchsorted(words, o), minlength=len(words)) for o in owned]) if len(words) else np.zeros((len(names), 0))
         sizes = np.array([len(o) for o in owned])
+        # The fewest words that make the share; rounding of the product must not ask for one more.
+        least = np.ceil(coverage * sizes - 1e-9)
         lists = [o.tolist() for o in owned]
         for batch in batches:
             for part in slices(batch, copy):
@@ -167,11 +225,12 @@ def scan_licenses(
                 owner = np.repeat(np.arange(part.num_rows), np.diff(at))[common]
                 counts = np.zeros((part.num_rows, len(words)), np.int32)
                 np.add.at(counts, (owner, place[common]), 1)
+                ids = np.where(common, place, -1)
                 for d in range(part.num_rows):
                     bound = np.minimum(holds, counts[d]).sum(1)
                     best, n = None, 0
-                    for t in np.flatnonzero((bound >= coverage * sizes) & (sizes > 0)):
-                        pairs = patience(keys[at[d] : at[d + 1]].tolist(), lists[t])
+                    for t in np.flatnonzero((bound >= least) & (sizes > 0)):
+                        pairs = best_alignment(keys[at[d] : at[d + 1]].tolist(), ids[at[d] : at[d + 1]], lists[t], holds[t], int(least[t]))
                         share = len(pairs) / int(sizes[t])
                         if pairs and share >= coverage:
                             n += 1

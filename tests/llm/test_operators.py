@@ -187,6 +187,45 @@ def test_license_of_odd_texts(spark):
     assert licenses.scan_licenses(docs_of(spark, rows).limit(0), "text").count() == 0
 
 
+def common_words(a, b):
+    """Length of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_license_that_a_text_holds_more_than_once(spark):
+    line, mit, notice = (licenses.TEMPLATES[n] for n in ("MIT-line", "MIT", "Apache-2.0-notice"))
+    changed = mit.replace("sublicense", "sell on").replace("persons", "folk")
+    scattered = " ".join(sorted(set(notice.lower().split())) * 3)
+    texts = [f"foo bar {line} {prose(20, 1)} {line} the end", f"{mit} {mit}", f"{notice}\n{prose(400, 2)}\n{notice}\n{prose(9, 3)} {notice}",
+             f"{prose(50, 4)} {changed} {changed} {prose(50, 5)} {changed}", f"{scattered} {prose(30, 6)} {notice} {scattered}",
+             # Each copy is longer than the template by half.
+             " ".join(f"{w} {i if i % 2 else ''}" for i, w in enumerate(mit.split())) + " and " + " ".join(f"{w} {i if i % 2 else ''}" for i, w in enumerate(mit.split())),
+             f"{prose(50, 7)} {' '.join(mit.split()[:50])} {' '.join(mit.split()[:50])}"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(spark, list(enumerate(texts))), "text").collect()}
+    words = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    names = ["MIT-line", "MIT", "Apache-2.0-notice", "MIT", "Apache-2.0-notice", "MIT", None]
+    for i, (text, name) in enumerate(zip(texts, names, strict=True)):
+        assert got[i]["license"] == name
+        if name:
+            template = words(licenses.TEMPLATES[name])
+            most = common_words(words(changed) if i == 3 else template, template)
+            # Alignment by anchors leaves some repeated words over where foreign words lie between them.
+            assert 0.95 * most <= got[i]["n_matched"] <= most if i == 5 else got[i]["n_matched"] == most
+            assert got[i]["coverage"] == pytest.approx(got[i]["n_matched"] / len(template))
+            assert common_words(words(text)[got[i]["first_word"] : got[i]["last_word"] + 1], template) >= got[i]["n_matched"]
+    assert (got[0]["first_word"], got[0]["last_word"]) == (2, 6) and got[1]["first_word"] == 0
+    # 28 of 35 words are 0.8 of them, though 0.8 * 35 is a little more than 28.
+    own = {"own": " ".join(f"w{i}" for i in range(35))}
+    some = docs_of(spark, [(1, " ".join(f"w{i}" for i in range(28)))])
+    assert licenses.scan_licenses(some, "text", own).first()["license"] == "own"
+
+
 # Nearest neighbours
 
 
