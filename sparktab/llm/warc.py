@@ -1,7 +1,7 @@
 """WARC archives as a Spark data source: ``spark.read.format("warc")`` and ``df.write.format("warc")``.
 
 Archives are gzip members, one for each record, whose gzip header carries the compressed length (the
-"sl" extra field). A reader inflates the first bytes of a member, parses the WARC header, tests the
+"sl" extra field). A reader inflates a member as far as its headers go, parses the WARC header, tests the
 pushed predicates and, when the record or its payload isn't wanted, jumps to the next member.
 Writers name split points in a manifest, so one large file gives many partitions. Archives without a
 manifest or without the extra field are read too, one partition for each file.
@@ -157,6 +157,35 @@ class Window:
         return self.held[start - self.at : start - self.at + n]
 
 
+class Member:
+    """A gzip member, inflated no further than asked."""
+
+    def __init__(self, window: Window, start: int, stop: int, first: int) -> None:
+        self.window, self.at, self.stop, self.step = window, start, stop, first
+        self.inflate, self.rest, self.block = zlib.decompressobj(31), b"", b""
+
+    def more(self) -> bool:
+        """Inflate about as much again; false at the member's end."""
+        if not self.rest and self.at < self.stop and not self.inflate.eof:
+            self.rest = self.window.get(self.at, min(self.step, self.stop - self.at))
+            self.at += len(self.rest)
+        if not self.rest:
+            return False
+        self.block += self.inflate.decompress(self.rest, self.step)
+        self.rest = self.inflate.unconsumed_tail
+        self.step = max(self.step, len(self.block))
+        return True
+
+    def blank_line(self, start: int, stop: int | None = None) -> int:
+        """The place behind the first blank line from ``start`` on; -1 if there is none, or none before ``stop``."""
+        seen = start
+        while (at := self.block.find(b"\r\n\r\n", max(start, seen - 3))) < 0:
+            seen = len(self.block)
+            if (stop is not None and seen >= stop) or not self.more():
+                return -1
+        return at + 4
+
+
 def parse_header(text: bytes) -> dict:
     found = {}
     for line in text.split(b"\r\n")[1:]:
@@ -171,10 +200,14 @@ def parse_header(text: bytes) -> dict:
     return found
 
 
+def is_http(header: dict) -> bool:
+    return header.get("content-type", "").startswith("application/http")
+
+
 def http_parts(block: bytes, header: dict) -> tuple[int, int]:
     """(start of the payload in a block, full length of the payload), from the block's first bytes."""
     total = int(header.get("content-length", 0))
-    if not header.get("content-type", "").startswith("application/http"):
+    if not is_http(header):
         return 0, total
     stop = block.find(b"\r\n\r\n")
     if stop < 0:
@@ -208,17 +241,17 @@ def records(window: Window, start: int, stop: int, tests: list, payloads: bool,
             skip = 0
             if lead[: len(GZIP_EXTRA)] == GZIP_EXTRA and lead[12:14] == b"sl":
                 skip = struct.unpack_from("<I", lead, 16)[0]
-            inflate = zlib.decompressobj(31)
-            block = inflate.decompress(lead, first)
-            while b"\r\n\r\n" not in block and not inflate.eof and len(lead) < stop - start:
-                lead = window.get(start, min(2 * len(lead), stop - start))
-                inflate = zlib.decompressobj(31)
-                block = inflate.decompress(lead, len(lead))
-            header_end = block.find(b"\r\n\r\n") + 4
-            header = parse_header(block[: header_end - 4])
+            opened = Member(window, start, stop, first)
+            header_end = opened.blank_line(0)
+            if header_end < 0:
+                raise ValueError(f"the archive's member at byte {start} has no whole WARC header")
+            header = parse_header(opened.block[: header_end - 4])
+            size = int(header.get("content-length", 0))
             take = wanted(header, tests)
             if skip and not (take and payloads):
-                body = block[header_end:]
+                if take and is_http(header):
+                    opened.blank_line(header_end, header_end + size)
+                body = opened.block[header_end : header_end + size]
                 length = skip
             else:
                 if skip:
@@ -233,18 +266,24 @@ def records(window: Window, start: int, stop: int, tests: list, payloads: bool,
                         parts.append(inflate.decompress(chunk))
                         length += len(chunk) - len(inflate.unused_data)
                     block = b"".join(parts)
-                body = block[header_end : header_end + int(header.get("content-length", 0))]
+                body = block[header_end : header_end + size]
         else:
             while b"\r\n\r\n" not in lead and len(lead) < stop - start:
                 lead = window.get(start, min(2 * len(lead), stop - start))
             header_end = lead.find(b"\r\n\r\n") + 4
             if header_end < 4:
+                if lead.strip():
+                    raise ValueError(f"the archive's record at byte {start} has no whole WARC header")
                 return
             header = parse_header(lead[: header_end - 4])
             size = int(header.get("content-length", 0))
             take = wanted(header, tests)
             length = header_end + size + 4
-            body = window.get(start + header_end, size if take and payloads else min(size, first))
+            seen = size if take and payloads else min(size, first)
+            body = window.get(start + header_end, seen)
+            while take and is_http(header) and seen < size and b"\r\n\r\n" not in body:
+                seen = min(2 * seen, size)
+                body = window.get(start + header_end, seen)
         if take:
             at, full = http_parts(body, header)
             keep = payloads and header.get("warc-type") != "revisit"

@@ -89,6 +89,44 @@ def test_warc_reader_tests_headers_and_skips_payloads():
                     assert [p for _, _, p in found] == [None if r["record_type"] == "revisit" else r["payload"] for r in want]
 
 
+def test_warc_headers_of_any_length():
+    import gzip
+    import io
+
+    def long_http(row, n):
+        """The record with ``n`` more bytes in its HTTP header."""
+        data = warc.record_bytes(row)
+        size = int(data.split(b"Content-Length: ")[1].split(b"\r\n")[0])
+        data = data.replace(b"Content-Length: %d" % size, b"Content-Length: %d" % (size + n), 1)
+        return data.replace(b"HTTP/1.1 200 OK\r\n", b"HTTP/1.1 200 OK\r\nX-A: " + b"x" * (n - 7) + b"\r\n", 1)
+
+    noise = random.Random(5)
+    for n in (*range(3500, 4200, 13), 6000, 20_000, 300_000):
+        for url in ("u" * n, "".join(noise.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))):
+            row = {"record_id": "urn:1", "record_type": "response", "target_uri": url, "refers_to": None,
+                   "payload_digest": "ab", "payload_bytes": 12, "payload": b"some payload"}
+            for plain in (warc.record_bytes(row), long_http(row | {"target_uri": "u"}, n)):
+                for data in (warc.member(plain, 1), gzip.compress(plain), plain):
+                    for payloads in (True, False):
+                        found = list(warc.records(warc.Window(io.BytesIO(data), 5000), 0, len(data), [], payloads))
+                        assert [(h["warc-record-id"], m, p) for h, m, p in found] == [("urn:1", 12, b"some payload" if payloads else None)]
+                        assert found[0][0]["warc-target-uri"] == (url if plain[:400].count(b"X-A") == 0 else "u")
+    for data in (warc.member(b"WARC/1.1\r\nWARC-Type: response\r\n", 1), b"WARC/1.1\r\nWARC-Type: response\r\n"):
+        with pytest.raises(ValueError, match="header"):
+            list(warc.records(warc.Window(io.BytesIO(data)), 0, len(data), [], True))
+
+
+def test_warc_of_long_urls(spark):
+    rows = [(i, "http://a/" + "x" * n, f"page {i}") for i, n in enumerate((3500, 3900, 4000, 4096, 6000, 20_000))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    path = scratch_path(spark, "warc")
+    warc.write_warc(warc.archive_records(pages, "page_id", "url", "html"), path)
+    back = {warc_row["target_uri"]: bytes(warc_row["payload"]).decode() for warc_row in warc.read_warc(spark, path).collect()}
+    assert back == {u: h for _, u, h in rows}
+    heads = warc.read_warc(spark, path, "target_uri string, payload_bytes long").collect()
+    assert {r["target_uri"]: r["payload_bytes"] for r in heads} == {u: len(h) for _, u, h in rows}
+
+
 def test_warc_pushes_predicates(spark):
     path = scratch_path(spark, "warc")
     pages = spark.createDataFrame([(1, "u", "a")], "page_id long, url string, html string")
