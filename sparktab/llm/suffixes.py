@@ -12,13 +12,15 @@ occurs. Equal strings must meet in one task, and only text that can hold one sho
    one symbol and the rank behind it, and merge. Adjacent suffixes whose first
    ``least`` bytes agree form a group; its smallest document id decides.
 
-Parts are cut by the anchors' hashes, so no task holds more than its share of stretches, and the stretches
-of one frequent passage are mostly equal and travel once for each task.
+Parts are cut by the anchors' hashes, and the stretches of one frequent passage are mostly equal and travel
+once for each task. Where a frequent anchor has many different stretches (around the edges of such a passage),
+its windows are dealt out one by one instead, each by its own hash: only equal windows must meet.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,13 +49,17 @@ LEAST = 50
 ARRAY_BYTES = 1 << 20
 #: Bytes of stretches that a task gathers before it hands them on.
 STRETCHES = 12 << 20
+#: An anchor with more (text, mark of the stretch) than HOT, of at least MARKS different marks (of 256), is dealt by windows.
+HOT = 4096
+MARKS = 128
+HOT_BIT = np.uint64(1 << 63)
 HASH = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 NO_ID = np.iinfo(np.int64).max
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(first window, last window, anchor, hash of the anchor) of each run of windows with one anchor."""
+    """(first window, last window, hash of the anchor, a byte from the hash of their stretch) of each run of windows with one anchor."""
     k = 2 * least // 5
     w = least - k + 1
     n = len(data)
@@ -61,7 +67,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     size = np.diff(offsets)
     inside[ragged(offsets[:-1], np.maximum(size - least + 1, 0))] = True
     if not inside.any():
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
     inverse = pow(HASH, -1, 1 << 64)
     power = np.full(n, HASH, np.uint64)
     back = np.full(n, inverse, np.uint64)
@@ -83,7 +89,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     low = window[first]
     high = window[np.append(np.flatnonzero(first)[1:] - 1, len(window) - 1)]
     anchor = anchor[first]
-    return low, high, anchor, key[anchor]
+    mark = mixed((total[high + least] - total[low]) * back[low]) >> np.uint64(56)
+    return low, high, key[anchor], mark.astype(np.uint8)
 
 
 def names_of(key: np.ndarray) -> tuple[np.ndarray, int]:
@@ -159,47 +166,52 @@ def window_groups(data: np.ndarray, starts: np.ndarray, least: int) -> np.ndarra
 
 
 def dealt_anchors(docs: DataFrame, least: int, n_buckets: int) -> DataFrame:
-    """(bucket, blob): postings (upper half of the anchor's hash, text's signature), by anchor."""
+    """(bucket, blob): postings (upper half of the anchor's hash, mark of the stretch, text's signature), by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_bytes(part.column("text"))
-                low, _, _, key = anchors(data, offsets, least)
+                low, _, key, mark = anchors(data, offsets, least)
                 sig = part.column("sig").to_numpy()
-                held.append((key, sig[np.searchsorted(offsets, low, side="right") - 1]))
-            if sum(len(h) for h, _ in held) >= GATHER:
+                held.append((key, mark, sig[np.searchsorted(offsets, low, side="right") - 1]))
+            if sum(len(h[0]) for h in held) >= GATHER:
                 yield from flush(held)
                 held = []
         if held:
             yield from flush(held)
 
     def flush(held):
-        key, sig = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((key, sig))
-        key, sig = key[order], sig[order]
-        new = run_starts(key) | run_starts(sig)
-        key, sig = key[new], sig[new]
-        return blobs(["bucket", "blob"], bucket_of(key, n_buckets), (key >> np.uint64(32)).astype(np.uint32), sig)
+        key, mark, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((mark, key, sig))
+        key, mark, sig = key[order], mark[order], sig[order]
+        new = run_starts(key) | run_starts(sig) | run_starts(mark)
+        key, mark, sig = key[new], mark[new], sig[new]
+        return blobs(["bucket", "blob"], bucket_of(key, n_buckets), (key >> np.uint64(32)).astype(np.uint32), mark, sig)
 
     return docs.select("sig", "text").mapInArrow(run, "bucket int, blob binary")
 
 
 def shared_anchors(dealt: DataFrame) -> DataFrame:
-    """(sig, blob): the anchors of a text that other texts have, some in each row."""
+    """(sig, blob): the anchors of a text that other texts have, some in each row; with HOT_BIT if dealt by windows."""
 
     def run(group: pa.Table) -> pa.Table:
         own = group["bucket"][0].as_py()
-        key, sig = unpack_all((b.as_py() for b in group["blob"]), np.uint32, np.int64)
-        order = np.lexsort((sig, key))
-        key, sig = key[order], sig[order]
-        new = run_starts(key) | run_starts(sig)
-        key, sig = key[new], sig[new]
+        key, mark, sig = unpack_all((b.as_py() for b in group["blob"]), np.uint32, np.uint8, np.int64)
+        order = np.lexsort((mark, sig, key))
+        key, mark, sig = key[order], mark[order], sig[order]
+        text = run_starts(key) | run_starts(sig)
+        new = text | run_starts(mark)
+        key, mark, sig, text = key[new], mark[new], sig[new], text[new]
         first = np.flatnonzero(run_starts(key))
-        texts = np.diff(np.append(first, len(key)))
-        several = np.repeat(texts, texts) > 1
+        many = np.diff(np.append(first, len(key)))
+        hot = many > HOT
+        for i in np.flatnonzero(hot).tolist():
+            hot[i] = len(np.unique(mark[first[i] : first[i] + many[i]])) >= MARKS
+        several = (np.repeat(np.add.reduceat(text.astype(np.int64), first), many) > 1) & text
         named = (np.uint64(own) << np.uint64(32)) | key[several].astype(np.uint64)
+        named |= np.where(np.repeat(hot, many)[several], HOT_BIT, np.uint64(0))
         sig = sig[several]
         order = np.argsort(sig, kind="stable")
         sig, named = sig[order], named[order]
@@ -212,7 +224,7 @@ def shared_anchors(dealt: DataFrame) -> DataFrame:
 
 
 def dealt_stretches(texts: DataFrame, least: int, n_buckets: int) -> DataFrame:
-    """(bucket, blob): stretches around shared anchors, of rows (sig, doc_id, text, blobs)."""
+    """(bucket, blob): stretches around shared anchors, or their single windows, of rows (sig, doc_id, text, blobs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, bytes], int] = {}
@@ -221,22 +233,30 @@ def dealt_stretches(texts: DataFrame, least: int, n_buckets: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_bytes(part.column("text"))
-                low, high, anchor, key = anchors(data, offsets, least)
+                low, high, key, _ = anchors(data, offsets, least)
                 doc = np.searchsorted(offsets, low, side="right") - 1
                 bucket = bucket_of(key, n_buckets)
                 named = (bucket.astype(np.uint64) << np.uint64(32)) | (key >> np.uint64(32))
-                kept = np.zeros(len(low), bool)
+                kept, hot = np.zeros(len(low), bool), np.zeros(len(low), bool)
                 lists = part.column("blobs").to_pylist()
                 bounds = np.searchsorted(doc, np.arange(len(lists) + 1))
                 for i, own in enumerate(lists):
                     a, b = bounds[i], bounds[i + 1]
                     if a < b and own:
-                        kept[a:b] = np.isin(named[a:b], np.frombuffer(b"".join(own), np.uint64))
-                rows = np.flatnonzero(kept)
+                        names = np.frombuffer(b"".join(own), np.uint64)
+                        kept[a:b] = np.isin(named[a:b], names & ~HOT_BIT)
+                        hot[a:b] = np.isin(named[a:b] | HOT_BIT, names)
                 raw = data.tobytes()
+                rows, single = np.flatnonzero(kept & ~hot), np.flatnonzero(hot)
+                windows = high[single] - low[single] + 1
+                alone = ragged(low[single], windows)
+                own_key = mixed(np.array([zlib.crc32(raw[a : a + least]) for a in alone.tolist()], np.uint64))
+                begin, end = np.append(low[rows], alone), np.append(high[rows], alone) + least
+                code = np.append(key[rows], own_key)
+                rows = np.append(rows, np.repeat(single, windows))
                 number = np.empty(len(rows), np.int64)
-                upper = (key >> np.uint64(48)).astype(np.int64)
-                for j, (a, b, c, u) in enumerate(zip(low[rows].tolist(), (high[rows] + least).tolist(), bucket[rows].tolist(), upper[rows].tolist(), strict=True)):
+                dealt, upper = bucket_of(code, n_buckets), (code >> np.uint64(48)).astype(np.int64)
+                for j, (a, b, c, u) in enumerate(zip(begin.tolist(), end.tolist(), dealt.tolist(), upper.tolist(), strict=True)):
                     own_ = ((c << 16) | u, raw[a:b])
                     at = found.get(own_)
                     if at is None:
@@ -244,7 +264,7 @@ def dealt_stretches(texts: DataFrame, least: int, n_buckets: int) -> DataFrame:
                         held += b - a
                     number[j] = at
                 sig, ids = part.column("sig").to_numpy(), part.column("doc_id").to_numpy()
-                places.append(np.stack([number, sig[doc[rows]], ids[doc[rows]], low[rows] - offsets[doc[rows]]], 1))
+                places.append(np.stack([number, sig[doc[rows]], ids[doc[rows]], begin - offsets[doc[rows]]], 1))
                 if held >= STRETCHES or sum(map(len, places)) > GATHER:
                     yield from flush(found, places)
                     found, places, held = {}, [], 0
@@ -304,7 +324,7 @@ def repeated_spans(stretches: DataFrame, least: int) -> DataFrame:
         sizes = np.array([len(x) for x in texts], np.int64)
         least_doc = np.full(len(texts), NO_ID, np.int64)
         np.minimum.at(least_doc, number, doc)
-        # Arrays of bounded size; stretches of one anchor have one head and stay together.
+        # Arrays of bounded size; stretches of one anchor, and equal windows, have one head and stay together.
         order = np.argsort(np.array(heads), kind="stable")
         heads = np.array(heads)[order]
         filled = np.cumsum(sizes[order]) // ARRAY_BYTES

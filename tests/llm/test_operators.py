@@ -404,6 +404,33 @@ def test_repeats_on_odd_texts(spark, monkeypatch, small):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == (n, gone, runs, left)
 
 
+def test_repeats_around_a_hot_passage_meet_in_many_parts(spark, monkeypatch):
+    from sparktab.llm.common import unpack
+    from tests.llm.test_queries import removed
+
+    hot = prose(10, 8)
+    texts = {i: f"{prose(3, 2 * i)}{hot}{prose(3, 2 * i + 1)}" for i in range(300)}
+    texts |= {1000 + i: t[5:-5] for i, t in texts.items() if i % 7 == 0}
+    monkeypatch.setattr(suffixes, "HOT", 100)
+    seen = {}
+
+    def largest(stretches, least):
+        sizes = {}
+        for r in stretches.collect():
+            own, _, _, places, *_ = unpack(r["blob"], np.uint32, np.uint16, np.uint8, np.uint32, np.int64, np.int64, np.uint32)
+            sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + int(own.sum())
+        seen["share"] = max(sizes.values()) / sum(sizes.values())
+        return spans(stretches, least)
+
+    spans = suffixes.repeated_spans
+    monkeypatch.setattr(suffixes, "repeated_spans", largest)
+    monkeypatch.setattr(suffixes, "width", lambda _: 64)
+    got = {r["doc_id"]: r for r in suffixes.remove_repeats(docs_of(spark, list(texts.items())), "doc_id", "text").collect()}
+    for i, (n, gone, runs, left) in removed(texts).items():
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == (n, gone, runs, left)
+    assert seen["share"] < 0.1
+
+
 def test_repeats_of_equal_and_null_ids(spark):
     long = prose(40, 1)
     rows = [(1, long), (1, long), (2, long), (None, long), (None, long + "!")]
