@@ -23,7 +23,9 @@ def load_all() -> None:
         quality,
         shards,
         similar,
+        spellings,
         suffixes,
+        urls,
         warc,
     )
 
