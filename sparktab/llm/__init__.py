@@ -15,6 +15,7 @@ cloudpickle.register_pickle_by_value(_package)
 
 def load_all() -> None:
     from sparktab.llm import (  # noqa: F401
+        alignment,
         ann,
         bpe,
         decontaminate,
