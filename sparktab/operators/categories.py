@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktab.functions.codes import cross, token
-from sparktab.operators.joins import lookup
+from sparktab.operators.joins import lookup, lookup_values, packed_stats
 from sparktab.operators.ranks import (
     ROWS_PER_BUCKET,
     range_bucket,
@@ -199,24 +199,30 @@ def joint_frequency_encode(
 
 
 def count_encode(
-    frames: Sequence[DataFrame], apply: DataFrame, cols: Sequence[str]
+    frames: Sequence[DataFrame], apply: DataFrame, cols: Sequence[str], packed: bool | None = None
 ) -> DataFrame:
-    """Count, log1p(count) and share over all ``frames``; unseen values 0."""
+    """Count, log1p(count) and share over all ``frames``; unseen values 0.
+
+    One aggregation counts all columns; columns too large to broadcast share one packed join.
+    """
     rows = max(sum(f.count() for f in frames), 1)
-    out = apply
+    keys = {c: f"__t{i}" for i, c in enumerate(cols)}
+    tokens = [f.select(*[token(F.col(c)).alias(k) for c, k in keys.items()]) for f in frames]
+    every = tokens[0]
+    for f in tokens[1:]:
+        every = every.unionByName(f)
+    counts = packed_stats(every, list(keys.values()), [F.count(F.lit(1)).alias("__n")])
+    named = {k: counts[k].withColumnRenamed("__n", f"{c}_count") for c, k in keys.items()}
+    keyed = apply.withColumns({k: token(F.col(c)) for c, k in keys.items()})
+    out = lookup_values(keyed, named, {f"{c}_count": 0 for c in cols}, packed=packed).drop(*keys.values())
+    made = {}
     for c in cols:
-        counts = _union(frames, c).groupBy(F.col(c).alias("__t")).agg(
-            F.count(F.lit(1)).alias(f"{c}_count")
-        )
-        counts = materialize(counts, "stats")
-        out = lookup(out.withColumn("__t", token(F.col(c))), counts, "__t", {f"{c}_count": 0})
-        out = out.drop("__t").withColumns(
-            {
-                f"{c}_log_count": F.log1p(F.col(f"{c}_count")),
-                f"{c}_share": F.col(f"{c}_count") / F.lit(rows),
-            }
-        )
-    return out
+        made |= {
+            f"{c}_count": F.col(f"{c}_count"),
+            f"{c}_log_count": F.log1p(F.col(f"{c}_count")),
+            f"{c}_share": F.col(f"{c}_count") / F.lit(rows),
+        }
+    return out.select(*[c for c in apply.columns if c not in made], *[v.alias(n) for n, v in made.items()])
 
 
 def levels(df: DataFrame, col: str, max_levels: int = 10) -> list:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparktab.functions.exprs import hash_text
-from sparktab.operators.joins import lookup, lookup_value, packed_stats
+from sparktab.operators.joins import by_column, lookup, lookup_values, packed_stats, packed_table
 from sparktab.session import materialize
 
 
@@ -25,7 +25,7 @@ def class_shares(df: DataFrame, y: str, k: int) -> list[float]:
 
 def target_encode(
     fit: DataFrame, apply: DataFrame, cols: Sequence[str], y: str, smoothing: float = 1.0,
-    noise: float = 0.0, seed: int = 0, suffix: str = "_te", key: str | None = None,
+    noise: float = 0.0, seed: int = 0, suffix: str = "_te", key: str | None = None, packed: bool | None = None,
 ) -> DataFrame:
     """``(sum + s*g) / (n + s)`` per category; null and unseen categories get the mean ``g``.
 
@@ -41,12 +41,11 @@ def target_encode(
             / (F.count(F.lit(1)) + F.lit(float(smoothing)))
         ).alias("__te")
     ])
-    out = apply
-    for i, c in enumerate(cols):
-        name = c + suffix
-        out = lookup_value(out, c, stats[c].withColumnRenamed("__te", name), {name: g})
-        if noise:
-            out = out.withColumn(name, F.col(name) * (1 + F.lit(noise) * normal_draw(key, seed + 2 * i)))
+    named = {c: stats[c].withColumnRenamed("__te", c + suffix) for c in cols}
+    out = lookup_values(apply, named, {c + suffix: g for c in cols}, packed=packed)
+    if noise:
+        drawn = {c + suffix: F.col(c + suffix) * (1 + F.lit(noise) * normal_draw(key, seed + 2 * i)) for i, c in enumerate(cols)}
+        out = out.withColumns(drawn)
     return out
 
 
@@ -87,6 +86,7 @@ def _te_names(col: str, k: int, names: Sequence[str] | None) -> list[str]:
 def fold_safe_encode(
     train: DataFrame, cols: Sequence[str], y: str, k: int, fold: str = "inner",
     smooth: float = 16.0, apply: DataFrame | None = None, class_names: Sequence[str] | None = None,
+    packed: bool | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Class rates per category that never see the row's own fold.
 
@@ -96,57 +96,57 @@ def fold_safe_encode(
     written result.
     """
     priors = class_shares(train, y, k)
-    encoded, applied = train, apply
-    packed = _per_fold(train, cols, y, k, fold)
-    for col in cols:
-        names = _te_names(col, k, class_names)
-        sums = [f"__s{c}" for c in range(k)]
-        per_fold, totals = packed[col]
-        others = per_fold.select(
-            "__v",
-            fold,
-            *[
-                (
-                    (F.col(f"{s}_all") - F.col(s) + F.lit(smooth * g))
-                    / (F.col("__n_all") - F.col("__n") + F.lit(float(smooth)))
-                ).alias(name)
-                for s, g, name in zip(sums, priors, names)
-            ],
-        )
-        encoded = lookup_value(encoded, col, others, dict(zip(names, priors)), [fold])
-        if applied is not None:
-            whole = totals.select(
-                "__v",
-                *[
-                    (
-                        (F.col(f"{s}_all") + F.lit(smooth * g))
-                        / (F.col("__n_all") + F.lit(float(smooth)))
-                    ).alias(name)
-                    for s, g, name in zip(sums, priors, names)
-                ],
-            )
-            applied = lookup_value(applied, col, whole, dict(zip(names, priors)))
-    return encoded, applied
-
-
-def _per_fold(train: DataFrame, cols: Sequence[str], y: str, k: int, fold: str) -> dict[str, tuple]:
-    """column -> (sums by value and fold beside the value's totals, totals by value)."""
+    per_fold, totals = _per_fold(train, cols, y, k, fold, apply is not None)
+    sums = [f"__s{c}" for c in range(k)]
+    names = {col: _te_names(col, k, class_names) for col in cols}
+    defaults = {name: g for col in cols for name, g in zip(names[col], priors)}
+    others = {
+        col: per_fold[col].select("__v", fold, *[
+            (
+                (F.col(f"{s}_all") - F.col(s) + F.lit(smooth * g))
+                / (F.col("__n_all") - F.col("__n") + F.lit(float(smooth)))
+            ).alias(name)
+            for s, g, name in zip(sums, priors, names[col])
+        ])
+        for col in cols
+    }
+    encoded = lookup_values(train, others, defaults, [fold], packed)
+    if apply is None:
+        return encoded, None
+    whole = {
+        col: totals[col].select("__v", *[
+            ((F.col(s) + F.lit(smooth * g)) / (F.col("__n") + F.lit(float(smooth)))).alias(name)
+            for s, g, name in zip(sums, priors, names[col])
+        ])
+        for col in cols
+    }
+    return encoded, lookup_values(apply, whole, defaults, packed=packed)
+
+
+def _per_fold(
+    train: DataFrame, cols: Sequence[str], y: str, k: int, fold: str, whole: bool
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame] | None]:
+    """column -> sums by value and fold beside the value's totals, and column -> totals by value.
+
+    Totals of all columns come from one aggregate of the written sums.
+    """
     sums = ["__n", *[f"__s{c}" for c in range(k)]]
-    stats = packed_stats(
+    stats = packed_table(
         train.select(*dict.fromkeys([*cols, y, fold])), cols,
         [F.count(F.lit(1)).cast("double").alias("__n"), *_class_sums(y, k)], [fold],
     )
-    out = {}
-    for col in cols:
-        over = Window.partitionBy("__v")  # a row per fold
-        beside = stats[col].select("*", *[F.sum(c).over(over).alias(f"{c}_all") for c in sums])
-        beside = materialize(beside, "stats")
-        out[col] = (beside, beside.select("__v", *[f"{c}_all" for c in sums]).distinct())
-    return out
+    over = Window.partitionBy("__c", "__v")  # a row per fold
+    beside = stats.select("*", *[F.sum(c).over(over).alias(f"{c}_all") for c in sums])
+    beside = by_column(materialize(beside, "beside", partition_by=["__c"]), cols)
+    if not whole:
+        return beside, None
+    totals = stats.groupBy("__c", "__v").agg(*[F.sum(c).alias(c) for c in sums])
+    return beside, by_column(materialize(totals, "totals", partition_by=["__c"]), cols)
 
 
 def auto_smooth_encode(
     train: DataFrame, cols: Sequence[str], y: str, k: int, fold: str, apply: DataFrame | None = None,
+    packed: bool | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Out-of-fold class rates shrunk by variance (empirical Bayes).
 
@@ -154,7 +154,6 @@ def auto_smooth_encode(
     flag over the fitting rows and ``s2`` its variance inside the category. For a 0/1 flag both
     follow from sums, so one aggregation by (category, fold) serves every fold.
     """
-    encoded, applied = train, apply
     base = train.groupBy(fold).agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         *[F.sum((F.col(y) == c).cast("double")).alias(f"s{c}") for c in range(k)],
@@ -169,44 +168,39 @@ def auto_smooth_encode(
         weight = F.try_divide(n * (g * (1 - g)), n * (g * (1 - g)) + inside)
         return F.coalesce(weight * mean + (1 - weight) * g, mean, g)
 
-    packed = _per_fold(train, cols, y, k, fold)
-    for col in cols:
-        names = _te_names(col, k, None)
-        sums = [f"__s{c}" for c in range(k)]
-        per_fold, totals = packed[col]
-        prior = {}
-        for c, s in enumerate(sums):
-            g = F.lit(None).cast("double")
-            for r in base:
-                left = n_all - r["n"]
-                share = (s_all[c] - r[f"s{c}"]) / left if left else 0.0
-                g = F.when(F.col(fold) == F.lit(r[fold]), F.lit(share)).otherwise(g)
-            prior[s] = g
-        others = per_fold.select(
-            "__v",
-            fold,
-            *[
-                shrunk(
-                    F.col("__n_all") - F.col("__n"), F.col(f"{s}_all") - F.col(s), prior[s]
-                ).alias(name)
-                for s, name in zip(sums, names)
-            ],
-        )
-        encoded = lookup_value(encoded, col, others, None, [fold])
-        encoded = encoded.withColumns(
-            {name: F.coalesce(F.col(name), prior[s]) for s, name in zip(sums, names)}
-        )
-        if applied is not None:
-            shares = [float(s / n_all) if n_all else 0.0 for s in s_all]
-            whole = totals.select(
-                "__v",
-                *[
-                    shrunk(F.col("__n_all"), F.col(f"{s}_all"), g).alias(name)
-                    for s, g, name in zip(sums, shares, names)
-                ],
-            )
-            applied = lookup_value(applied, col, whole, dict(zip(names, shares)))
-    return encoded, applied
+    per_fold, totals = _per_fold(train, cols, y, k, fold, apply is not None)
+    sums = [f"__s{c}" for c in range(k)]
+    names = {col: _te_names(col, k, None) for col in cols}
+    prior = {}
+    for c, s in enumerate(sums):
+        g = F.lit(None).cast("double")
+        for r in base:
+            left = n_all - r["n"]
+            share = (s_all[c] - r[f"s{c}"]) / left if left else 0.0
+            g = F.when(F.col(fold) == F.lit(r[fold]), F.lit(share)).otherwise(g)
+        prior[s] = g
+    others = {
+        col: per_fold[col].select("__v", fold, *[
+            shrunk(F.col("__n_all") - F.col("__n"), F.col(f"{s}_all") - F.col(s), prior[s]).alias(name)
+            for s, name in zip(sums, names[col])
+        ])
+        for col in cols
+    }
+    encoded = lookup_values(train, others, None, [fold], packed)
+    encoded = encoded.withColumns(
+        {name: F.coalesce(F.col(name), prior[s]) for col in cols for s, name in zip(sums, names[col])}
+    )
+    if apply is None:
+        return encoded, None
+    shares = [float(s / n_all) if n_all else 0.0 for s in s_all]
+    whole = {
+        col: totals[col].select("__v", *[
+            shrunk(F.col("__n"), F.col(s), g).alias(name) for s, g, name in zip(sums, shares, names[col])
+        ])
+        for col in cols
+    }
+    defaults = {name: g for col in cols for name, g in zip(names[col], shares)}
+    return encoded, lookup_values(apply, whole, defaults, packed=packed)
 
 
 def encoders_needed(selected: Sequence[str], cols: Sequence[str], k: int, class_names=None) -> list[str]:
@@ -216,13 +210,13 @@ def encoders_needed(selected: Sequence[str], cols: Sequence[str], k: int, class_
 
 
 def aux_prior_encode(
-    aux: DataFrame, apply: DataFrame, cols: Sequence[str], y: str, k: int, smooth: float = 30.0
+    aux: DataFrame, apply: DataFrame, cols: Sequence[str], y: str, k: int, smooth: float = 30.0,
+    packed: bool | None = None,
 ) -> DataFrame:
     """Class rates per value learned from the auxiliary table only, with counts."""
     priors = class_shares(aux, y, k)
-    out = apply
     n = F.count(F.lit(1)).cast("double")
-    packed = packed_stats(aux.select(*dict.fromkeys([*cols, y])), cols, [
+    found = packed_stats(aux.select(*dict.fromkeys([*cols, y])), cols, [
         *[
             (
                 (F.sum((F.col(y) == c).cast("double")) + F.lit(smooth * priors[c]))
@@ -232,14 +226,14 @@ def aux_prior_encode(
         ],
         F.count(F.lit(1)).alias("_aux_count"),
     ])
-    for col in cols:
-        stats = packed[col].select("__v", *[F.col(f"_aux_{c}").alias(f"{col}_aux_{c}") for c in [*range(k), "count"]])
-        defaults: dict = {f"{col}_aux_{c}": priors[c] for c in range(k)}
-        defaults[f"{col}_aux_count"] = 0
-        out = lookup_value(out, col, stats, defaults).withColumn(
-            f"{col}_aux_log_count", F.log1p(F.col(f"{col}_aux_count"))
-        )
-    return out
+    kinds = [*range(k), "count"]
+    stats = {col: found[col].select("__v", *[F.col(f"_aux_{c}").alias(f"{col}_aux_{c}") for c in kinds]) for col in cols}
+    defaults: dict = {f"{col}_aux_{c}": priors[c] for col in cols for c in range(k)}
+    defaults |= {f"{col}_aux_count": 0 for col in cols}
+    out = lookup_values(apply, stats, defaults, packed=packed)
+    logs = {f"{col}_aux_log_count": F.log1p(F.col(f"{col}_aux_count")) for col in cols}
+    kept = [n for col in cols for n in [*[f"{col}_aux_{c}" for c in kinds], f"{col}_aux_log_count"]]
+    return out.withColumns(logs).select(*[c for c in apply.columns if c not in kept], *kept)
 
 
 def class_weights(

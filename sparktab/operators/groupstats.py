@@ -3,33 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.functions.exprs import finite, total
-from sparktab.operators.joins import lookup
+from sparktab.operators.gram import correlations
+from sparktab.operators.joins import lookup_values, packed_stats
 from sparktab.operators.ranks import exact_quantiles
 from sparktab.session import materialize, spread
 
 
-def group_stats(df: DataFrame, keys: dict[str, str], cols: Sequence[str]) -> DataFrame:
+def group_stats(df: DataFrame, keys: dict[str, str], cols: Sequence[str], packed: bool | None = None) -> DataFrame:
     """Count, mean, sample std (0 for one row) and deviation from the mean, per key.
 
-    ``keys`` maps a prefix to its key column; every key is one aggregation plus one lookup.
+    ``keys`` maps a prefix to its key column. One aggregation covers all keys, and keys too large to
+    broadcast are looked up in one packed join.
     """
-    out = df
-    for prefix, key in keys.items():
-        aggs = [F.count(F.lit(1)).alias(f"{prefix}_count")]
-        for c in cols:
-            aggs.append(F.avg(c).alias(f"{prefix}_{c}_mean"))
-            aggs.append(F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{prefix}_{c}_std"))
-        out = lookup(out, materialize(df.groupBy(key).agg(*aggs), "stats"), key)
-        out = out.withColumns(
-            {f"{prefix}_{c}_dev": F.col(c) - F.col(f"{prefix}_{c}_mean") for c in cols}
-        )
-    return out
+    aggs = [F.count(F.lit(1)).alias("count")]
+    for c in cols:
+        aggs += [F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std")]
+    made = ["count", *[f"{c}_{s}" for c in cols for s in ("mean", "std")]]
+    # Several prefixes may share a key, and a key may be a column of ``cols`` too.
+    keyed = df.withColumns({f"__k{i}": F.col(key) for i, key in enumerate(keys.values())})
+    names = [f"__k{i}" for i in range(len(keys))]
+    stats = packed_stats(keyed.select(*names, *dict.fromkeys(cols)), names, aggs)
+    named = {
+        n: stats[n].select("__v", *[F.col(m).alias(f"{prefix}_{m}") for m in made]) for n, prefix in zip(names, keys, strict=True)
+    }
+    out = lookup_values(keyed, named, packed=packed).drop(*names)
+    out = out.withColumns({f"{p}_{c}_dev": F.col(c) - F.col(f"{p}_{c}_mean") for p in keys for c in cols})
+    order = [f"{p}_{m}" for p in keys for m in [*made, *[f"{c}_dev" for c in cols]]]
+    return out.select(*[c for c in df.columns if c not in order], *order)
 
 
 class StandardScale:
@@ -264,29 +269,11 @@ def mean_importance(df: DataFrame, n: int) -> DataFrame:
     )
 
 
-def column_correlation(df: DataFrame, cols: Sequence[str], pairs_per_job: int = 100) -> DataFrame:
-    """Pearson correlation of every column pair, many pairs per pass."""
-    pairs = list(combinations(cols, 2))
-    out: DataFrame | None = None
-    for start in range(0, len(pairs), pairs_per_job):
-        chunk = pairs[start : start + pairs_per_job]
-        row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(chunk)])
-        part = row.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")
-                        )
-                        for i, (a, b) in enumerate(chunk)
-                    ]
-                )
-            )
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+def column_correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every column pair, from one scan whatever their number (``gram``)."""
+    if len(cols) < 2:
         raise ValueError("at least two columns are needed")
-    return out
+    return correlations(df, cols)
 
 
 def date_parts(df: DataFrame, col: str, reference: str = "1970-01-01") -> DataFrame:

@@ -45,10 +45,10 @@ def key_text(col: str, df: DataFrame) -> Column:
     return (F.col(col) + F.lit(0.0) if kind in ("double", "float") else F.col(col)).cast("string")
 
 
-def packed_stats(
+def packed_table(
     frames: DataFrame, cols: Sequence[str], aggregates: Sequence[Column], extra: Sequence[str] = ()
-) -> dict[str, DataFrame]:
-    """Per-value aggregates of several columns from one pass: column -> (``__v``, extra, aggregates).
+) -> DataFrame:
+    """(``__c``, ``__v``, extra, aggregates): per-value aggregates of several columns from one pass.
 
     Rows are unpivoted and combined map-side. The table is written once, a folder for each column,
     so that a later join knows its size: small statistics are broadcast and no fact row moves.
@@ -59,10 +59,21 @@ def packed_stats(
     cells = F.array(*[F.struct(F.lit(i).alias("__c"), key_text(c, frames).alias("__v")) for i, c in enumerate(cols)])
     long = frames.select(*needed, *[F.col(c) for c in cols if c not in needed], F.inline(cells))
     table = long.where(F.col("__v").isNotNull()).groupBy("__c", "__v", *extra).agg(*aggregates)
-    table = materialize(table, "packed", partition_by=["__c"])
+    return materialize(table, "packed", partition_by=["__c"])
+
+
+def by_column(table: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
+    """The part of a written packed table that belongs to each column."""
     return {c: table.where(F.col("__c") == i).drop("__c") for i, c in enumerate(cols)}
 
 
+def packed_stats(
+    frames: DataFrame, cols: Sequence[str], aggregates: Sequence[Column], extra: Sequence[str] = ()
+) -> dict[str, DataFrame]:
+    """``packed_table`` by column: column -> (``__v``, extra, aggregates)."""
+    return by_column(packed_table(frames, cols, aggregates, extra), cols)
+
+
 def lookup_value(
     df: DataFrame, col: str, stats: DataFrame, defaults: dict | None = None, also: Sequence[str] = ()
 ) -> DataFrame:
@@ -71,6 +82,86 @@ def lookup_value(
     return lookup(keyed, stats, ["__v", *also], defaults).drop("__v")
 
 
+#: Rows of one value that a task of a packed join may hold; a value with more is spread.
+ROWS_PER_SALT = 1_000_000
+#: Values of a column that the sketch of frequent values keeps, and those it reports.
+TRACKED, REPORTED = 10_000, 100
+
+
+def fits_broadcast(stats: DataFrame) -> bool:
+    """Whether Spark's own size for a written table lies below its broadcast threshold."""
+    size = int(str(stats._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= stats.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+def lookup_values(
+    df: DataFrame, stats: dict[str, DataFrame], defaults: dict | None = None,
+    also: Sequence[str] = (), packed: bool | None = None,
+) -> DataFrame:
+    """Left join of the statistics of several columns: column -> (``__v``, ``also``, own value columns).
+
+    Statistics that Spark can broadcast are joined one by one, and no fact row moves. All others go
+    through one ``packed_join``, so facts move once for any number of large keys. ``packed``
+    forces one way; None follows the measured sizes. New columns follow the order of ``stats``.
+    """
+    large = [c for c in stats if (packed if packed is not None else not fits_broadcast(stats[c]))]
+    if packed is None and len(large) < 2:
+        large = []
+    out = packed_join(df, {c: stats[c] for c in large}, also) if large else df
+    for c in stats:
+        if c not in large:
+            out = lookup_value(out, c, stats[c], None, also)
+    made = [v for c in stats for v in stats[c].columns if v != "__v" and v not in also]
+    values = [F.coalesce(F.col(v), F.lit(defaults[v])).alias(v) if v in (defaults or {}) else F.col(v) for v in made]
+    return out.select(*[F.col(c) for c in df.columns if c not in made], *values)
+
+
+def heavy_values(cells: DataFrame, rows_per_salt: int) -> DataFrame:
+    """(__c, __v, __salts) of the values that more than ``rows_per_salt`` cells hold, by a frequency sketch.
+
+    At most ``REPORTED`` rows a column. An estimate that is off costs balance, never a row.
+    """
+    top = F.call_function("approx_top_k", F.col("__v"), F.lit(REPORTED), F.lit(TRACKED))
+    found = cells.groupBy("__c").agg(top.alias("__top")).select("__c", F.inline("__top"))
+    found = found.select("__c", F.col("item").alias("__v"), F.ceil(F.col("count") / rows_per_salt).cast("int").alias("__salts"))
+    return found.where(F.col("__salts") > 1)
+
+
+def packed_join(
+    df: DataFrame, stats: dict[str, DataFrame], also: Sequence[str] = (), rows_per_salt: int | None = None
+) -> DataFrame:
+    """``df`` with the statistics of several columns (all with value columns of the same types, in order).
+
+    Facts are written once with a number for each row and unpivoted to cells (row, column, value).
+    The cells of all columns meet their statistics in one exchange, come back by row in a second, and
+    the facts themselves move once. Frequent values are spread over as many tasks as a sketch
+    of their counts asks for. Nulls and unseen values give nulls.
+    """
+    cols, also = list(stats), list(also)
+    values = {c: [v for v in stats[c].columns if v != "__v" and v not in also] for c in cols}
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "facts")
+    pairs = F.array(*[F.struct(F.lit(i).alias("__c"), key_text(c, df).alias("__v")) for i, c in enumerate(cols)])
+    cells = rows.select("__row", *also, F.inline(pairs)).where(F.col("__v").isNotNull())
+    table = None
+    for i, c in enumerate(cols):
+        named = [F.col(v).alias(f"__x{j}") for j, v in enumerate(values[c])]
+        part = stats[c].select(F.lit(i).alias("__c"), "__v", *also, F.struct(*named).alias("__x"))
+        table = part if table is None else table.unionByName(part)
+    # Bounded by REPORTED rows a column.
+    heavy = F.broadcast(heavy_values(cells, rows_per_salt or ROWS_PER_SALT))
+    salts = F.coalesce("__salts", F.lit(1))
+    cells = cells.join(heavy, ["__c", "__v"], "left").withColumn("__s", F.pmod(F.xxhash64("__row"), salts).cast("int")).drop("__salts")
+    table = table.join(heavy, ["__c", "__v"], "left").withColumn("__s", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    met = cells.join(table, ["__c", "__v", *also, "__s"]).select("__row", "__c", "__x")
+    # The exchange comes first: there is nothing to combine before it.
+    wide = met.repartition("__row").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("__c", "__x"))).alias("__m"))
+    back = rows.join(wide, "__row", "left")
+    return back.select(
+        *[F.col(c) for c in df.columns],
+        *[F.col("__m")[i][f"__x{j}"].alias(v) for i, c in enumerate(cols) for j, v in enumerate(values[c])],
+    )
+
+
 def predictions_by_model(preds: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
     """One row per key with ``map(model -> p)``, from one aggregation of the long table.
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.functions.exprs import clip, total
 from sparktab.functions.proba import METRIC_BOUNDS, argmax_of, normalize_parts, parts, rule_scores
+from sparktab.operators.gram import agreement_pairs, named_pairs
 from sparktab.operators.ranks import range_bucket, running_sums, split_points
 
 
@@ -169,45 +169,19 @@ def auc(
     )
 
 
-PAIRS_PER_JOB = 120
-
-
 def pairwise_agreement(wide: DataFrame, models: Sequence[str], y: str = "y") -> DataFrame:
     """Per model pair: share of equal predictions, and errors in common over errors in either.
 
-    ``wide`` holds one predicted-class column per model. Pairs are conditional sums in one
-    pass over the rows (in chunks of ``PAIRS_PER_JOB``), never exploded rows.
+    ``wide`` holds one predicted-class column per model. One scan serves all pairs: tasks multiply
+    matrices of indicators (``gram``).
     """
-    pairs = list(combinations(models, 2))
-    out: DataFrame | None = None
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        chunk = pairs[start : start + PAIRS_PER_JOB]
-        aggs = [F.count(F.lit(1)).alias("__n")]
-        for i, (a, b) in enumerate(chunk):
-            wrong_a, wrong_b = F.col(a) != F.col(y), F.col(b) != F.col(y)
-            aggs += [
-                F.sum((F.col(a) == F.col(b)).cast("long")).alias(f"same_{i}"),
-                F.sum((wrong_a & wrong_b).cast("long")).alias(f"both_{i}"),
-                F.sum((wrong_a | wrong_b).cast("long")).alias(f"any_{i}"),
-            ]
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(a).alias("model_a"),
-                    F.lit(b).alias("model_b"),
-                    F.try_divide(F.col(f"same_{i}"), F.col("__n")).alias("agreement"),
-                    F.coalesce(
-                        F.try_divide(F.col(f"both_{i}"), F.col(f"any_{i}")), F.lit(0.0)
-                    ).alias("error_jaccard"),
-                )
-                for i, (a, b) in enumerate(chunk)
-            ]
-        )
-        part = wide.agg(*aggs).select(F.inline(rows))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    if len(models) < 2:
         raise ValueError("at least two models are needed")
-    return out
+    sums = named_pairs(agreement_pairs(wide, models, y), models, "model_a", "model_b")
+    return sums.select(
+        "model_a", "model_b", F.try_divide("same", "n").alias("agreement"),
+        F.coalesce(F.try_divide("both", "either"), F.lit(0.0)).alias("error_jaccard"),
+    )
 
 
 def oracle_coverage(wide: DataFrame, models: Sequence[str], k: int, y: str = "y") -> DataFrame:

@@ -270,6 +270,38 @@ def e3(spark, sf):
     return rounded(both.drop("user_id", "y", "inner"))
 
 
+_WIDE = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+
+
+def _packed_sql() -> str:
+    """Totals of the value without those of the row's fold, column by column."""
+    names = ["A", "N", "R"]
+    parts, joins, cells = [], [], []
+    for i, c in enumerate(_WIDE):
+        parts.append(f"f{i} AS (SELECT {c}, inner_fold, count(*) AS n, {_sums(k=3)} FROM li GROUP BY ALL)")
+        parts.append(f"t{i} AS (SELECT {c}, sum(n) AS n, {', '.join(f'sum(s{k}) AS s{k}' for k in range(3))} FROM f{i} GROUP BY ALL)")
+        joins.append(f"JOIN f{i} ON li.{c} = f{i}.{c} AND li.inner_fold = f{i}.inner_fold JOIN t{i} ON li.{c} = t{i}.{c}")
+        cells += [
+            r(f"(t{i}.s{k} - f{i}.s{k} + 16e0 * g.s{k} / g.n) / (t{i}.n - f{i}.n + 16e0)", f"TE_{c}_{names[k]}") for k in range(3)
+        ]
+    return (
+        "WITH li AS (SELECT *, CAST(l_linenumber % 3 AS INTEGER) AS inner_fold, strpos('ANR', l_returnflag) - 1 AS y FROM lineitem), "
+        f"g AS (SELECT count(*) AS n, {_sums(k=3)} FROM li), {', '.join(parts)} "
+        f"SELECT li.l_orderkey, li.l_partkey, li.l_linenumber, {', '.join(cells)} FROM li {' '.join(joins)}, g"
+    )
+
+
+@query("e3_packed_wide_encode", _packed_sql())
+def e3_packed(spark, sf):
+    """Five keys at once by the packed join, whatever their sizes."""
+    li = table(spark, sf, "lineitem").select(
+        "l_linenumber", *_WIDE, (F.col("l_linenumber") % 3).cast("int").alias("inner_fold"),
+        (F.instr(F.lit("ANR"), F.col("l_returnflag")) - 1).alias("y"),
+    )
+    out, _ = E.fold_safe_encode(li, _WIDE, "y", 3, "inner_fold", 16.0, class_names=["A", "N", "R"], packed=True)
+    return rounded(out.drop("l_suppkey", "l_extendedprice", "l_shipdate", "inner_fold", "y"))
+
+
 def _auto(n: str, s: str, g: str) -> str:
     m = f"(({s}) / ({n}))"
     return (

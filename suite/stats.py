@@ -198,6 +198,26 @@ def e17(spark, sf):
     return rounded(G.column_correlation(table(spark, sf, "lineitem"), _CC))
 
 
+# Columns with gaps, of very different sizes, and one without spread.
+_GAPS = {
+    "quantity": "l_quantity", "price": "nullif(l_extendedprice, 0)", "discount": "nullif(l_discount, 0)",
+    "tax": "nullif(l_tax, 0.02)", "line": "nullif(l_linenumber, 3)", "part": "l_partkey + 1e9", "supplier": "l_suppkey",
+    "order_": "CASE WHEN l_orderkey % 4 > 0 THEN l_orderkey END", "net": "l_extendedprice * (1 - l_discount)", "one": "1e0",
+}
+
+
+@query(
+    "e17_correlation_with_gaps",
+    f"WITH x AS (SELECT {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in _GAPS.items())} FROM lineitem) " + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, " + ("CAST(CASE WHEN count(*) < 0 THEN 1 END AS DOUBLE) AS corr" if b == "one" else r(f"corr({a}, {b})", "corr")) + " FROM x"
+        for i, a in enumerate(_GAPS) for b in list(_GAPS)[i + 1:]),
+)
+def e17_gaps(spark, sf):
+    """45 pairs from one scan."""
+    li = table(spark, sf, "lineitem").select(*[F.expr(v).alias(k) for k, v in _GAPS.items()])
+    return rounded(G.column_correlation(li, list(_GAPS)))
+
+
 @query(
     "e18_date_parts",
     """SELECT event_id, CAST(year(ts) AS INTEGER) AS ts_year, CAST(month(ts) AS INTEGER) AS ts_month, CAST(day(ts) AS INTEGER) AS ts_day,
