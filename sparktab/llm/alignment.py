@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +30,19 @@ from sparktab.session import scratch_path, spread
 
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-#: A chunk begins with a space that follows something else; a space is put before the text for the first.
-CUT = re.compile(r"(?<=\S)(?= )")
+#: A chunk begins with a space that follows something else; one is put before the text for the first.
+CUT = re.compile(r"(?<=\S) ")
+TWO = re.compile(r"\s ")
 MOST = 300_000
 
 
+def cut_chunks(text: str) -> list[str]:
+    """The chunks of a text, each without its first space."""
+    if not text:
+        return []
+    return CUT.split(text) if text[0].isspace() or TWO.search(text) else text.split(" ")
+
+
 class ByteLevel:
     """Side A: a byte-level BPE file of the tokenizers library. Strings of special tokens are plain text."""
 
@@ -47,7 +56,8 @@ class ByteLevel:
             self.bytes[i] = bytes(sign[c] for c in token) if all(c in sign for c in token) else token.encode()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of a space and each text."""
+        return [e.ids for e in self.library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class Pieces:
@@ -65,9 +75,8 @@ class Pieces:
         self.plain = [not (b or self.library.is_control(i) or self.library.is_unknown(i)) for i, b in enumerate(byte)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        # The library gives an empty text no space, but a space that ends a text is a token.
-        found = self.library.encode([t[1:] for t in texts], num_threads=1)
-        return [ids if len(t) > 1 else [self.space] for ids, t in zip(found, texts, strict=True)]
+        """Ids of a space and each text. The library itself gives an empty text no space."""
+        return [ids or [self.space] for ids in self.library.encode(texts, num_threads=1)]
 
 
 def same_bytes(a: ByteLevel, b: Pieces) -> np.ndarray:
@@ -83,11 +92,14 @@ class Aligner:
     def __init__(self, a: ByteLevel, b: Pieces, lot: int = 1000) -> None:
         self.sides, self.same, self.lot = (a, b), same_bytes(a, b), lot
         self.sizes = [np.array([len(x) for x in side.bytes], np.int64) for side in self.sides]
+        n_a, n_b = (len(size) for size in self.sizes)
+        signs = [f"{i}{sign}" for n, ends in ((n_a, ",|"), (n_b, (",", ";", ""))) for sign in ends for i in range(n)]
+        self.signs = pa.array(signs, pa.string())
         self.clear()
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.texts: list[bytes] = []
+        self.texts = pa.array([], pa.string())
         # Tokens of A, of B, groups, links, and whether the tokens' bytes are the chunk's.
         self.counts = np.zeros((0, 5), np.int64)
         self.links = [np.zeros(0, np.int64)] * 2
@@ -97,70 +109,80 @@ class Aligner:
         """Rows of the chunks."""
         new = [c for c in dict.fromkeys(chunks) if c not in self.rows]
         # Chunks that end in white space would change where another follows, so they stand alone.
-        joined, alone = [c for c in new if not c[-1:].isspace()], [c for c in new if c[-1:].isspace()]
-        self.add([joined[k : k + self.lot] for k in range(0, len(joined), self.lot)] + [[c] for c in alone])
-        return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
+        alone = [not c or c[-1].isspace() for c in new]
+        joined = [c for c, x in zip(new, alone, strict=True) if not x]
+        lots = [joined[k : k + self.lot] for k in range(0, len(joined), self.lot)]
+        self.add(lots + [[c] for c, x in zip(new, alone, strict=True) if x])
+        return np.array(list(map(self.rows.__getitem__, chunks)), np.int64)
 
     def encoded(self, lots: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
         """Flat ids of both sides, and which chunks' bytes both of them keep; the others have no ids."""
-        texts = ["".join(lot) for lot in lots]
+        texts = [" ".join(lot) for lot in lots]
         ids, kept = [], np.ones(len(lots), bool)
         for side in self.sides:
             ids.append(side.encode(texts))
-            kept &= [b"".join(map(side.bytes.__getitem__, x)) == t.encode() for x, t in zip(ids[-1], texts, strict=True)]
-        whole = []
+            kept &= [b"".join(map(side.bytes.__getitem__, x)) == b" " + t.encode() for x, t in zip(ids[-1], texts, strict=True)]
+        flags = [np.ones(len(lot), bool) for lot in lots]
         for i in np.flatnonzero(~kept):
             if len(lots[i]) > 1:
-                parts, held = self.encoded([[c] for c in lots[i]])
+                parts, flags[i] = self.encoded([[c] for c in lots[i]])
                 ids[0][i], ids[1][i] = (p.tolist() for p in parts)
-                whole.append(held)
             else:
-                ids[0][i] = ids[1][i] = []
-        inner = iter(whole)
-        flags = [np.ones(len(x), bool) if k else np.zeros(1, bool) if len(x) == 1 else next(inner) for x, k in zip(lots, kept, strict=True)]
-        return [np.fromiter((i for x in side for i in x), np.int64, sum(map(len, side))) for side in ids], np.concatenate(flags)
+                ids[0][i], ids[1][i], flags[i] = [], [], np.zeros(1, bool)
+        return [np.concatenate([np.array(x, np.int64) for x in side]) for side in ids], np.concatenate(flags)
 
     def add(self, lots: list[list[str]]) -> None:
         if not lots:
             return
         new = [c for lot in lots for c in lot]
         flat, whole = self.encoded(lots)
-        length = np.array([len(c.encode()) for c in new], np.int64) * whole
+        length = (np.array(pc.binary_length(pa.array(new, pa.string())), np.int64) + 1) * whole
         ends = np.cumsum(length)
         stops = [np.cumsum(size[x]) for size, x in zip(self.sizes, flat, strict=True)]
         starts = [stop - size[x] for stop, size, x in zip(stops, self.sizes, flat, strict=True)]
         # Both sides cover the same bytes, so offsets run on over all chunks.
-        cut = np.intersect1d(*stops)
-        if not np.isin(ends[length > 0], cut).all():
+        cut = np.intersect1d(*stops, assume_unique=True)
+        heads = np.searchsorted(ends, cut)
+        if not np.array_equal(cut[run_ends(heads)], ends[length > 0]):
             raise ValueError("a token goes over the start of a word")
-        owner = [np.searchsorted(ends, x, side="right") for x in starts]
         group = [np.searchsorted(cut, x) for x in stops]
+        owner = [heads[g] for g in group]
         sizes = [np.bincount(g, minlength=len(cut)) for g in group]
         # The B tokens that an A token overlaps are neighbours.
         first = np.searchsorted(stops[1], starts[0], side="right")
         n = np.searchsorted(starts[1], stops[0], side="left") - first
-        one, two = flat[0], flat[1]
-        link = np.repeat(np.arange(len(one)), n)
-        x, y, of = one[link], two[ragged(first, n)], owner[0][link]
+        x, y, of = np.repeat(flat[0], n), flat[1][ragged(first, n)], np.repeat(owner[0], n)
         per = lambda chunk: np.bincount(chunk, minlength=len(new))
-        heads = owner[0][np.searchsorted(stops[0], cut)]
         counts = np.stack([per(owner[0]), per(owner[1]), per(heads), per(of), whole], 1)
         fast = self.same[x] == y
         for i, (held, value) in enumerate(((fast, x), (~fast, x << 32 | y))):
             self.links[i] = np.concatenate([self.links[i], value[held]])
             self.at[i] = np.concatenate([self.at[i], self.at[i][-1] + np.cumsum(per(of[held]))])
-        names = [[str(i) for i in side] for side in flat]
-        bounds = [np.append(0, np.cumsum(s)).tolist() for s in sizes]
-        parts = [
-            ",".join(names[0][a:b]) + "|" + ",".join(names[1][c:d])
-            for a, b, c, d in zip(bounds[0], bounds[0][1:], bounds[1], bounds[1][1:])
-        ]
-        at = np.append(0, np.cumsum(counts[:, 2])).tolist()
-        self.texts += [";".join(parts[i:j]).encode() for i, j in zip(at, at[1:])]
+        self.texts = pa.concat_arrays([self.texts, self.spelled(flat, group, sizes, heads, counts[:, 0] + counts[:, 1])])
         base = len(self.counts)
         self.counts = np.concatenate([self.counts, counts.astype(np.int64)])
         self.rows |= {c: base + i for i, c in enumerate(new)}
 
+    def spelled(self, flat, group, sizes, heads, tokens: np.ndarray) -> pa.Array:
+        """The groups of each chunk as text: ids of A, a bar, ids of B, groups divided by semicolons."""
+        kinds = [len(s) for s in self.sizes]
+        before = [np.cumsum(s) - s for s in sizes]
+        # Each id has a text for each sign behind it: comma and bar for A; comma, semicolon, none for B.
+        last_a = run_ends(group[0])
+        a = flat[0] + kinds[0] * last_a
+        end = np.where(run_ends(heads), 2, 1)[group[1]] * run_ends(group[1])
+        b = flat[1] + 2 * kinds[0] + kinds[1] * end
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + before[1][group[0]]] = a
+        order[np.arange(len(b)) + (before[0] + sizes[0])[group[1]]] = b
+        at = pa.array(np.append(0, np.cumsum(tokens)).astype(np.int32))
+        return pc.binary_join(pa.ListArray.from_arrays(at, self.signs.take(pa.array(order))), "")
+
+
+def run_ends(values: np.ndarray) -> np.ndarray:
+    """True where a sorted array's value differs from the one after."""
+    return np.append(run_starts(values)[1:], True)[: len(values)]
+
 
 def per_document(value: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different values of each document, how often each occurs there, and how many different ones each has."""
@@ -189,7 +211,7 @@ def aligned(df: DataFrame, id_col: str, text: str, a_source: str, b_source: byte
             for part in slices(batch, "text"):
                 if len(aligner.rows) > MOST:
                     aligner.clear()
-                cut = [CUT.split(" " + t) if t else [] for t in part.column("text").to_pylist()]
+                cut = [cut_chunks(t) for t in part.column("text").to_pylist()]
                 chunks = aligner.of([c for x in cut for c in x])
                 n = len(cut)
                 doc = np.repeat(np.arange(n), [len(x) for x in cut])
@@ -198,9 +220,9 @@ def aligned(df: DataFrame, id_col: str, text: str, a_source: str, b_source: byte
                 held = ~lost[doc]
                 chunks, doc = chunks[held], doc[held]
                 totals = [np.bincount(doc, aligner.counts[chunks, i], n).astype(np.int64) for i in range(4)]
-                bounds = np.searchsorted(doc, np.arange(n + 1)).tolist()
-                found = [aligner.texts[c] for c in chunks.tolist()]
-                digests = [hashlib.sha256(b";".join(found[i:j])).hexdigest() if i < j else "" for i, j in zip(bounds, bounds[1:])]
+                bounds = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+                said = pc.binary_join(pa.ListArray.from_arrays(bounds, aligner.texts.take(pa.array(chunks))), ";")
+                digests = [hashlib.sha256(x.as_buffer()).hexdigest() if x.as_buffer().size else "" for x in said]
                 out = []
                 for links, at, kind in zip(aligner.links, aligner.at, (pa.int32(), pa.int64()), strict=True):
                     sizes = np.diff(at)[chunks]
@@ -287,13 +309,13 @@ def align_texts(df: DataFrame, id_col: str, text: str, a_path: str = BYTE_LEVEL,
 
     plain = "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
     known = counted.mapInArrow(with_best, "pair long, count long, top boolean")
-    other = links.join(known, "pair").groupBy("key").agg(
+    other = links.hint("merge").join(known, "pair").groupBy("key").agg(
         F.sum(F.when(F.col("top"), F.col("pair_n")).otherwise(0)).alias("other_best"),
         F.sum(F.col("pair_n") * F.col("count")).alias("other_sum"),
     )
     own = rows.select(*[c.split()[0] for c in plain.split(", ")], "same", "same_n").mapInArrow(with_same, plain + ", best long, sum long")
     zero = F.lit(0)
-    return own.join(other, "key", "left").select(
+    return own.join(other.hint("merge"), "key", "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links",
         (F.col("best") + F.coalesce("other_best", zero)).alias("n_best"),
         (F.col("sum") + F.coalesce("other_sum", zero)).alias("count_sum"),

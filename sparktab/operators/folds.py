@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sparktab.functions.exprs import hash_text
 from sparktab.operators.encoders import class_weights
-from sparktab.operators.ranks import hash_digits, hash_rank, value_rank
+from sparktab.operators.ranks import hash_digits, hash_rank
+from sparktab.session import materialize
 
 SAMPLE_ROWS = 2_000
 
@@ -125,13 +126,76 @@ def fit_pool(
     return class_weights(pool, y, out="w").withColumn("w", F.col("w") * scale)
 
 
+#: Intervals of the score that one round of ``top_rows`` counts.
+INTERVALS = 1024
+
+
+def top_rows(
+    df: DataFrame, by: Sequence[str], score: str, key: str, n: int, low: float, high: float,
+    rows_at_cut: int = 1_000_000, seed: int = 0,
+) -> DataFrame:
+    """The ``n`` rows of highest ``score`` of each ``by`` group; ties by ``(md5(seed:key), key)``.
+
+    ``low`` and ``high`` say where scores are expected; others are right too, only less evenly cut.
+    Scores are counted in intervals first. Rows above the interval that holds the cut stay where
+    they are, and only those inside it are ranked. An interval of more than ``rows_at_cut`` rows
+    is counted again in finer ones, or cut by hash if it holds one score. NaN is the highest score;
+    rows without a score are left out; null groups are groups.
+    """
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("one"))
+    rows = df.where(F.col(score).isNotNull()).withColumn("__g", group)
+    asked = rows.select("__g", F.col(score).alias("__x"))
+    state = None
+    while True:
+        seen = asked if state is None else asked.join(state, "__g").where(F.col("__x").between(F.col("__lo"), F.col("__hi")))
+        lo, hi = (F.lit(float(low)), F.lit(float(high))) if state is None else (F.col("__lo"), F.col("__hi"))
+        share = F.when(hi > lo, (F.col("__x") - lo) / (hi - lo)).otherwise(F.lit(0.0))
+        inner = F.greatest(F.lit(0), F.least(F.lit(INTERVALS - 1), F.floor(share * INTERVALS)))
+        endless = F.lit(float("inf"))
+        place = (
+            F.when(F.isnan("__x"), INTERVALS + 1).when(F.col("__x") == endless, INTERVALS)
+            .when(F.col("__x") == -endless, -1).otherwise(inner)
+        )
+        start = F.lit(0).cast("long") if state is None else F.min("__above")
+        counts = seen.groupBy("__g", place.cast("int").alias("__i")).agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), start.alias("__start")
+        )
+        upto = F.col("__start") + F.sum("__n").over(Window.partitionBy("__g").orderBy(F.col("__i").desc()))
+        cut = counts.withColumn("__above", upto - F.col("__n")).where((F.col("__above") < n) & (F.col("__above") + F.col("__n") >= n))
+        found = cut.select("__g", "__lo", "__hi", "__above", "__n", (F.col("__lo") < F.col("__hi")).alias("__wide"))
+        found = materialize(found, "cuts")
+        settled = found.where(~F.col("__wide") | (F.col("__n") <= rows_at_cut))
+        again = found.where(F.col("__wide") & (F.col("__n") > rows_at_cut))
+        done = settled if state is None else done.unionByName(settled)
+        if again.isEmpty():
+            break
+        state = again.select("__g", "__lo", "__hi", "__above")
+    done = materialize(done, "cuts")
+    joined = rows.join(done, "__g", "left")
+    x = F.col(score)
+    inside = x.between(F.col("__lo"), F.col("__hi"))
+    # Groups without a cut have no more than n rows.
+    above = joined.where(F.col("__lo").isNull() | (x > F.col("__hi"))).select(*df.columns)
+    at_cut = joined.where(inside)
+    order = Window.partitionBy("__g").orderBy(x.desc(), hash_text(key, seed), key)
+    few = at_cut.where(F.col("__n") <= rows_at_cut).withColumn("__k", F.row_number().over(order))
+    kept = above.unionByName(few.where(F.col("__k") <= n - F.col("__above")).select(*df.columns))
+    many = done.where(F.col("__n") > rows_at_cut)
+    if many.isEmpty():
+        return kept
+    take = many.select("__g", (n - F.col("__above")).alias("__take"))
+    ties = lowest_hashes(at_cut.where(F.col("__n") > rows_at_cut).select(*df.columns, "__g"), ["__g"], key, seed, take)
+    return kept.unionByName(ties.select(*df.columns))
+
+
 def confident_rows(
     preds: DataFrame, key: str, p: str, k: int, threshold: float = 0.995, cap: int | None = None,
-    by: Sequence[str] = (), rows_per_bucket: int = 2_000_000,
+    by: Sequence[str] = (), rows_at_cut: int = 1_000_000,
 ) -> DataFrame:
     """Pseudo labels: rows whose top probability reaches ``threshold``.
 
-    Above ``cap`` rows per group only the most confident stay.
+    Above ``cap`` rows per group only the most confident stay. The confident rows are written
+    once; where the cut lies is found from counts of score intervals (``top_rows``).
     """
     from sparktab.functions.proba import argmax, parts
 
@@ -139,8 +203,7 @@ def confident_rows(
     top = top.where(F.col("conf") >= threshold)
     if cap is None:
         return top
-    ranked = value_rank(top, by, "conf", key, "__rank", descending=True, rows_per_bucket=rows_per_bucket)
-    return ranked.where(F.col("__rank") <= cap).drop("__rank")
+    return top_rows(materialize(top, "confident"), by, "conf", key, cap, threshold, 1.0, rows_at_cut)
 
 
 def bootstrap_members(spark, models: Sequence[str], bags: int, seed: int) -> DataFrame:

@@ -206,9 +206,8 @@ def exact_quantiles(
     """Linear-interpolated quantiles of finite values, exact at any size.
 
     The built-in exact percentile keeps every distinct value in one buffer, so it is used
-    only up to ``exact_rows`` rows. Beyond that rows are counted per range bucket, the few
-    buckets that hold a wanted order statistic are selected, and only those are ranked,
-    each on its own task. A bucket made of one repeated value is answered by its count.
+    only up to ``exact_rows`` rows. Beyond that the wanted ranks of all columns are looked up
+    together (``values_at_ranks``), in four passes whatever the number of columns.
     """
     cols, probs = list(dict.fromkeys(cols)), [float(p) for p in probs]
     clean = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in cols])
@@ -221,51 +220,89 @@ def exact_quantiles(
         arr = F.array(*[F.lit(p) for p in probs])
         row = clean.select(*[F.percentile(c, arr).alias(c) for c in small]).first()
         found.update({c: list(row[c]) if row[c] is not None else [] for c in small})
-    for c in cols:
-        if c not in found:
-            found[c] = _bucketed_quantiles(df, c, counts[c], probs, rows_per_bucket)
+    spots = {c: _ranks_wanted(counts[c], probs) for c in cols if c not in found}
+    if spots:
+        ranks = {c: sorted({k for lo, hi, _ in x for k in (lo, hi)}) for c, x in spots.items()}
+        at = values_at_ranks(clean.select(*spots), ranks, counts, rows_per_bucket)
+        for c, x in spots.items():
+            found[c] = [
+                at[c][lo] + (at[c][hi] - at[c][lo]) * part if part else at[c][lo] for lo, hi, part in x
+            ]
     return found
 
 
-def _bucketed_quantiles(
-    df: DataFrame, col: str, n: int, probs: Sequence[float], rows_per_bucket: int
-) -> list[float]:
-    # A filter, not a guarded column: the guard would be repeated at every node of the tree.
-    x = F.col(col)
-    rows = df.select(x.cast("double").alias(col)).where(is_finite(x))
-    points = split_points(rows, col, rows_per_bucket, n)
-    placed = range_bucket(rows, col, points, "__r")
-    # One row per bucket: bounded by 2 * n / rows_per_bucket.
-    sizes = sorted(
-        placed.groupBy("__r").agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("v")).collect()
-    )
-    spots = _ranks_wanted(n, probs)
-    wanted = sorted({k for lo, hi, _ in spots for k in (lo, hi)})
-    value_at: dict[int, float] = {}
-    starts: dict[int, int] = {}
-    local: dict[int, list[int]] = {}
-    before, i = 0, 0
-    for r, size, v in sizes:
-        while i < len(wanted) and wanted[i] < before + size:
-            if r % 2:
-                value_at[wanted[i]] = v
-            else:
-                starts[r] = before
-                local.setdefault(r, []).append(wanted[i] - before + 1)
-            i += 1
-        before += size
-    if local:
-        pairs = [f"({r}, {k})" for r, ks in local.items() for k in ks]
-        ranked = placed.where(F.col("__r").isin(sorted(local))).withColumn(
-            "__k", F.row_number().over(Window.partitionBy("__r").orderBy(col))
-        )
-        named = F.expr(f"(__r, __k) IN ({', '.join(pairs)})")
-        for r, k, v in ranked.where(named).select("__r", "__k", col).collect():
-            value_at[starts[r] + k - 1] = v
-    return [
-        value_at[lo] + (value_at[hi] - value_at[lo]) * part if part else value_at[lo]
-        for lo, hi, part in spots
-    ]
+#: Split points of a column in one round; buckets that are still too large are split in a next one.
+POINTS = 256
+
+
+def _even_points(df: DataFrame, counts: dict[str, int], rows_per_bucket: int) -> dict[str, list[float]]:
+    """Split points of all columns from one pass over a sample; they steer balance, never the answer."""
+    wanted = {c: min(POINTS, math.ceil(n / rows_per_bucket)) for c, n in counts.items()}
+    split = {c: w for c, w in wanted.items() if w > 1}
+    if not split:
+        return {c: [] for c in counts}
+    fraction = min(1.0, max(100.0 * max(split.values()), 20_000.0) / min(counts[c] for c in split))
+    probe = df.sample(fraction=fraction, seed=17) if fraction < 1 else df
+    row = probe.select(*[
+        F.percentile_approx(c, [float(i / w) for i in range(1, w)], F.lit(10_000)).alias(c) for c, w in split.items()
+    ]).first()
+    return {c: sorted(set(row[c] or [])) if c in split else [] for c in counts}
+
+
+def values_at_ranks(
+    df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int], rows_per_bucket: int = ROWS_PER_BUCKET
+) -> dict[str, dict[int, float]]:
+    """The values at the given 0-based ranks (sorted) of several columns without NaN; nulls don't count.
+
+    Whatever the number of columns, a round takes three passes: split points from a sample, counts of
+    the buckets of all columns in one aggregate, and ranks inside the buckets that hold a wanted one.
+    Buckets of one repeated value are answered by their counts; wanted buckets that are still too
+    large become columns of a next round, so neither tasks, plans nor the driver grow with the rows.
+    """
+    cols = list(ranks)
+    points = _even_points(df, {c: counts[c] for c in cols}, rows_per_bucket)
+    placed = df.select(*cols)
+    for i, c in enumerate(cols):
+        placed = range_bucket(placed, c, points[c], f"__r{i}")
+    each = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"__r{i}").alias("r"), F.col(c).alias("x")) for i, c in enumerate(cols)])
+    cells = placed.select(F.inline(each)).where(F.col("x").isNotNull())
+    sizes = cells.groupBy("c", "r").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    value_at: dict[str, dict[int, float]] = {c: {} for c in cols}
+    inside, large = [], {}
+    before, spot = [0] * len(cols), [0] * len(cols)
+    # At most 2 * POINTS + 1 rows a column.
+    for i, r, n, lo, hi in sorted(map(tuple, sizes.collect())):
+        c, wanted = cols[i], ranks[cols[i]]
+        held = []
+        while spot[i] < len(wanted) and wanted[spot[i]] < before[i] + n:
+            held.append(wanted[spot[i]])
+            spot[i] += 1
+        if held and lo == hi:
+            value_at[c] |= dict.fromkeys(held, lo)
+        elif held and n > 2 * rows_per_bucket:
+            large[f"{i}_{r}"] = (c, lo, hi, n, before[i], held)
+        else:
+            inside += [(i, r, k - before[i] + 1, k) for k in held]
+        before[i] += n
+    if inside:
+        spark = df.sparkSession
+        # Two ranks for each probability at most.
+        marks = F.broadcast(spark.createDataFrame([m[:3] for m in inside], "c int, r int, k int"))
+        buckets = F.broadcast(spark.createDataFrame(sorted({m[:2] for m in inside}), "c int, r int"))
+        order = F.row_number().over(Window.partitionBy("c", "r").orderBy("x")).alias("k")
+        found = {
+            (i, r, k): x
+            for i, r, k, x in cells.join(buckets, ["c", "r"]).select("c", "r", order, "x").join(marks, ["c", "r", "k"]).collect()
+        }
+        for i, r, k, rank in inside:
+            value_at[cols[i]][rank] = found[i, r, k]
+    if large:
+        part = df.select(*[F.when(F.col(c).between(lo, hi), F.col(c)).alias(name) for name, (c, lo, hi, *_) in large.items()])
+        local = {name: [k - start for k in held] for name, (*_, start, held) in large.items()}
+        deeper = values_at_ranks(part, local, {name: x[3] for name, x in large.items()}, rows_per_bucket)
+        for name, (c, *_, start, held) in large.items():
+            value_at[c] |= {k: deeper[name][k - start] for k in held}
+    return value_at
 
 
 def text_points(df: DataFrame, col: str, n: int, rows_per_bucket: int) -> list[str]:

@@ -164,7 +164,7 @@ def f6(spark, sf):
 )
 def f7(spark, sf):
     p = preds(spark, sf).where("model = 'm2'")
-    top = folds.confident_rows(p, "id", "p", 3, 0.6, 200, by=["fold"], rows_per_bucket=500)
+    top = folds.confident_rows(p, "id", "p", 3, 0.6, 200, by=["fold"])
     return rounded(top.select("id", "fold", "label", "conf"))
 
 
