@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -205,6 +206,8 @@ def aligned(df: DataFrame, id_col: str, text: str, a_source: str, b_source: byte
     plain = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Tasks fill the cores already; the library's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         aligner = Aligner(ByteLevel(a_source), Pieces(b_source))
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
