@@ -8,70 +8,127 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-from tokenizers import Regex, pre_tokenizers
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from sparktab.llm.common import mixed, run_starts
 
 SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
-UNICODE = 0x110000
+UNICODE, LETTERS = 0x110000, 0x40000
 
 
-def character_kinds() -> tuple[np.ndarray, np.ndarray]:
-    """(first code points, kinds) of runs of characters of one kind.
+@dataclass(frozen=True)
+class Characters:
+    """What the tokenizers library makes of each code point, as short arrays."""
 
-    The kinds are asked of the tokenizers library, whose Unicode version may differ from Python's.
+    kind_from: np.ndarray
+    kinds: np.ndarray
+    upper: np.ndarray
+    lower: np.ndarray
+    #: Code points that become several.
+    long: dict[str, str]
+    compose_from: np.ndarray
+    compose: np.ndarray
+
+
+@lru_cache
+def character_kinds() -> Characters:
+    """Kinds and lower-case forms, asked of the library, whose Unicode version may differ from Python's.
+
+    ``compose`` marks code points that composition (NFC) may change or join to others, in any
+    version: texts with such a one are normalized by the library itself.
     """
     kind = np.full(UNICODE, OTHER, np.uint8)
     # Surrogates can't occur in a text, so a space stands for them.
-    every = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, UNICODE)))
+    # All that follows the last plane with letters is private, unassigned or a tag: other characters.
+    every = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, LETTERS)))
     for pattern, value in ((r"\s+", SPACE), (r"[\p{L}]+", LETTER), (r"[\p{N}]+", NUMBER)):
         split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         for _, (start, stop) in split.pre_tokenize_str(every):
             kind[start:stop] = value
+    parts = [c for c in every if c != "\n"]
+    lowered = normalizers.Lowercase().normalize_str("\n".join(parts)).split("\n")
+    changed = {c: x for c, x in zip(parts, lowered, strict=True) if c != x}
+    one = {ord(c): ord(x) for c, x in changed.items() if len(x) == 1}
     first = np.flatnonzero(run_starts(kind))
-    return first, kind[first]
+    flags = _composing(every)
+    flags_from = np.flatnonzero(run_starts(flags))
+    return Characters(
+        first, kind[first], np.array(list(one), np.uint32), np.array(list(one.values()), np.uint32),
+        {c: x for c, x in changed.items() if len(x) != 1}, flags_from, flags[flags_from],
+    )
+
+
+def _composing(every: str) -> np.ndarray:
+    """True for marks, code points that a composition may take in, and those that Python doesn't know."""
+    flags = np.zeros(UNICODE, bool)
+    seconds = set()
+    for i, c in enumerate(every):
+        kind = unicodedata.category(c)
+        flags[i] = kind in ("Cn", "Mn", "Mc", "Me") or bool(unicodedata.combining(c))
+        split = unicodedata.decomposition(c)
+        if split and split[0] != "<":
+            seconds.add(int(split.split()[-1], 16))
+            flags[i] |= unicodedata.normalize("NFC", c) != c
+    flags[LETTERS:0xF0000] = True
+    flags[list(seconds)] = True
+    # Vowels and final consonants of composed Korean syllables (fixed values).
+    flags[0x1161:0x1176] = flags[0x11A8:0x11C3] = True
+    # A letter that is only the second part by name may be very common.
+    flags[:0x300] = False
+    return flags
 
 
 class Splitter:
     """Normalization and splitting of the word-level BPE files.
 
-    Normalization composes characters (NFC) and lower-cases them one by one. Words are contractions,
+    Normalization composes characters (NFC) and lower-cases them one by one, both as the library has them. Words are contractions,
     runs of letters, single digits, and runs of other characters; white space is dropped. Strings of
     special tokens are cut out before anything else. ``kinds`` is what ``character_kinds`` gives.
     """
 
-    def __init__(self, specials: list[str], kinds: tuple[np.ndarray, np.ndarray]) -> None:
+    def __init__(self, specials: list[str], kinds: Characters) -> None:
         self.specials = specials
         self.cut = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
-        first, kind = kinds
-        self.kind = np.repeat(kind, np.diff(np.append(first, UNICODE)))
+        self.kind = np.repeat(kinds.kinds, np.diff(np.append(kinds.kind_from, UNICODE)))
         self.kind = np.append(self.kind, np.full(len(specials), SPECIAL, np.uint8))
+        self.lower = np.arange(UNICODE, dtype=np.uint32)
+        self.lower[kinds.upper] = kinds.lower
+        self.long = kinds.long
+        self.compose = np.repeat(kinds.compose, np.diff(np.append(kinds.compose_from, UNICODE)))
+        self.nfc = normalizers.NFC()
         # What may follow an apostrophe in a contraction (fixed values of the pattern).
         self.tails = {1: ["s", "t", "m", "d"], 2: ["re", "ve", "ll"]}
 
-    def normal(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    def normal(self, text: str) -> np.ndarray:
+        """Code points of a text in normal form, lower-cased one by one as the library does."""
+        if text.isascii():
+            return np.frombuffer(text.lower().encode("ascii"), np.uint8).astype(np.uint32)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        if self.compose[points].any():
+            text = self.nfc.normalize_str(text)
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        for c, parts in self.long.items():
+            if c in text:
+                text = text.replace(c, parts)
+                points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return self.lower[points]
 
     def code_points(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Code points of all normalized texts, a space after each, and the texts' offsets."""
         parts, sizes = [], np.zeros(len(texts) + 1, np.int64)
+        space = np.array([32], np.uint32)
         for i, text in enumerate(texts):
-            if self.cut and "<" in text and self.cut.search(text):
-                pieces = [
-                    np.array([UNICODE + self.specials.index(p)], np.uint32) if p in self.specials
-                    else np.frombuffer(self.normal(p).encode("utf-32-le"), np.uint32)
-                    for p in self.cut.split(text)
-                ]
-                raw = np.concatenate([*pieces, np.array([32], np.uint32)]).tobytes()
-            else:
-                raw = (self.normal(text) + " ").encode("utf-32-le")
-            parts.append(raw)
-            sizes[i + 1] = len(raw) // 4
-        return np.frombuffer(b"".join(parts), np.uint32), np.cumsum(sizes)
+            pieces = self.cut.split(text) if self.cut and "<" in text else [text]
+            found = [
+                np.array([UNICODE + self.specials.index(p)], np.uint32) if p in self.specials else self.normal(p) for p in pieces
+            ]
+            parts += [*found, space]
+            sizes[i + 1] = sum(map(len, found)) + 1
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.cumsum(sizes)
 
     def split(self, texts: list[str]) -> Words:
         points, offsets = self.code_points(texts)
@@ -180,10 +237,10 @@ class WordCodes:
             row = np.arange(len(lengths)) + len(self.offsets) - 1
             self.ids = np.concatenate([self.ids, flat.astype(np.int32)])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
-            keys = np.concatenate([self.keys, key[~known]])
-            order = np.argsort(keys)
-            self.keys = keys[order]
-            self.checks = np.concatenate([self.checks, check[~known]])[order]
-            self.rows = np.concatenate([self.rows, row])[order]
+            # Both sides are sorted, so new words go to their places without a sort of the whole.
+            place = np.searchsorted(self.keys, key[~known])
+            self.checks = np.insert(self.checks, place, check[~known])
+            self.rows = np.insert(self.rows, place, row)
+            self.keys = np.insert(self.keys, place, key[~known])
             at = np.searchsorted(self.keys, key)
         return self.rows[at][inverse]

@@ -8,12 +8,13 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from sparktab.llm import alignment, spellings, urls
+from sparktab.llm import alignment, bpe, spellings, urls, words
 from sparktab.llm.bpe import printable_bytes
 from tests.conftest import SF
 
@@ -276,3 +277,23 @@ def test_urls_run_no_python(spark):
     plan = urls.judge_urls(spark.read.parquet(f"{SF}/pages.parquet"), "page_id", "url", urls.RULES)
     said = plan._jdf.queryExecution().toString()
     assert "Python" not in said and "Arrow" not in said and "Cartesian" not in said and "NestedLoop" not in said
+
+
+# Words of the BPE operators
+
+
+@pytest.mark.parametrize("form", ["{0}", "{0}{0}", "a'{0}b", "e{0}\u0323\u0301", "x{0}\u0345"])
+def test_words_of_every_code_point(form):
+    source = bpe.vocabulary()
+    library, model = Tokenizer.from_str(source), bpe.Model(source)
+    splitter, codes = words.Splitter(model.specials, words.character_kinds()), words.WordCodes(model.encode)
+    every = [form.format(chr(i)) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for start in range(0, len(every), 100_000):
+        texts = [" ".join(every[k : k + 100]) for k in range(start, min(start + 100_000, len(every)), 100)]
+        found = splitter.split(texts)
+        rows = codes.codes(found)
+        flat = codes.ids[bpe.ragged_rows(codes.offsets, rows)]
+        at = np.append(0, np.cumsum(np.diff(codes.offsets)[rows]))[found.bounds].tolist()
+        want = library.encode_batch_fast(texts, add_special_tokens=False)
+        for i, e in enumerate(want):
+            assert e.ids == flat[at[i] : at[i + 1]].tolist(), ascii(texts[i])
