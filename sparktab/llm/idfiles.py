@@ -11,6 +11,7 @@ each block, so every document's place in the whole stream is known without readi
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +39,9 @@ from sparktab.session import scratch_path, spread
 MANIFEST = "_id_files.json"
 RANKS = "_ranks.bin"
 END = 1
+#: Document ids that a task names for cutting the corpus into ranges.
+PLACES = 256
+TOKEN_COLUMNS = ["doc_id", "ids", "counts", "places"]
 SCHEMA = "doc_id long, start long, n_tokens long, ids array<int>"
 #: Lengths of the four numbers that a control byte describes, and which of their 16 bytes are kept.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -87,16 +91,20 @@ def light_tokenizer(source: str) -> Tokenizer:
     return Tokenizer.from_str(json.dumps(config))
 
 
-def token_ids(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 16-bit (or, for large vocabularies, 32-bit) numbers.
+def token_ids(df: DataFrame, id_col: str, text: str, source: str, size: int) -> DataFrame:
+    """(doc_id, ids, counts, places): ids as little-endian unsigned 16-bit (or, from 65,537 ids on, 32-bit) numbers.
 
     The tokenizers library encodes each different word of a task once; words are found as it finds
-    them. A null text counts as empty.
+    them. A null text counts as empty. Each task ends with a row of its own, the only one with
+    ``counts``: how often it met each of the ``size`` ids, and the number of its documents behind
+    them. ``places`` are up to ``PLACES`` even quantiles of its document ids.
     """
     plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kinds = character_kinds()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Tasks fill the cores already; the library's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         config = json.loads(source)
         special = {t["content"]: t["id"] for t in config["added_tokens"]}
         numbers = list(special.values())
@@ -126,6 +134,7 @@ def token_ids(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
             return out, lengths
 
         splitter, codes = Splitter(list(special), kinds), WordCodes(encode)
+        counts, keys = np.zeros(size + 1, np.int64), [np.zeros(0, np.int64)]
         for batch in batches:
             for part in slices(batch, "text"):
                 words = splitter.split(part.column("text").to_pylist())
@@ -137,23 +146,49 @@ def token_ids(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
                     pa.binary(), len(at) - 1,
                     [None, pa.py_buffer((at * width_).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())],
                 )
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
+                counts[:size] += np.bincount(flat, minlength=size)
+                counts[size] += part.num_rows
+                keys.append(part.column("doc_id").drop_null().to_numpy())
+                none = pa.nulls(part.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, none, none], names=TOKEN_COLUMNS)
+        key = np.sort(np.concatenate(keys))
+        places = key[(np.arange(min(PLACES, len(key))) * len(key)) // max(1, min(PLACES, len(key)))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()]), pa.array([places.tobytes()])],
+            names=TOKEN_COLUMNS,
+        )
 
-    return plain.mapInArrow(run, "doc_id long, ids binary")
+    return plain.mapInArrow(run, "doc_id long, ids binary, counts binary, places binary")
 
 
-def id_counts(ids: DataFrame, size: int, kind: str) -> DataFrame:
-    """(id, n): how often each id occurs; each task adds up its own counts first."""
+def summed(summaries: DataFrame, size: int) -> np.ndarray:
+    """The tasks' ``counts`` added up: one number for each id and the number of documents; never more for more rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
+        total = np.zeros(size + 1, np.int64)
         for batch in batches:
             data, _ = text_bytes(batch.column(0))
-            counts += np.bincount(data.view(kind), minlength=size)
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["id", "n"])
+            total += data.view(np.int64).reshape(-1, size + 1).sum(0)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    total = np.zeros(size + 1, np.int64)
+    for r in summaries.select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        total[r["id"]] = r["n"]
+    return total
+
+
+def cut_points(summaries: DataFrame, steps: int) -> np.ndarray:
+    """At most ``steps`` - 1 document ids that cut the corpus into about even ranges; they steer balance only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, _ = text_bytes(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64))], names=["place"])
+
+    share = F.array(*[F.lit(i / steps) for i in range(1, steps)] or [F.lit(0.5)])
+    found = summaries.select("places").mapInArrow(run, "place long").agg(F.percentile_approx("place", share, F.lit(10_000)).alias("c"))
+    return np.unique(np.array(found.first()["c"] or [], np.int64))
 
 
 @dataclass
@@ -294,16 +329,17 @@ def write_ids(df: DataFrame, id_col: str, text: str, path: str, vocabulary_path:
     size = max([*config["model"]["vocab"].values(), *[t["id"] for t in config["added_tokens"]], end]) + 1
     kind = "<u2" if size <= 1 << 16 else "<u4"
     raw = scratch_path(spark, "ids")
-    token_ids(df, id_col, text, source).write.option("compression", "zstd").parquet(raw)
-    ids = spark.read.schema("doc_id long, ids binary").parquet(raw)
-    # At most as many rows as the vocabulary has ids.
-    counts = {r["id"]: r["n"] for r in id_counts(ids, size, kind).collect()}
-    counts[end] = counts.get(end, 0) + ids.count()
-    order = np.array(sorted(range(size), key=lambda i: (-counts.get(i, 0), i)), "<u4")
+    token_ids(df, id_col, text, source, size).write.option("compression", "zstd").parquet(raw)
+    found = spark.read.schema("doc_id long, ids binary, counts binary, places binary").parquet(raw)
+    summaries = found.where("counts is not null")
+    counts = summed(summaries, size)
+    counts[end] += counts[size]
+    order = np.lexsort((np.arange(size), -counts[:size])).astype("<u4")
     with Store(path).create(RANKS) as out:
         out.write(order.tobytes())
     rank = np.empty(size, np.uint32)
     rank[order] = np.arange(size, dtype=np.uint32)
+    cuts = cut_points(summaries, width(spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,21 +358,19 @@ def write_ids(df: DataFrame, id_col: str, text: str, path: str, vocabulary_path:
                     pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(o.tobytes()), pa.py_buffer(b.tobytes())])
                     for o, b in ((fours, control), (ends, coded))
                 ]
+                key = part.column("doc_id")
+                # Null ids come first, with the smallest.
+                place = np.searchsorted(cuts, key.fill_null(-(1 << 63)).to_numpy())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts), *blobs], names=["doc_id", "n", "control", "data"]
+                    [key, pa.array(counts), *blobs, pa.array(place.astype(np.int32))], names=["doc_id", "n", "control", "data", "place"]
                 )
 
-    steps = width(spark)
-    cuts = ids.agg(
-        F.percentile_approx("doc_id", F.array(*[F.lit(i / steps) for i in range(1, steps)] or [F.lit(0.5)]), F.lit(50 * steps)).alias("c")
-    ).first()["c"]
-    cuts = list(cuts or [])
-    coded = ids.mapInArrow(run, "doc_id long, n long, control binary, data binary")
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    place = F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(0))
+    ids = found.where("counts is null").select("doc_id", "ids")
+    coded = ids.mapInArrow(run, "doc_id long, n long, control binary, data binary, place int")
     spark.dataSource.register(IdSource)
     (
-        coded.repartitionById(len(cuts) + 1, place.cast("int"))
+        coded.repartitionById(len(cuts) + 1, F.col("place"))
+        .drop("place")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "control", "data")
         .write.format("tokenids").mode("append").save(path)
     )
