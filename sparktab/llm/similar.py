@@ -127,6 +127,19 @@ def set_sizes(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text_column(docs, text)).mapInArrow(run, "doc_id long, n long, sig long")
 
 
+def nameless_texts(docs: DataFrame, text: str, chosen: DataFrame, size: int) -> DataFrame:
+    """(sig, part, text) of the ``chosen`` sets (sig, part) that only rows of null id hold; one text each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sig = signatures(*shingles(*text_bytes(part.column("text")), size))
+                yield pa.RecordBatch.from_arrays([pa.array(sig), part.column("text")], names=["sig", "text"])
+
+    rows = docs.where("doc_id is null").select(text_column(docs, text)).mapInArrow(run, "sig long, text string")
+    return rows.groupBy("sig").agg(F.min("text").alias("text")).join(chosen, "sig").select("sig", "part", "text")
+
+
 def blobs(names: list[str], bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row (bucket, packed arrays) for each bucket."""
     order = np.argsort(bucket, kind="stable")
@@ -454,8 +467,8 @@ def similar_groups(docs: DataFrame, id_col: str, text: str, size: int = WORDS, p
     A set holds the different ``size``-word shingles of the lower-cased (A-Z) whole text; a text of fewer
     words is one shingle; a text without words, or null, has none and links with nothing. Rows link when
     100 * intersection >= percent * union. component_id is the smallest id reachable by links, the row's
-    own included. A set that only rows of null id have links with nothing and its component is null.
-    Repeated rows are in one component. Only the two named columns are read. Sets and shingles are told
+    own included; rows of null id link like others, but name no component, which is null where all its
+    rows have null ids. Repeated rows are in one component. Only the two named columns are read. Sets and shingles are told
     apart by 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -471,6 +484,9 @@ def similar_groups(docs: DataFrame, id_col: str, text: str, size: int = WORDS, p
         F.col("first").alias("doc_id"), "sig", F.col("component").alias("part")
     )
     texts = docs.join(chosen, "doc_id").select("sig", "part", F.coalesce("text", F.lit("")).alias("text"))
+    nameless = chosen.where("doc_id is null").select("sig", "part")
+    if not nameless.isEmpty():
+        texts = texts.unionByName(nameless_texts(docs, "text", nameless, size))
     large = parts.groupBy(F.col("component").alias("part")).agg(F.count("*").alias("sets")).where(F.col("sets") > PART)
     if large.isEmpty():
         roots = search_parts(texts, size, percent, n_buckets)

@@ -488,6 +488,19 @@ def test_similar_with_equal_and_null_ids(spark):
     assert similar.similar_groups(docs_of(spark, rows).limit(0), "doc_id", "text").count() == 0
 
 
+def test_similar_through_null_ids(spark):
+    words = prose(132, 5).split()
+    left, middle, right = (" ".join(words[k : k + 110]) for k in (0, 10, 20))
+    alone = prose(60, 9)
+    for bridge in (3, None):
+        rows = [(1, left), (2, right), (bridge, middle), (bridge, middle), (None, alone), (None, alone + " x")]
+        got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in similar.similar_groups(docs_of(spark, rows), "doc_id", "text").collect())
+        if bridge:
+            assert got == [(0, 0), (0, 0), (1, 1), (2, 1), (3, 1), (3, 1)]
+        else:
+            assert got == [(0, 0), (0, 0), (0, 1), (0, 1), (1, 1), (2, 1)]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 300)] + [(500, 500)] + [(7, 6)]
     got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
