@@ -25,15 +25,31 @@ from sparktab.session import scratch_path, spread
 ORACLE_SQL = None
 
 
+def hidden(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns under names that no operator adds."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"own{i}") for i, c in enumerate(docs.columns)])
+
+
+def shown(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return found.select(*[F.col(c if c in ("doc_id", "text") else f"own{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
-    scored = score_quality(spread(docs), table(tune(spark), sf_dir, "labels"))
-    return scored.where("predicted = 1").select(docs.columns)
+    """Documents that the classifier doesn't reject.
+
+    Null ids and repeated rows are judged like others; a null or empty text by its measures, all 0.
+    """
+    scored = score_quality(spread(hidden(docs)), table(tune(spark), sf_dir, "labels"))
+    return shown(scored.where("predicted = 1"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of smallest id; a document of null id stays."""
-    groups = similar_groups(spread(docs), "doc_id", "text")
+    """Of each group of similar documents the one of smallest id.
+
+    A document of null id stays, and so do all rows of a kept id and texts without words.
+    """
+    groups = similar_groups(spread(docs.select("doc_id", "text")), "doc_id", "text")
     mark = fresh(docs, "kept_id")
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
     rows = docs.join(kept, docs["doc_id"] == kept[mark]).drop(mark)
@@ -43,22 +59,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that start in a document of smaller id.
 
-    Bytes of a character that was cut in two are dropped, and n_chars follows the text.
+    Bytes of a character that was cut in two are dropped, and n_chars follows the text. Null ids are
+    larger than all others, rows of one id keep what they share, and a null text becomes empty.
     """
-    whole = remove_repeats(spread(docs), "doc_id", "text", form="text").withColumnRenamed("kept", "text")
+    found = remove_repeats(spread(hidden(docs)), "doc_id", "text", form="text").withColumnRenamed("kept", "text")
+    whole = shown(found, docs)
     if "n_chars" in docs.columns:
         whole = whole.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(docs.columns)
+    return whole
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule doesn't name."""
-    found = benchmark_hits(spread(docs), "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    """Documents that the contamination rule doesn't name; null and empty texts have no hits and stay."""
+    found = benchmark_hits(spread(hidden(docs)), "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return shown(found.where(~F.col("contaminated")), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; a null text counts as empty."""
     return encode_texts(spread(docs), "text", vocabulary(), digests=True, keep=["doc_id"])
 
 
