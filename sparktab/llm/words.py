@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from sparktab.llm.common import mixed, run_starts
+from sparktab.llm.common import mixed, ragged, run_starts
 
 SPACE, LETTER, NUMBER, OTHER, SPECIAL = range(5)
 UNICODE, LETTERS = 0x110000, 0x40000
@@ -190,10 +190,23 @@ class Words:
             return mixed(np.arange(1 << 16, dtype=np.uint64) + salt)[self.points]
         return mixed(self.points.astype(np.uint64) + salt)
 
-    def spell(self, i: int) -> str | int:
-        """The i-th word; a special token as its number."""
-        raw = self.points[self.starts[i] : self.stops[i]]
-        return int(raw[0]) - UNICODE if raw[0] >= UNICODE else raw.tobytes().decode("utf-32-le")
+    def spelled(self, which: np.ndarray) -> list[str | int]:
+        """The named words; a special token as its number."""
+        lengths = self.stops[which] - self.starts[which]
+        ends = np.cumsum(lengths + 1)
+        flat = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint32)
+        inside = np.ones(len(flat), bool)
+        inside[ends - 1] = False
+        flat[inside] = self.points[ragged(self.starts[which], lengths)]
+        # A word holds no space, so one stands behind each.
+        special = flat >= UNICODE
+        numbers = flat[special].astype(np.int64) - UNICODE
+        at = np.searchsorted(ends, np.flatnonzero(special), side="right")
+        flat[special] = ord("x")
+        words = flat.astype("<u4").tobytes().decode("utf-32-le").split(" ")[:-1]
+        for i, n in zip(at.tolist(), numbers.tolist(), strict=True):
+            words[i] = n
+        return words
 
 
 class WordCodes:
@@ -233,7 +246,7 @@ class WordCodes:
             self.seed += 1
             self.clear()
         if not known.all():
-            flat, lengths = self.encode([words.spell(i) for i in first[~known]])
+            flat, lengths = self.encode(words.spelled(first[~known]))
             row = np.arange(len(lengths)) + len(self.offsets) - 1
             self.ids = np.concatenate([self.ids, flat.astype(np.int32)])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
