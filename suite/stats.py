@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparktab.operators import groupstats as G
+from sparktab.operators import terms
 from sparktab.operators.binning import QuantileBinner
 from suite.common import BANDS, PHOTO, photo, query, r, rounded, rs, table
 from suite.binning import _below, _cont, _TRIM
@@ -250,10 +251,23 @@ def e19(spark, sf):
     + " FROM tf JOIN d USING (term)",
 )
 def e20(spark, sf):
-    return rounded(G.term_weights(table(spark, sf, "documents"), "doc_id", "text", 1))
+    return rounded(terms.term_weights(table(spark, sf, "documents"), "doc_id", "text", 1))
+
+
+@query(
+    "e20_vocabulary",
+    r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
+    d AS (SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM t GROUP BY term),
+    k AS (SELECT * FROM d ORDER BY n DESC, md5('0:' || term), term LIMIT 100)
+    SELECT term, CAST(row_number() OVER (ORDER BY n DESC, term) - 1 AS INTEGER) AS id, CAST(n AS BIGINT) AS n, df, """
+    + r("ln((1e0 + (SELECT count(*) FROM documents)) / (1e0 + df)) + 1e0", "idf") + " FROM k",
+)
+def e20_vocabulary(spark, sf):
+    """The 100 most frequent terms: a cut, so that terms tie there."""
+    docs = table(spark, sf, "documents")
+    return rounded(terms.vocabulary(terms.term_counts(docs, "doc_id", "text"), docs.count(), 100))
 
 
 @query("e20_tfidf_components")
 def e20_pca(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return rounded(G.tfidf_components(docs, "doc_id", "text", 256, 4), 4)
+    return rounded(terms.tfidf_components(table(spark, sf, "documents"), "doc_id", "text", 4), 4)
