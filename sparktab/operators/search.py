@@ -394,50 +394,63 @@ def compare_rules(
     return pd.DataFrame(rows, columns=["rule", "naive", "nested"])
 
 
-def _climb_step(
+def _score_counts(
     wide: DataFrame, models: Sequence[str], y: str, k: int, trials: list[tuple[int, ...]], by: str | None
 ) -> Scores:
-    """One job for all trial count vectors; equal vectors are scored once."""
-    unique = sorted(set(trials))
-    spot = {t: i for i, t in enumerate(unique)}
-    cands = [blend_candidate(t, k) for t in unique]
-    found = collect_scores(
+    """One job for all count vectors."""
+    cands = [blend_candidate(t, k) for t in trials]
+    return collect_scores(
         score_candidates(wide, model_features(models, k), cands, y, k, by), len(cands), k, y, by
     )
-    return Scores(found.groups, found.n, found.hit[[spot[t] for t in trials]])
+
+
+def _with_one_more(counts: tuple[int, ...], m: int) -> tuple[int, ...]:
+    return tuple(n + (i == m) for i, n in enumerate(counts))
 
 
 def climb_together(
     wide: DataFrame, models: Sequence[str], y: str, k: int,
     climbers: dict, iters: int, by: str | None = None,
 ) -> dict:
-    """Greedy selection with replacement for many climbers, one job per step.
+    """Greedy selection with replacement for many climbers, about one job for two steps.
 
     ``climbers`` maps a name to ``(allowed model positions, left-out group or None)``. Each
     starts at its best single model, adds the model that raises balanced accuracy most, and
     stops without a strict gain; ties go to the first allowed model.
+
+    A job scores the count vectors that the climbers ask for and, ahead of time, their successors:
+    all while they are few, else those of the models that scored best one step before. Scores are
+    kept, so a step whose vectors are known needs no scan; guesses change the number of jobs only.
     """
     width = len(models)
     counts = {c: (0,) * width for c in climbers}
     value = dict.fromkeys(climbers, -1.0)
+    # Scores of the models that a climber could add, from its last step.
+    liked = {c: dict.fromkeys(climbers[c][0], 0.0) for c in climbers}
     active = [c for c in climbers if climbers[c][0]]
-    for _ in range(iters):
+    known: dict[tuple[int, ...], Scores] = {}
+    for step in range(iters):
         if not active:
             break
-        owners, trials = [], []
-        for c in active:
-            for m in dict.fromkeys(climbers[c][0]):
-                owners.append((c, m))
-                trials.append(tuple(n + (i == m) for i, n in enumerate(counts[c])))
-        found = _climb_step(wide, models, y, k, trials, by)
-        scored = {v: balanced(found.recalls(without=v)) for v in {climbers[c][1] for c in active}}
+        asked = {(c, m): _with_one_more(counts[c], m) for c in active for m in liked[c]}
+        wanted = dict.fromkeys(t for t in asked.values() if t not in known)
+        if wanted:
+            if step + 1 < iters:
+                room = max(MAX_SUM_COLUMNS, 4 * len(wanted))
+                for c, m in sorted(asked, key=lambda cm: -liked[cm[0]][cm[1]]):
+                    nexts = dict.fromkeys(_with_one_more(asked[c, m], n) for n in liked[c])
+                    fresh = [t for t in nexts if t not in known and t not in wanted]
+                    if len(wanted) + len(fresh) <= room:
+                        wanted.update(dict.fromkeys(fresh))
+            found = _score_counts(wide, models, y, k, list(wanted), by)
+            known.update({t: Scores(found.groups, found.n, found.hit[i : i + 1]) for i, t in enumerate(wanted)})
         still = []
         for c in active:
-            own = [i for i, (o, _) in enumerate(owners) if o == c]
-            points = scored[climbers[c][1]][own]
-            top = int(np.argmax(points))
-            if points[top] > value[c]:
-                counts[c], value[c] = trials[own[top]], float(points[top])
+            left_out = climbers[c][1]
+            liked[c] = {m: float(balanced(known[asked[c, m]].recalls(without=left_out))[0]) for m in liked[c]}
+            top = max(liked[c], key=liked[c].get)
+            if liked[c][top] > value[c]:
+                counts[c], value[c] = asked[c, top], liked[c][top]
                 still.append(c)
         active = still
     return {c: (counts[c], value[c]) for c in climbers}

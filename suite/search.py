@@ -204,6 +204,38 @@ def h5(spark, sf):
     return _weights(spark, [("hill", m, float(w), score) for m, w in zip(NAMES, weights)])
 
 
+def _climbs_sql(lists, steps: int, views: str) -> str:
+    """Greedy selections unrolled, one row of state for each (view, bag).
+
+    ``views`` selects the groups to leave out; ``lists`` holds the model positions of each bag.
+    """
+    allowed = [(b, m, at) for b, lst in enumerate(lists) for at, m in enumerate(dict.fromkeys(lst))]
+    state = "view, bag, c0, c1, c2, c3"
+    mix = ["round((" + " + ".join(f"c{i} * {m}_{c}" for i, m in enumerate(MODELS)) + ") / (c0 + c1 + c2 + c3), 12)" for c in range(3)]
+    out = [
+        f"WITH {PREDS}, " + _PIV.replace("id, y", "id, y, fold"), f"vw AS ({views})",
+        f"al(bag, m, pos) AS (VALUES {', '.join(map(str, allowed))})",
+        "b0 AS (SELECT DISTINCT view, bag, 0 AS c0, 0 AS c1, 0 AS c2, 0 AS c3, -1e0 AS score, TRUE AS on_ FROM vw, al)",
+    ]
+    for t in range(1, steps + 1):
+        grown = ", ".join(f"c{i} + CAST(m = {i} AS INTEGER) AS c{i}" for i in range(4))
+        out.append(
+            f"t{t} AS MATERIALIZED (SELECT view, bag, pos, {grown}, score AS old FROM b{t - 1} JOIN al USING (bag) WHERE on_), "
+            f"s{t} AS (SELECT {state}, pos, old, y, avg(CAST({argmax_sql(mix)} = y AS INTEGER)) AS rec FROM w, t{t} WHERE view = '' OR CAST(fold AS VARCHAR) <> view GROUP BY ALL), "
+            f"r{t} AS (SELECT {state}, pos, old, round(avg(rec), 12) AS score FROM s{t} GROUP BY ALL), "
+            f"g{t} AS MATERIALIZED (SELECT * FROM r{t} WHERE score > old QUALIFY row_number() OVER (PARTITION BY view, bag ORDER BY score DESC, pos) = 1), "
+            f"b{t} AS MATERIALIZED (SELECT {state}, score, TRUE AS on_ FROM g{t} UNION ALL SELECT {state}, score, FALSE FROM b{t - 1} ANTI JOIN g{t} USING (view, bag))"
+        )
+    size = "sum(c0 + c1 + c2 + c3)"
+    out.append(f"ws AS MATERIALIZED (SELECT view, {', '.join(f'sum(c{i}) / {size} AS w{i}' for i in range(4))} FROM b{steps} GROUP BY view)")
+    return ", ".join(out)
+
+
+def _by_model(view: str, score: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {view} AS kind, '{m}' AS model, {r(f'w{i}', 'weight')}, {r(score, 'score')} FROM ws" for i, m in enumerate(MODELS))
+
+
 @query("h6_bagged_climb")
 def h6(spark, sf):
     from sparktab.operators.metrics import evaluate
@@ -213,7 +245,24 @@ def h6(spark, sf):
     return rounded(evaluate(mixed, "y", "p", 3))
 
 
-@query("h7_nested_climb")
+@query("h6_bagged_weights", _climbs_sql(H.bag_lists(4, 20, 42), 30, "SELECT '' AS view") + " " + _by_model("'bags'", "0e0"))
+def h6_weights(spark, sf):
+    """The weights of twenty bags of up to thirty steps."""
+    weights = H.bagged_climb(wide(spark, sf), NAMES, "y", 3)
+    return _weights(spark, [("bags", m, float(w), 0.0) for m, w in zip(NAMES, weights)])
+
+
+_WMIX = ["round(" + " + ".join(f"w{i} * {m}_{c}" for i, m in enumerate(MODELS)) + ", 12)" for c in range(3)]
+
+
+@query(
+    "h7_nested_climb",
+    _climbs_sql(H.bag_lists(4, 3, 42), 6, "SELECT '' AS view UNION SELECT CAST(fold AS VARCHAR) FROM preds")
+    + f", e AS (SELECT view, y, avg(CAST({argmax_sql(_WMIX)} = y AS INTEGER)) AS rec FROM w, ws WHERE view = '' OR CAST(fold AS VARCHAR) = view GROUP BY ALL), "
+    "f AS (SELECT view, avg(rec) AS ba FROM e GROUP BY view), "
+    "two AS (SELECT max(CASE WHEN view = '' THEN ba END) AS naive, avg(CASE WHEN view <> '' THEN ba END) AS nested FROM f) "
+    + _by_model("CASE WHEN view = '' THEN 'None' ELSE view END", "CASE WHEN view = '' THEN (SELECT naive FROM two) ELSE (SELECT nested FROM two) END"),
+)
 def h7(spark, sf):
     weights, nested, naive = H.nested_climb(wide(spark, sf), NAMES, "y", 3, "fold", 3, 6)
     rows = [(str(v), m, float(w), naive if v is None else nested) for v, ws in weights.items() for m, w in zip(NAMES, ws)]

@@ -10,7 +10,7 @@ from tests.conftest import SF
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # Model protocols without a twin take long; ``python -m suite.check t`` runs them.
-ROWS_ONLY = ["h7_nested_climb", "h8_compare_rules", "t1_logistic", "t7_cascade", "e20_tfidf_components"]
+ROWS_ONLY = ["h8_compare_rules", "t1_logistic", "t7_cascade", "e20_tfidf_components"]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
