@@ -6,12 +6,13 @@ is unrolled over the classes and stays in generated code.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparktab.functions.exprs import clip, total
+from sparktab.functions.exprs import clip, total, weighted
 
 # Clipping bounds by caller (fixed values).
 METRIC_BOUNDS = (1e-15, 1 - 1e-15)
@@ -19,7 +20,11 @@ SAVE_BOUNDS = (1e-7, 1.0)
 ANSWER_BOUNDS = (1e-6, 1.0)
 BLEND_BOUNDS = (1e-15, None)
 
-RULES = ("bias", "scale_shift", "temperature", "equal_recall")
+# Parameter bounds of the decision rules (fixed values).
+BIAS_BOUND = (-1.0, 1.0)
+EQUAL_RECALL_BOUND = (-1.5, 1.5)
+SCALE_BOUND, SHIFT_BOUND = (0.2, 3.0), (-2.0, 2.0)
+TEMPERATURE_BOUND = (0.3, 5.0)
 
 
 def parts(p: Column | str, k: int) -> list[Column]:
@@ -69,24 +74,94 @@ def argmax(p: Column | str, k: int) -> Column:
     return argmax_of(parts(p, k))
 
 
-def rule_scores(log_parts: Sequence[Column], rule: str, params: Sequence[float]) -> list[Column]:
-    """Class scores of a decision rule on log probabilities.
+@dataclass(frozen=True)
+class Rule:
+    """A decision rule: class scores that are linear in the log probabilities, then the arg max.
 
-    ``bias`` / ``equal_recall``: ``ln p + b``; ``scale_shift``: ``a*ln p + b`` with
-    parameters ``a`` then ``b``; ``temperature``: ``ln p / T + b`` with ``T`` first.
+    ``bounds(k)``: the range of each parameter, which a search draws from; ``start(k)``: parameters
+    that leave the arg max unchanged; ``linear(params, k)``: rows ``weights[class][log p]`` and
+    ``bias[class]``, which score many candidates in one job; ``columns(logs, params)``: the same scores
+    as expressions, from ``linear`` if not given; ``text(params)``: one line for a report; ``judge``:
+    ``balanced`` or ``equal_recall``, what a search raises.
     """
-    k = len(log_parts)
-    v = [float(x) for x in params]
-    if rule in ("bias", "equal_recall"):
-        return [lp + F.lit(b) for lp, b in zip(log_parts, v)]
-    if rule == "scale_shift":
-        return [F.lit(a) * lp + F.lit(b) for lp, a, b in zip(log_parts, v[:k], v[k:])]
-    if rule == "temperature":
-        return [lp / F.lit(v[0]) + F.lit(b) for lp, b in zip(log_parts, v[1:])]
-    raise ValueError(f"unknown rule {rule!r}; choose from {RULES}")
-
-
-def apply_rule(p: Column | str, k: int, rule: str, params: Sequence[float]) -> Column:
+
+    name: str
+    bounds: Callable[[int], list[tuple[float, float]]]
+    start: Callable[[int], list[float]]
+    linear: Callable[[Sequence[float], int], tuple[Sequence[Sequence[float]], Sequence[float]]]
+    columns: Callable[[Sequence[Column], Sequence[float]], list[Column]] | None = None
+    text: Callable[[Sequence[float]], str] | None = None
+    judge: str = "balanced"
+
+    def scores(self, logs: Sequence[Column], params: Sequence[float]) -> list[Column]:
+        params = [float(x) for x in params]
+        if self.columns:
+            return self.columns(logs, params)
+        return [weighted(logs, w, b) for w, b in zip(*self.linear(params, len(logs)))]
+
+    def describe(self, params: Sequence[float]) -> str:
+        if self.text:
+            return self.text(params)
+        return f"{self.name}(" + ", ".join(f"{x:g}" for x in params) + ")"
+
+
+def diagonal(scale: Sequence[float]) -> tuple[tuple[float, ...], ...]:
+    """Weights of a rule in which each class reads its own log probability only."""
+    return tuple(tuple(a if i == c else 0.0 for i in range(len(scale))) for c, a in enumerate(scale))
+
+
+def _shifted(name: str, bound: tuple[float, float], judge: str) -> Rule:
+    """``ln p + b``."""
+    return Rule(
+        name, lambda k: [bound] * k, lambda k: [0.0] * k, lambda v, k: (diagonal([1.0] * k), tuple(v)),
+        lambda logs, v: [lp + F.lit(b) for lp, b in zip(logs, v)], judge=judge,
+    )
+
+
+#: Rules that go by a name; ``add_rule`` adds more, and a ``Rule`` can be given wherever a name can.
+RULES: dict[str, Rule] = {
+    rule.name: rule
+    for rule in (
+        _shifted("bias", BIAS_BOUND, "balanced"),
+        # ``a*ln p + b`` with parameters a, then b.
+        Rule(
+            "scale_shift", lambda k: [SCALE_BOUND] * k + [SHIFT_BOUND] * k, lambda k: [1.0] * k + [0.0] * k,
+            lambda v, k: (diagonal(v[:k]), tuple(v[k:])),
+            lambda logs, v: [F.lit(a) * lp + F.lit(b) for lp, a, b in zip(logs, v, v[len(logs):])],
+        ),
+        # ``ln p / T + b`` with T first.
+        Rule(
+            "temperature", lambda k: [TEMPERATURE_BOUND] + [SHIFT_BOUND] * k, lambda k: [1.0] + [0.0] * k,
+            lambda v, k: (diagonal([1.0 / v[0]] * k), tuple(v[1:])),
+            lambda logs, v: [lp / F.lit(v[0]) + F.lit(b) for lp, b in zip(logs, v[1:])],
+        ),
+        _shifted("equal_recall", EQUAL_RECALL_BOUND, "equal_recall"),
+    )
+}
+
+
+def add_rule(rule: Rule) -> Rule:
+    """Let ``rule`` go by its name. A name is given once."""
+    if rule.name in RULES:
+        raise ValueError(f"there is a rule {rule.name!r} already")
+    RULES[rule.name] = rule
+    return rule
+
+
+def rule_of(rule: Rule | str) -> Rule:
+    if isinstance(rule, Rule):
+        return rule
+    if rule not in RULES:
+        raise ValueError(f"unknown rule {rule!r}; choose from {tuple(RULES)}")
+    return RULES[rule]
+
+
+def rule_scores(log_parts: Sequence[Column], rule: Rule | str, params: Sequence[float]) -> list[Column]:
+    """Class scores of a decision rule on log probabilities."""
+    return rule_of(rule).scores(log_parts, params)
+
+
+def apply_rule(p: Column | str, k: int, rule: Rule | str, params: Sequence[float]) -> Column:
     logs = [F.ln(clip(c, *METRIC_BOUNDS)) for c in parts(p, k)]
     return argmax_of(rule_scores(logs, rule, params))
 

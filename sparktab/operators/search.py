@@ -20,18 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.functions.exprs import clip, weighted
-from sparktab.functions.proba import METRIC_BOUNDS, argmax_of, parts
+from sparktab.functions.proba import METRIC_BOUNDS, Rule, argmax_of, parts, rule_of
 
 # Up to this many candidates are conditional sums in one aggregate; larger batches are
 # matrix products per Arrow batch with partial sums per task.
 MAX_SUM_COLUMNS = 48
 
-# Parameter bounds of the decision rules (fixed values).
-BIAS_BOUND = (-1.0, 1.0)
-EQUAL_RECALL_BOUND = (-1.5, 1.5)
-SCALE_BOUND, SHIFT_BOUND = (0.2, 3.0), (-2.0, 2.0)
-TEMPERATURE_BOUND = (0.3, 5.0)
-
 
 @dataclass(frozen=True)
 class Candidate:
@@ -206,19 +200,10 @@ def model_features(models: Sequence[str], k: int) -> list[Column]:
     return [c for m in models for c in parts(m, k)]
 
 
-def rule_candidate(rule: str, params: Sequence[float], k: int) -> Candidate:
+def rule_candidate(rule: Rule | str, params: Sequence[float], k: int) -> Candidate:
     """A decision rule on log probabilities as a linear candidate."""
-    v = [float(x) for x in params]
-    if rule in ("bias", "equal_recall"):
-        scale, shift = [1.0] * k, v
-    elif rule == "scale_shift":
-        scale, shift = v[:k], v[k:]
-    elif rule == "temperature":
-        scale, shift = [1.0 / v[0]] * k, v[1:]
-    else:
-        raise ValueError(f"unknown rule {rule!r}")
-    rows = tuple(tuple(scale[c] if i == c else 0.0 for i in range(k)) for c in range(k))
-    return Candidate(rows, tuple(shift))
+    weights, bias = rule_of(rule).linear([float(x) for x in params], k)
+    return Candidate(tuple(tuple(float(x) for x in w) for w in weights), tuple(float(b) for b in bias))
 
 
 def blend_candidate(weights: Sequence[float], k: int) -> Candidate:
@@ -244,25 +229,6 @@ def simplex_grid(n: int, steps: int) -> list[tuple[float, ...]]:
     return [tuple(v / steps for v in point) for point in fill(n, steps)]
 
 
-def rule_bounds(rule: str, k: int) -> list[tuple[float, float]]:
-    return {
-        "bias": [BIAS_BOUND] * k,
-        "equal_recall": [EQUAL_RECALL_BOUND] * k,
-        "scale_shift": [SCALE_BOUND] * k + [SHIFT_BOUND] * k,
-        "temperature": [TEMPERATURE_BOUND] + [SHIFT_BOUND] * k,
-    }[rule]
-
-
-def rule_identity(rule: str, k: int) -> list[float]:
-    """Parameters that leave the arg max unchanged."""
-    return {
-        "bias": [0.0] * k,
-        "equal_recall": [0.0] * k,
-        "scale_shift": [1.0] * k + [0.0] * k,
-        "temperature": [1.0] + [0.0] * k,
-    }[rule]
-
-
 # --- searches ---------------------------------------------------------------------------
 
 
@@ -313,7 +279,7 @@ def search_blend_weights(
 
 
 def search_rules(
-    df: DataFrame, p: str, y: str, k: int, rule: str, views: Sequence, by: str | None = None,
+    df: DataFrame, p: str, y: str, k: int, rule: Rule | str, views: Sequence, by: str | None = None,
     generations: int = 6, population: int = 24, seed: int = 42,
     objective: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> dict:
@@ -323,15 +289,16 @@ def search_rules(
     evolution: every generation of every view is scored in one job. The unchanged arg max is
     in the first generation, so no view ends below it.
     """
-    objective = objective or (equal_recall if rule == "equal_recall" else balanced)
-    bounds = rule_bounds(rule, k)
+    rule = rule_of(rule)
+    objective = objective or {"balanced": balanced, "equal_recall": equal_recall}[rule.judge]
+    bounds = rule.bounds(k)
     features = log_features(p, k)
     rng = {v: random.Random(f"{seed}:{v}") for v in views}
 
     def drawn(v):
         return [rng[v].uniform(lo, hi) for lo, hi in bounds]
 
-    people = {v: [rule_identity(rule, k)] + [drawn(v) for _ in range(population - 1)] for v in views}
+    people = {v: [rule.start(k)] + [drawn(v) for _ in range(population - 1)] for v in views}
     values: dict = {}
     for generation in range(generations + 1):
         trials = people if generation == 0 else {v: _evolve(people[v], values[v], bounds, rng[v]) for v in views}
@@ -369,13 +336,13 @@ def _evolve(people, values, bounds, rng: random.Random, scale: float = 0.7, mix:
     return trials
 
 
-def search_rule(df: DataFrame, p: str, y: str, k: int, rule: str, **options) -> tuple[list[float], float]:
+def search_rule(df: DataFrame, p: str, y: str, k: int, rule: Rule | str, **options) -> tuple[list[float], float]:
     """Best parameters of one rule over all rows."""
     return search_rules(df, p, y, k, rule, [None], None, **options)[None]
 
 
 def compare_rules(
-    df: DataFrame, p: str, y: str, k: int, rules: Sequence[str], fold: str = "fold", **options
+    df: DataFrame, p: str, y: str, k: int, rules: Sequence[Rule | str], fold: str = "fold", **options
 ) -> pd.DataFrame:
     """Naive and nested balanced accuracy per rule on shared predictions.
 
@@ -390,7 +357,7 @@ def compare_rules(
             score_candidates(df, log_features(p, k), cands, y, k, fold), len(cands), k, y, fold
         )
         nested = [float(balanced(found.recalls(only=f))[i + 1]) for i, f in enumerate(folds)]
-        rows.append((rule, float(balanced(found.recalls())[0]), float(np.mean(nested))))
+        rows.append((rule_of(rule).name, float(balanced(found.recalls())[0]), float(np.mean(nested))))
     return pd.DataFrame(rows, columns=["rule", "naive", "nested"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.functions.exprs import clip
-from sparktab.functions.proba import METRIC_BOUNDS, apply_rule, logit_parts, parts
+from sparktab.functions.proba import METRIC_BOUNDS, Rule, apply_rule, logit_parts, parts, rule_of
 from sparktab.operators.ensemble import average, blend
 from sparktab.operators.folds import confident_rows, fit_pool, stratified_folds, stratified_sample
 from sparktab.operators.joins import model_columns
@@ -86,7 +86,7 @@ def meta_frame(preds: DataFrame, models: Sequence[str], k: int, kind: str = "log
 
 def stack(
     preds: DataFrame, models: Sequence[str], make_meta: Callable[[int], object], k: int,
-    kind: str = "logit", seeds: Sequence[int] = (42,), folds: int = 5, rule: str = "bias",
+    kind: str = "logit", seeds: Sequence[int] = (42,), folds: int = 5, rule: Rule | str = "bias",
     test: DataFrame | None = None, **search,
 ) -> tuple[DataFrame, list[float], DataFrame | None]:
     """Meta model on out-of-fold predictions.
@@ -117,7 +117,7 @@ def stack(
 
 
 def nested_cv(
-    frame: DataFrame, make_meta: Callable[[int], object], k: int, rule: str = "bias",
+    frame: DataFrame, make_meta: Callable[[int], object], k: int, rule: Rule | str = "bias",
     inner: int = 5, seed: int = 42, fold: str = "fold", **search,
 ) -> DataFrame:
     """Labels for every outer fold from a meta model and a rule that never saw it.
@@ -195,7 +195,7 @@ def _level_two(kind, train: DataFrame, apply: DataFrame, names: Sequence[str], k
 
 def multi_level(
     preds: DataFrame, models: Sequence[str], metas: dict, k: int,
-    level2: Sequence = ("mean", 1.0, 0.3), rules: Sequence[str] = ("bias", "scale_shift"),
+    level2: Sequence = ("mean", 1.0, 0.3), rules: Sequence[Rule | str] = ("bias", "scale_shift"),
     inner: int = 5, seed: int = 42, fold: str = "fold", **search,
 ) -> pd.DataFrame:
     """Naive and nested balanced accuracy for every level-2 model and decision rule.
@@ -229,7 +229,7 @@ def multi_level(
         for p in parts_[1:]:
             together = together.unionByName(p)
         nested = score_labels(together, "y", "pred", k).first()["balanced_accuracy"]
-        out.append((kind, rule, naive[(kind, rule)], nested, naive[(kind, rule)] - nested))
+        out.append((kind, rule_of(rule).name, naive[(kind, rule)], nested, naive[(kind, rule)] - nested))
     return pd.DataFrame(out, columns=["level2", "rule", "naive", "nested", "gap"])
 
 
@@ -282,7 +282,7 @@ def meta_learner(kind: str, scale: bool, c: float, k: int, seed: int = 42, iters
 
 
 def tune_meta(
-    frame: DataFrame, k: int, grid: Sequence[tuple] = META_GRID, rule: str = "bias", iters: int = 100, **search
+    frame: DataFrame, k: int, grid: Sequence[tuple] = META_GRID, rule: Rule | str = "bias", iters: int = 100, **search
 ) -> pd.DataFrame:
     """Balanced accuracy before and after the rule for every meta setting, best first.
 
@@ -302,7 +302,7 @@ def tune_meta(
 
 def select_subset(
     preds: DataFrame, subsets: dict[str, Sequence[str]], k: int, make_meta: Callable[[int], object],
-    kind: str = "log", folds: int = 5, rule: str = "bias", **search,
+    kind: str = "log", folds: int = 5, rule: Rule | str = "bias", **search,
 ) -> pd.DataFrame:
     """Score named model subsets with the meta learner, best first."""
     rows = []
