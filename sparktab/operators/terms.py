@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ CELLS_AT_ONCE = 1 << 17
 BLOCKS = 4
 #: Directions iterated beside those asked for.
 SPARE = 8
+#: Bytes of a vocabulary's terms up to which tasks hold it; beyond, terms meet it by an exchange.
+VOCABULARY_BYTES = 64 << 20
 
 
 def words_of(col: str) -> Column:
@@ -56,6 +59,10 @@ def vocabulary(counts: DataFrame, n_docs: int, max_terms: int, min_df: int = 1)
     The cut is found from counts, so that only terms near it are ranked.
     """
     terms = counts.where("term IS NOT NULL").groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    return _most_frequent(terms, n_docs, max_terms, min_df)
+
+
+def _most_frequent(terms: DataFrame, n_docs: int, max_terms: int, min_df: int) -> DataFrame:
     terms = materialize(terms.where(F.col("df") >= min_df), "terms")
     size, most = terms.agg(F.count(F.lit(1)), F.max("n")).first()
     if size > max_terms:
@@ -70,12 +77,84 @@ def vocabulary(counts: DataFrame, n_docs: int, max_terms: int, min_df: int = 1)
 
 def term_vectors(counts: DataFrame, key: str, words: DataFrame) -> DataFrame:
     """(key, ids, weights): one row a document, terms by id; a document without known terms has empty lists."""
+    return _gathered(counts, key, words, F.col("tf") * F.col("__idf"))
+
+
+def _gathered(counts: DataFrame, key: str, words: DataFrame, weight: Column) -> DataFrame:
+    """Vectors by two exchanges: terms meet the vocabulary, then documents gather their cells."""
     known = counts.join(words.select("term", F.col("id").alias("__id"), F.col("idf").alias("__idf")), "term", "left")
-    cell = F.when(F.col("__id").isNotNull(), F.struct(F.col("__id").alias("id"), (F.col("tf") * F.col("__idf")).alias("w")))
+    cell = F.when(F.col("__id").isNotNull(), F.struct(F.col("__id").alias("id"), weight.alias("w")))
     cells = known.groupBy(key).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     return cells.select(key, F.col("cells.id").alias("ids"), F.col("cells.w").alias("weights"))
 
 
+def _owners(lists: pa.ListArray) -> np.ndarray:
+    """The row of each element of ``lists``; null lists have none."""
+    sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """``n`` lists from values in the order of their rows."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), values)
+
+
+def row_counts(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, terms, tfs): the terms of every row with their counts, counted where the row lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = batch.column(1), batch.num_rows
+            coded = words.flatten().dictionary_encode()
+            size = max(1, len(coded.dictionary))
+            cells, times = np.unique(_owners(words) * size + coded.indices.to_numpy(), return_counts=True)
+            owner, code = cells // size, cells % size
+            terms = coded.dictionary.take(pa.array(code))
+            counts = pa.array(times.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _lists(owner, n, terms), _lists(owner, n, counts)], names=[key, "terms", "tfs"]
+            )
+
+    kind = df.schema[key].dataType.simpleString()
+    words = spread(df.select(key, col)).select(key, words_of(col).alias("__words"))
+    return words.mapInArrow(run, f"`{key}` {kind}, terms array<string>, tfs array<int>")
+
+
+def _cells(counted: DataFrame) -> DataFrame:
+    return counted.select("__key", F.explode(F.arrays_zip("terms", "tfs")).alias("c")).select("__key", "c.terms", "c.tfs")
+
+
+def _summed(counted: DataFrame) -> DataFrame:
+    """(key, term, tf) of rows with counts; a key without terms has one row, whose term is null."""
+    each = counted.select("__key", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("c"))
+    return each.groupBy("__key", F.col("c.terms").alias("term")).agg(F.coalesce(F.sum("c.tfs"), F.lit(0)).alias("tf"))
+
+
+def _in_place(counted: DataFrame, words: DataFrame) -> DataFrame:
+    """Vectors of rows that are whole documents: tasks look their terms up, and nothing moves.
+
+    The vocabulary is broadcast; its caller has measured it.
+    """
+    table = words.select("term", "id").toPandas().sort_values("id")
+    held = counted.sparkSession.sparkContext.broadcast(table["term"].tolist())
+    kind = counted.schema["__key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(held.value, pa.string())
+        for batch in batches:
+            terms, n = batch.column("terms"), batch.num_rows
+            ids = pc.fill_null(pc.index_in(terms.flatten(), known), -1).to_numpy()
+            owner, tfs = _owners(terms), batch.column("tfs").flatten().to_numpy()
+            met = np.flatnonzero(ids >= 0)
+            met = met[np.argsort(owner[met] * max(1, len(known)) + ids[met], kind="stable")]
+            owner, ids, tfs = owner[met], pa.array(ids[met].astype(np.int32)), pa.array(tfs[met].astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__key"), _lists(owner, n, ids), _lists(owner, n, tfs)], names=["__key", "ids", "weights"]
+            )
+
+    return counted.mapInArrow(run, f"__key {kind}, ids array<int>, weights array<bigint>")
+
+
 def _products(batch: pa.RecordBatch, matrix: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows times ``matrix``, some rows at a time: (first row, products, row of each cell, ids, weights)."""
     ids_of, weights_of = batch.column("ids"), batch.column("weights")
@@ -84,7 +163,7 @@ def _products(batch: pa.RecordBatch, matrix: np.ndarray) -> Iterator[tuple[int,
     while first < len(sizes):
         last = first + max(1, int(np.searchsorted(np.cumsum(sizes[first:]), CELLS_AT_ONCE, "right")))
         ids = ids_of.slice(first, last - first).flatten().to_numpy()
-        weights = weights_of.slice(first, last - first).flatten().to_numpy()
+        weights = weights_of.slice(first, last - first).flatten().to_numpy().astype(float)
         owner = np.repeat(np.arange(min(last, len(sizes)) - first), sizes[first:last])
         out = np.zeros((min(last, len(sizes)) - first, matrix.shape[1]))
         if len(ids):
@@ -135,11 +214,12 @@ def gram_times(vectors: DataFrame, directions: np.ndarray) -> np.ndarray:
 
 def principal_directions(
     vectors: DataFrame, n_terms: int, k: int, mean: np.ndarray | None = None, n_rows: int = 0,
-    tolerance: float = 1e-9, max_scans: int = 60, seed: int = 42,
+    tolerance: float = 1e-9, max_scans: int = 60, seed: int = 42, scale: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` largest eigenvalues of ``A' A`` and their directions (terms x k).
 
-    With ``mean`` (a number for each term) rows are centred, by a correction of rank one. A random
+    With ``scale`` (a number for each term) A has the columns of ``vectors`` times those numbers. With
+    ``mean`` (that of A's columns) rows are centred, by a correction of rank one. A random
     block of directions is multiplied by the matrix, one scan each; the wanted pairs come from the
     span of the last few blocks, and scans go on until no wanted pair is off by more than
     ``tolerance`` of the largest value. Raises if ``max_scans`` don't suffice.
@@ -148,9 +228,10 @@ def principal_directions(
     if k == 0:
         return np.zeros(0), np.zeros((n_terms, 0))
     width = min(n_terms, k + SPARE)
+    scales = np.ones((n_terms, 1)) if scale is None else scale[:, None]
 
     def times(q: np.ndarray) -> np.ndarray:
-        out = gram_times(vectors, q)
+        out = gram_times(vectors, q * scales) * scales
         return out if mean is None else out - n_rows * np.outer(mean, mean @ q)
 
     block = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_terms, width)))[0]
@@ -189,7 +270,9 @@ class TermComponents:
     truncated singular value decomposition. Driver and tasks hold matrices of max_terms x
     (components + 8) doubles, 4 to 8 of them on the driver; that is what ``max_terms`` bounds.
 
-    Rows of one key are one document. Null and empty texts, and texts without known terms, get zeros.
+    The input is read once, by tasks that count the terms of each row; the counts are written. Rows of
+    one key are one document: only keys that repeat go through an exchange, with their terms counted
+    before it. All other rows stay where they are. Null and empty texts, and texts without known terms, get zeros.
     Where there are fewer terms than components, the rest are zeros too.
     """
 
@@ -202,38 +285,61 @@ class TermComponents:
     words: DataFrame | None = None
     values: np.ndarray | None = None
     loadings: np.ndarray | None = None
+    idf: np.ndarray | None = None
 
     def fit(self, df: DataFrame) -> TermComponents:
-        self._learn(materialize(self._counts(df), "counts"), df.count())
+        self._learn(*self._counted(df))
         return self
 
-    def _counts(self, df: DataFrame) -> DataFrame:
-        return term_counts(df.select(F.col(self.key).alias("__key"), F.col(self.col).alias("__text")), "__key", "__text")
-
-    def _learn(self, counts: DataFrame, n_docs: int) -> DataFrame:
-        self.words = materialize(vocabulary(counts, n_docs, self.max_terms, self.min_df), "vocabulary")
-        vectors = materialize(term_vectors(counts, "__key", self.words), "vectors")
+    def _counted(self, df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """Counts (key, terms, tfs) of all rows, those of keys with one row, and (key, term, tf) of other keys, if any."""
+        named = df.select(F.col(self.key).alias("__key"), F.col(self.col).alias("__text"))
+        rows = materialize(row_counts(named, "__key", "__text"), "rows")
+        keys = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+        keys = materialize(keys.select(F.col("__key").alias("__again")), "repeated")
+        if keys.isEmpty():
+            return rows, rows, None
+        same = F.col("__key").eqNullSafe(F.col("__again"))
+        several = materialize(_summed(rows.join(keys, same, "left_semi")), "counts")
+        return rows, rows.join(keys, same, "left_anti"), several
+
+    def _learn(self, rows: DataFrame, single: DataFrame, several: DataFrame | None) -> DataFrame:
+        found = _cells(single).groupBy(F.col("terms").alias("term")).agg(F.sum("tfs").alias("n"), F.count(F.lit(1)).alias("df"))
+        if several is not None:
+            more = several.where("term IS NOT NULL").groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+            found = found.unionByName(more).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+        self.words = materialize(_most_frequent(found, rows.count(), self.max_terms, self.min_df), "vocabulary")
+        vectors = materialize(self._vectors(single, several), "vectors")
         # Weights of a term over all documents: n * idf.
-        table = self.words.select("id", (F.col("n") * F.col("idf")).alias("all")).toPandas()
-        n_rows = vectors.count()
-        mean = np.zeros(len(table))
-        mean[table["id"].to_numpy()] = table["all"].to_numpy() / max(n_rows, 1)
+        table = self.words.select("id", "n", "idf").toPandas().sort_values("id")
+        n_docs = vectors.count()
+        self.idf = table["idf"].to_numpy(float)
+        mean = table["n"].to_numpy(float) * self.idf / max(n_docs, 1)
         self.values, self.loadings = principal_directions(
-            vectors, len(table), self.components, mean if self.centre else None, n_rows
+            vectors, len(table), self.components, mean if self.centre else None, n_docs, scale=self.idf
         )
         return vectors
 
+    def _vectors(self, single: DataFrame, several: DataFrame | None) -> DataFrame:
+        """(__key, ids, weights): one row a document, with counts for weights."""
+        size = self.words.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+        if size > VOCABULARY_BYTES:
+            moved = _summed(single)
+            several = moved if several is None else several.unionByName(moved)
+            return _gathered(several, "__key", self.words, F.col("tf"))
+        placed = _in_place(single, self.words)
+        return placed if several is None else placed.unionByName(_gathered(several, "__key", self.words, F.col("tf")))
+
     def transform(self, df: DataFrame) -> DataFrame:
         """(key, <col>_pc0, ...): one row a document; products of its vector (not centred) with the directions."""
-        return self._project(term_vectors(self._counts(df), "__key", self.words))
+        return self._project(self._vectors(*self._counted(df)[1:]))
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
-        counts = materialize(self._counts(df), "counts")
-        return self._project(self._learn(counts, df.count()))
+        return self._project(self._learn(*self._counted(df)))
 
     def _project(self, vectors: DataFrame) -> DataFrame:
         matrix = np.zeros((len(self.loadings), self.components))
-        matrix[:, : self.loadings.shape[1]] = self.loadings
+        matrix[:, : self.loadings.shape[1]] = self.loadings * self.idf[:, None]
         held = vectors.sparkSession.sparkContext.broadcast(matrix)
         names = [f"{self.col}_pc{j}" for j in range(self.components)]
 

@@ -83,6 +83,52 @@ def test_fewer_terms_than_components_and_no_rows(spark):
     assert sorted((g[0] or 0) for g in terms.tfidf_components(blank, "id", "text", 2).collect()) == [0, 3]
 
 
+def split(rows):
+    """The same documents over several rows of one key: every fifth text cut at a space, one into very many rows."""
+    out = []
+    for i, text in rows:
+        words = (text or "").split(" ")
+        if i % 5 == 0 and len(words) > 2:
+            step = 1 if i == 0 else 7
+            out += [(i, " ".join(words[j : j + step])) for j in range(0, len(words), step)]
+        else:
+            out.append((i, text))
+    return out + [(None, "w01 w02"), (None, None), (None, "w02 w05")]
+
+
+@pytest.mark.parametrize("held", [1 << 20, 1])
+def test_keys_that_repeat_and_large_vocabularies(spark, monkeypatch, held):
+    """Rows of one key are one document; a vocabulary beyond the bound meets its terms by an exchange."""
+    monkeypatch.setattr(terms, "VOCABULARY_BYTES", held)
+    rows = split(texts(60))
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    model = terms.TermComponents("id", "text", 2, 40).fit(frame)
+    got = {r[0]: r[1:] for r in model.transform(frame).collect()}
+    whole = {}
+    for i, text in rows:
+        whole[i] = f"{whole.get(i, '')} {text or ''}"
+    assert set(got) == set(whole)
+    words = {r["term"]: r for r in model.words.collect()}
+    each = {i: Counter(re.findall(r"\w{2,}", t.lower())) for i, t in whole.items()}
+    for t, r in words.items():
+        df = sum(t in c for c in each.values())
+        assert (r["n"], r["df"]) == (sum(c[t] for c in each.values()), df)
+        assert math.isclose(r["idf"], math.log((1 + len(rows)) / (1 + df)) + 1)
+    a = np.array([[c[t] * words[t]["idf"] for t in words] for c in each.values()])
+    b = a - a.mean(0)
+    assert np.allclose(model.values, np.linalg.eigvalsh(b.T @ b)[::-1][:2], rtol=1e-8)
+    place = np.array([words[t]["id"] for t in words])
+    want = a @ model.loadings[place]
+    assert np.allclose([got[i] for i in each], want, atol=1e-6)
+
+
+def test_documents_of_one_row_do_not_move(spark):
+    frame = spark.createDataFrame(texts(40), "id long, text string")
+    model = terms.TermComponents("id", "text", 2).fit(frame)
+    plan = model.transform(frame)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+
+
 def test_tasks_send_sums_and_plans_hold_no_terms(spark):
     rows = texts(40)
     frame = spark.createDataFrame(rows, "id long, text string")
