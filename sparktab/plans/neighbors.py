@@ -1,8 +1,10 @@
 """Exact k-nearest-neighbour votes at any size.
 
-Reference rows fall into cells around sampled pivots. For each query the triangle inequality
-gives an upper bound of its k-th distance and a lower bound for every cell, and the query
-visits only cells that can hold a neighbour. Cells are cut into blocks of bounded size on both
+Reference rows fall into a tree of cells around sampled pivots: into the group of the nearest of a
+few chief pivots, there into the cell of the group's nearest pivot. For each query the triangle
+inequality gives an upper bound of its k-th distance and lower bounds for groups and cells, and the
+query visits only cells that can hold a neighbour. Driver and tasks hold the pivots and k radii of
+each, whose number is about the square root of the rows, and no table of pairs of pivots. Cells are cut into blocks of bounded size on both
 sides, so one crowded cell becomes many tasks. Each (query, block) keeps k rows.
 """
 
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,68 +47,163 @@ def _distance_function():
     return distances
 
 
+#: Numbers that a task holds at once while it compares queries with pivots.
+NUMBERS_AT_ONCE = 4_000_000
+
+
+@dataclass
+class PivotTree:
+    """Pivots in groups around chief pivots; cell numbers follow the groups."""
+
+    chiefs: np.ndarray
+    pivots: np.ndarray
+    starts: np.ndarray  # first pivot of each group, and the end
+
+    @classmethod
+    def of(cls, points: np.ndarray, seed: int = 5) -> PivotTree:
+        """Groups of different points; a chief for the square root of their number."""
+        distances = _distance_function()
+        some = np.random.default_rng(seed).choice(len(points), math.isqrt(len(points)), replace=False)
+        chiefs = points[np.sort(some)]
+        step = max(1, NUMBERS_AT_ONCE // len(chiefs))
+        nearest_ = [distances(points[i : i + step], chiefs).argmin(1) for i in range(0, len(points), step)]
+        group = np.concatenate(nearest_)
+        # Every chief is a point, so no group is empty.
+        return cls(chiefs, points[np.argsort(group, kind="stable")], np.searchsorted(np.sort(group), np.arange(len(chiefs) + 1)))
+
+
+def _placer(tree: PivotTree, features: str):
+    distances = _distance_function()
+
+    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf[features].to_numpy()).astype("float64")
+            step = max(1, NUMBERS_AT_ONCE // len(tree.chiefs))
+            group, reach = np.empty(len(x), dtype="int32"), np.empty(len(x))
+            for i in range(0, len(x), step):
+                d = distances(x[i : i + step], tree.chiefs)
+                group[i : i + step], reach[i : i + step] = d.argmin(1), d.min(1)
+            cell, radius = np.empty(len(x), dtype="int32"), np.empty(len(x))
+            for g in np.unique(group):
+                rows, first = np.flatnonzero(group == g), tree.starts[g]
+                here = tree.pivots[first : tree.starts[g + 1]]
+                step = max(1, NUMBERS_AT_ONCE // len(here))
+                for i in range(0, len(rows), step):
+                    d = distances(x[rows[i : i + step]], here)
+                    cell[rows[i : i + step]], radius[rows[i : i + step]] = first + d.argmin(1), d.min(1)
+            yield pdf.assign(cell=cell, radius=radius, grp=group, reach=reach)
+
+    return to_cells
+
+
+def _smallest(rows: DataFrame, by: str, value: str, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, value, largest): the k smallest values of each of ``n`` parts, and the largest (-1 without rows)."""
+    order = Window.partitionBy(by).orderBy(value)
+    few = rows.select(by, value).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)
+    few = few.select(by, value).orderBy(by, value).toPandas()
+    far = np.full(n, -1.0)
+    most = rows.groupBy(by).agg(F.max(value).alias("far")).toPandas()
+    far[most[by].to_numpy()] = most["far"].to_numpy()
+    return few[by].to_numpy(), few[value].to_numpy(), far
+
+
+def _bounds():
+    def kth(values: np.ndarray, k: int) -> np.ndarray:
+        """An upper bound of the k-th distance, from distances that rows are known not to exceed."""
+        if values.shape[1] < k:
+            return np.full(len(values), np.inf)
+        return np.partition(values, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-12
+
+    def plane(d: np.ndarray, home: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """Least distance to rows that are nearer to another pivot than to the home pivot."""
+        own = d[np.arange(len(d)), home][:, None] ** 2
+        least = d**2 - own - 1e-12 * (d**2 + own)
+        return np.divide(least, 2 * gap, out=np.full_like(d, -np.inf), where=gap > 0)
+
+    return kth, plane
+
+
+def _visitor(tree: PivotTree, features: str, k: int, n_rows: int, of_groups, of_cells, blocks: np.ndarray):
+    distances = _distance_function()
+    kth, plane = _bounds()
+    chief_of, chief_reach, group_far = of_groups
+    cell_of, cell_reach, cell_far = of_cells
+    chief_gaps = distances(tree.chiefs, tree.chiefs)
+    # Where the radii of each group's cells start.
+    spans = np.searchsorted(cell_of, tree.starts)
+    widest = max(int(np.diff(spans).max()), len(chief_of), len(tree.chiefs), int(np.diff(tree.starts).max()), 1)
+    wanted_k = min(k, n_rows)
+
+    def inside(x: np.ndarray, g: int) -> np.ndarray:
+        return distances(x, tree.pivots[tree.starts[g] : tree.starts[g + 1]])
+
+    def visited(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = distances(x, tree.chiefs)
+        bound = kth(d[:, chief_of] + chief_reach, wanted_k)
+        home = d.argmin(1)
+        for g in np.unique(home):
+            rows = np.flatnonzero(home == g)
+            near = slice(spans[g], spans[g + 1])
+            upper = inside(x[rows], g)[:, cell_of[near] - tree.starts[g]] + cell_reach[near]
+            bound[rows] = np.minimum(bound[rows], kth(upper, wanted_k))
+        least = np.maximum(d - group_far, plane(d, home, chief_gaps[home]))
+        open_ = (least <= bound[:, None]) & (group_far >= 0)
+        found = []
+        for g in np.flatnonzero(open_.any(0)):
+            rows, first, last = np.flatnonzero(open_[:, g]), tree.starts[g], tree.starts[g + 1]
+            d_in = inside(x[rows], g)
+            nearest_ = d_in.argmin(1)
+            gap = inside(tree.pivots[first + nearest_], g)
+            far = cell_far[first:last]
+            hit = (np.maximum(d_in - far, plane(d_in, nearest_, gap)) <= bound[rows, None]) & (far >= 0)
+            r, c = np.nonzero(hit)
+            found.append((rows[r], first + c))
+        return tuple(np.concatenate(f) for f in zip(*found))
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, NUMBERS_AT_ONCE // widest)
+        for pdf in batches:
+            for i in range(0, len(pdf), step):
+                some = pdf.iloc[i : i + step]
+                rows, cells_ = visited(np.stack(some[features].to_numpy()).astype("float64"))
+                times = blocks[cells_]
+                ends = np.cumsum(times)
+                part = np.arange(ends[-1]) - np.repeat(ends - times, times)
+                out = some.iloc[np.repeat(rows, times)].reset_index(drop=True)
+                yield out.assign(cell=np.repeat(cells_, times).astype("int32"), part=part.astype("int32"))
+
+    return visits
+
+
 def nearest(
     ref: DataFrame, query: DataFrame, key: str, features: str, k: int, y: str = "y",
     block_rows: int = 20_000,
 ) -> DataFrame:
     """``(key, ref_key, y, distance)``: the k nearest reference rows, ties by reference key.
 
-    The number of pivots grows with the square root of the rows, so cells and the choice among
-    them grow alike. A task holds one block and the distances of a slice of queries to it.
+    The number of pivots grows with the square root of the rows, that of chief pivots with its
+    root. A task holds the pivots, one block and the distances of a slice of queries to it.
     """
     distances = _distance_function()
     n = ref.count()
-    centres = _pivots(ref, features, n, max(1, min(2 * math.isqrt(n), n // 50)))
-    m = len(centres)
-
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            d = distances(np.stack(pdf[features].to_numpy()).astype("float64"), centres)
-            yield pdf.assign(cell=d.argmin(1).astype("int32"), radius=d.min(1))
-
-    shape = f"`{key}` long, `{y}` int, `{features}` array<double>, cell int, radius double"
+    tree = PivotTree.of(_pivots(ref, features, n, max(1, min(2 * math.isqrt(n), n // 50))))
+    m = len(tree.pivots)
+    shape = f"`{key}` long, `{y}` int, `{features}` array<double>, cell int, radius double, grp int, reach double"
     cast = F.col(features).cast("array<double>").alias(features)
     cells = materialize(
-        ref.select(F.col(key).cast("long"), F.col(y).cast("int"), cast).mapInPandas(to_cells, shape),
+        ref.select(F.col(key).cast("long"), F.col(y).cast("int"), cast).mapInPandas(_placer(tree, features), shape),
         "knn-cells",
     )
-    # Per cell: size, radius and its k smallest radii. One row per pivot.
-    near = Window.partitionBy("cell").orderBy("radius")
-    inner = (
-        cells.select("cell", "radius").withColumn("r", F.row_number().over(near))
-        .where(F.col("r") <= k).groupBy("cell").agg(F.sort_array(F.collect_list("radius")).alias("near"))
+    sizes = materialize(
+        cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")), "knn-sizes"
     )
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("far"))
-    summary = sizes.join(inner, "cell").toPandas().set_index("cell")
-    far = np.full(m, -1.0)
-    far[summary.index] = summary["far"]
+    # One row per pivot.
+    summary = sizes.toPandas()
     blocks = np.ones(m, dtype="int64")
-    blocks[summary.index] = -(-summary["n"].to_numpy() // block_rows)
-    owner = np.repeat(summary.index.to_numpy(), summary["near"].map(len).to_numpy())
-    reach = np.concatenate(summary["near"].to_numpy())
-    between = distances(centres, centres)
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.stack(pdf[features].to_numpy()).astype("float64")
-            d = distances(x, centres)
-            upper = d[:, owner] + reach[None, :]
-            take = min(k, upper.shape[1]) - 1
-            bound = np.partition(upper, take, axis=1)[:, take] * (1 + 1e-9) + 1e-12
-            home = d.argmin(1)
-            lower = d - far[None, :]
-            gap = between[home]
-            plane = np.divide(
-                d**2 - d[np.arange(len(d)), home][:, None] ** 2, 2 * gap,
-                out=np.full_like(d, -np.inf), where=gap > 0,
-            )
-            wanted = (np.maximum(lower, plane) <= bound[:, None]) & (far[None, :] >= 0)
-            rows, cells_ = np.nonzero(wanted)
-            times = blocks[cells_]
-            part = np.concatenate([np.arange(t) for t in times]) if len(times) else np.array([], dtype=int)
-            rows, cells_ = np.repeat(rows, times), np.repeat(cells_, times)
-            out = pdf.iloc[rows].reset_index(drop=True)
-            yield out.assign(cell=cells_.astype("int32"), part=part.astype("int32"))
+    blocks[summary["cell"].to_numpy()] = summary["blocks"].to_numpy()
+    of_groups = _smallest(cells, "grp", "reach", k, len(tree.chiefs))
+    of_cells = _smallest(cells, "cell", "radius", k, m)
+    visits = _visitor(tree, features, k, n, of_groups, of_cells, blocks)
 
     asked = query.select(F.col(key).cast("long"), cast).mapInPandas(
         visits, f"`{key}` long, `{features}` array<double>, cell int, part int"
@@ -121,12 +219,11 @@ def nearest(
         key, features, "cell", "part",
         F.pmod(F.xxhash64(key), F.col("slices")).cast("int").alias("slice"),
     )
-    counts = F.array(*[F.lit(int(b)) for b in blocks])
-    part = F.pmod(F.xxhash64(key), counts[F.col("cell")]).cast("int")
+    part = F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
     copies = loads.select(
         "cell", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
     )
-    stored = cells.withColumn("part", part).join(copies, ["cell", "part"]).select(
+    stored = cells.join(sizes, "cell").withColumn("part", part).join(copies, ["cell", "part"]).select(
         key, y, features, "cell", "part", "slice"
     )
 
