@@ -202,8 +202,8 @@ def gram_times(vectors: DataFrame, directions: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays(cells, names=["i", *[f"s{j}" for j in range(width)]])
 
     schema = "i int, " + ", ".join(f"s{j} double" for j in range(width))
-    # Few tasks with many rows each, since each one sends a row for every term it met.
-    rows = vectors.select("ids", "weights").coalesce(4 * spark.sparkContext.defaultParallelism)
+    # One task a core, since each one sends a row for every term it met.
+    rows = vectors.select("ids", "weights").coalesce(spark.sparkContext.defaultParallelism)
     parts = rows.mapInArrow(run, schema)
     found = parts.groupBy("i").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(width)]).toPandas()
     held.destroy()
