@@ -253,3 +253,43 @@ def swap_noise(df: DataFrame, key: str, cols: Sequence[str], p: float, seed: int
             .select(*df.columns)
         )
     return out
+
+
+def swap_cells(df: DataFrame, key: str, cols: Sequence[str], p: float, seed: int) -> DataFrame:
+    """Swap noise for many columns: as ``swap_noise``, with one hashed order for all of them.
+
+    Rows are ranked once in a hashed order of the keys. The donors of a column are the rows a fixed
+    number of ranks further, in a circle; the number differs from column to column, so a row that
+    takes several cells takes them from different rows, and with ``p`` = 1 every value is used as
+    often as before. Donors send their cells to the rows that drew them, so a row moves once and a
+    drawn cell once, whatever the number of columns. Nulls are swapped like other values; repeated
+    and null keys are rows of their own. A single row keeps its values.
+    """
+    cols = list(dict.fromkeys(cols))
+    ranked = materialize(hash_rank(df, [], key, seed, "__k").withColumn("__k", F.col("__k") - 1), "ranked")
+    n = ranked.count()
+    if n < 2 or not cols:
+        return ranked.select(*df.columns)
+    kinds = [ranked.schema[c].dataType for c in cols]
+    # One field for each type of value.
+    fields = {kind.simpleString(): (f"v{i}", kind) for i, kind in enumerate(kinds)}
+    limit = int(p * 16**7)
+    cells = []
+    for i, c in enumerate(cols):
+        shift = 1 + (seed * 1_000_003 + i) % (n - 1)
+        to = F.pmod(F.col("__k") - F.lit(shift), F.lit(n))
+        drawn = F.conv(F.substring(hash_text(to, seed + 1 + i), 1, 7), 16, 10).cast("long") < limit
+        held = [
+            (F.col(c) if name == kinds[i].simpleString() else F.lit(None).cast(kind)).alias(field)
+            for name, (field, kind) in fields.items()
+        ]
+        cells.append(F.struct(F.when(drawn, to).alias("to"), F.lit(i).alias("i"), F.struct(*held).alias("v")))
+    sent = ranked.select(F.inline(F.array(*cells))).where(F.col("to").isNotNull())
+    # At most one cell for each column.
+    taken = sent.groupBy("to").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("__taken"))
+    joined = ranked.join(taken.withColumnRenamed("to", "__k"), "__k", "left")
+    new = {}
+    for i, c in enumerate(cols):
+        cell = F.try_element_at("__taken", F.lit(i))
+        new[c] = F.when(cell.isNotNull(), cell[fields[kinds[i].simpleString()][0]]).otherwise(F.col(c)).alias(c)
+    return joined.select(*[new.get(c, F.col(c)) for c in df.columns])

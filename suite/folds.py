@@ -209,3 +209,20 @@ _SWAP = """r{i} AS (SELECT id, {c}, row_number() OVER (ORDER BY md5('{s}:' || id
 def f9(spark, sf):
     ph = photo(spark, sf).select("id", "u", "redshift")
     return rounded(folds.swap_noise(ph, "id", ["u", "redshift"], 0.15, 3))
+
+
+def _swapped(i: int, c: str) -> str:
+    draw = f"CAST(('0x' || substr(md5('{8 + i}:' || t.k), 1, 7)) AS BIGINT) < {int(0.3 * 16**7)}"
+    return f"CASE WHEN {draw} THEN d{i}.{c} ELSE t.{c} END"
+
+
+@query(
+    "f9_swap_cells",
+    f"""WITH {PHOTO}, k AS (SELECT id, u, redshift, spectral_type, row_number() OVER (ORDER BY md5('7:' || id), id) - 1 AS k, count(*) OVER () AS n FROM photo)
+    SELECT t.id, {r(_swapped(0, 'u'), 'u')}, {r(_swapped(1, 'redshift'), 'redshift')}, {_swapped(2, "spectral_type")} AS spectral_type FROM k t
+    JOIN k d0 ON d0.k = (t.k + 1 + 7000021 % (t.n - 1)) % t.n JOIN k d1 ON d1.k = (t.k + 1 + 7000022 % (t.n - 1)) % t.n
+    JOIN k d2 ON d2.k = (t.k + 1 + 7000023 % (t.n - 1)) % t.n""",
+)
+def f9_cells(spark, sf):
+    ph = photo(spark, sf).select("id", "u", "redshift", "spectral_type")
+    return rounded(folds.swap_cells(ph, "id", ["u", "redshift", "spectral_type"], 0.3, 7))
