@@ -4,8 +4,9 @@ Reference rows fall into a tree of cells around sampled pivots: into the group o
 few chief pivots, there into the cell of the group's nearest pivot. For each query the triangle
 inequality gives an upper bound of its k-th distance and lower bounds for groups and cells, and the
 query visits only cells that can hold a neighbour. Driver and tasks hold the pivots and k radii of
-each, whose number is about the square root of the rows, and no table of pairs of pivots. Cells are cut into blocks of bounded size on both
-sides, so one crowded cell becomes many tasks. Each (query, block) keeps k rows.
+each, whose number is about the square root of the rows, and no table of pairs of pivots. Cells are cut into blocks of bounded size,
+so one crowded cell becomes many tasks, and neighbouring blocks are dealt to bins. A query moves once for each bin
+that it visits, with the numbers of the blocks; each (query, bin) keeps k rows.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def _distance_function():
     def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Euclidean; differences are formed directly, so equal rows give exactly 0."""
         out = np.empty((len(x), len(y)))
-        step = max(1, 8_000_000 // max(1, len(y) * x.shape[1]))
+        step = max(1, 1_000_000 // max(1, len(y) * x.shape[1]))
         for s in range(0, len(x), step):
             diff = x[s : s + step, None, :] - y[None, :, :]
             out[s : s + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
@@ -49,6 +50,8 @@ def _distance_function():
 
 #: Numbers that a task holds at once while it compares queries with pivots.
 NUMBERS_AT_ONCE = 4_000_000
+#: Rows of a bin of whole blocks, and queries that meet it in one task.
+BIN_ROWS = 8192
 
 
 @dataclass
@@ -123,7 +126,8 @@ def _bounds():
     return kth, plane
 
 
-def _visitor(tree: PivotTree, features: str, k: int, n_rows: int, of_groups, of_cells, blocks: np.ndarray):
+def _visitor(tree: PivotTree, features: str, k: int, n_rows: int, of_groups, of_cells, first_block: np.ndarray, bin_of: np.ndarray):
+    """``first_block``: the first block of each cell, and the end; ``bin_of``: the bin of each block."""
     distances = _distance_function()
     kth, plane = _bounds()
     chief_of, chief_reach, group_far = of_groups
@@ -161,16 +165,35 @@ def _visitor(tree: PivotTree, features: str, k: int, n_rows: int, of_groups, of_
         return tuple(np.concatenate(f) for f in zip(*found))
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = max(1, NUMBERS_AT_ONCE // widest)
+        step = max(1, NUMBERS_AT_ONCE // max(widest, 4 * len(tree.pivots)))
+        dim = tree.pivots.shape[1]
+        n_bins = int(bin_of[-1]) + 1
         for pdf in batches:
             for i in range(0, len(pdf), step):
                 some = pdf.iloc[i : i + step]
                 rows, cells_ = visited(np.stack(some[features].to_numpy()).astype("float64"))
-                times = blocks[cells_]
-                ends = np.cumsum(times)
-                part = np.arange(ends[-1]) - np.repeat(ends - times, times)
-                out = some.iloc[np.repeat(rows, times)].reset_index(drop=True)
-                yield out.assign(cell=np.repeat(cells_, times).astype("int32"), part=part.astype("int32"))
+                by_row = np.argsort(rows, kind="stable")
+                rows, cells_ = rows[by_row], cells_[by_row]
+                ends = np.searchsorted(rows, np.arange(len(some) + 1))
+                times = first_block[cells_ + 1] - first_block[cells_]
+                # Some queries at a time: their blocks, and copies of them for each bin, are bounded.
+                each = np.diff(np.r_[0, np.cumsum(times)][ends])
+                upto = np.r_[0, np.cumsum(each + np.minimum(each, n_bins) * dim)]
+                start = 0
+                while start < len(some):
+                    stop = max(start + 1, int(np.searchsorted(upto, upto[start] + NUMBERS_AT_ONCE, "right")) - 1)
+                    here = slice(ends[start], ends[stop])
+                    count, first = times[here], first_block[cells_[here]]
+                    last = np.cumsum(count)
+                    block = np.arange(last[-1]) - np.repeat(last - count - first, count)
+                    owner = np.repeat(rows[here], count)
+                    order = np.lexsort((block, owner))
+                    owner, block = owner[order], block[order]
+                    cell = owner * n_bins + bin_of[block]
+                    cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                    out = some.iloc[owner[cuts]].reset_index(drop=True)
+                    yield out.assign(bin=bin_of[block[cuts]], blocks=np.split(block.astype("int32"), cuts[1:]))
+                    start = stop
 
     return visits
 
@@ -182,7 +205,8 @@ def nearest(
     """``(key, ref_key, y, distance)``: the k nearest reference rows, ties by reference key.
 
     The number of pivots grows with the square root of the rows, that of chief pivots with its
-    root. A task holds the pivots, one block and the distances of a slice of queries to it.
+    root. Cells are cut into blocks of ``block_rows`` rows, at most; a query is compared only with blocks
+    of cells that it visits. A task holds the pivots or one bin of blocks, a slice of queries and some of their distances.
     """
     distances = _distance_function()
     n = ref.count()
@@ -194,61 +218,90 @@ def nearest(
         ref.select(F.col(key).cast("long"), F.col(y).cast("int"), cast).mapInPandas(_placer(tree, features), shape),
         "knn-cells",
     )
-    sizes = materialize(
-        cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")), "knn-sizes"
-    )
     # One row per pivot.
-    summary = sizes.toPandas()
-    blocks = np.ones(m, dtype="int64")
-    blocks[summary["cell"].to_numpy()] = summary["blocks"].to_numpy()
+    summary = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).toPandas()
+    sizes = np.zeros(m, dtype="int64")
+    sizes[summary["cell"].to_numpy()] = summary["rows"].to_numpy()
+    times = -(-sizes // block_rows)
+    first_block = np.r_[0, np.cumsum(times)]
+    # Bins of even size on both sides, small enough for some tasks a core.
+    tasks = 4 * ref.sparkSession.sparkContext.defaultParallelism
+    side = max(1, min(BIN_ROWS, math.isqrt(n * query.count() // tasks)))
+    owner = np.repeat(np.arange(m), times)
+    part = np.arange(first_block[-1]) - first_block[owner]
+    bin_of = (np.cumsum(sizes)[owner] - sizes[owner] + part * sizes[owner] // times[owner]) // side
+    bin_of = np.unique(bin_of, return_inverse=True)[1].astype("int32")
     of_groups = _smallest(cells, "grp", "reach", k, len(tree.chiefs))
     of_cells = _smallest(cells, "cell", "radius", k, m)
-    visits = _visitor(tree, features, k, n, of_groups, of_cells, blocks)
+    visits = _visitor(tree, features, k, n, of_groups, of_cells, first_block, bin_of)
 
     asked = query.select(F.col(key).cast("long"), cast).mapInPandas(
-        visits, f"`{key}` long, `{features}` array<double>, cell int, part int"
+        visits, f"`{key}` long, `{features}` array<double>, bin int, blocks array<int>"
     )
     asked = materialize(asked, "knn-asked")
     loads = materialize(
-        asked.groupBy("cell", "part").agg(
-            F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("slices")
-        ),
-        "knn-loads",
+        asked.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / side).cast("int").alias("slices")), "knn-loads"
     )
-    asked = asked.join(loads, ["cell", "part"]).select(
-        key, features, "cell", "part",
+    asked = asked.join(loads, "bin").select(
+        key, features, "bin", "blocks",
         F.pmod(F.xxhash64(key), F.col("slices")).cast("int").alias("slice"),
     )
-    part = F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
-    copies = loads.select(
-        "cell", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
-    )
-    stored = cells.join(sizes, "cell").withColumn("part", part).join(copies, ["cell", "part"]).select(
-        key, y, features, "cell", "part", "slice"
+
+    def in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cell = pdf["cell"].to_numpy()
+            block = first_block[cell] + pdf["part"].to_numpy() % times[cell]
+            yield pdf.drop(columns=["cell", "part"]).assign(bin=bin_of[block], block=block.astype("int32"))
+
+    placed = cells.select(key, y, features, "cell", F.abs(F.xxhash64(key) % (1 << 31)).alias("part")).mapInPandas(
+        in_blocks, f"`{key}` long, `{y}` int, `{features}` array<double>, bin int, block int"
     )
+    stored = placed.join(loads, "bin").withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    ).drop("slices")
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({key: [], "ref_key": [], y: [], "distance": []})
         right = right.sort_values(key, ignore_index=True)
-        ids, labels = right[key].to_numpy(), right[y].to_numpy()
+        ids, labels, owns = right[key].to_numpy(), right[y].to_numpy(), right["block"].to_numpy()
         points, asked_ = np.stack(right[features].to_numpy()), np.stack(left[features].to_numpy())
-        width, parts = min(k, len(ids)), []
-        rows = max(1, 4_000_000 // len(ids))  # at most 32 MB of distances at a time
+        numbers, at = np.unique(owns, return_inverse=True)
+        wanted, width, parts = left["blocks"].to_numpy(), min(k, len(ids)), []
+        rows = max(1, NUMBERS_AT_ONCE // len(ids))
+        squares = np.einsum("ij,ij->i", points, points)
+        pairs = max(1, 1_000_000 // points.shape[1])
         for start in range(0, len(asked_), rows):
-            d = distances(asked_[start : start + rows], points)
-            # All rows as near as the k-th, then ties by reference key.
-            bound = np.partition(d, width - 1, axis=1)[:, width - 1 : width]
-            q, r = np.nonzero(d <= bound)
-            near = np.lexsort((r, d[q, r], q))
-            q, r = q[near], r[near]
+            some, lists = asked_[start : start + rows], wanted[start : start + rows]
+            who, block = np.repeat(np.arange(len(some)), [len(b) for b in lists]), np.concatenate(lists)
+            # A block may have no rows, since the hash of the key deals them out.
+            place = np.minimum(np.searchsorted(numbers, block), len(numbers) - 1)
+            visited = np.zeros((len(some), len(numbers)), dtype=bool)
+            visited[who[numbers[place] == block], place[numbers[place] == block]] = True
+            seen = visited[:, at]
+            # Products find the rows that can be near, up to what rounding adds; differences decide.
+            own = np.einsum("ij,ij->i", some, some)[:, None]
+            d = own + squares - 2 * (some @ points.T)
+            slack = (points.shape[1] + 8) * 4e-15 * (own + squares.max())
+            if not np.isfinite(d).all():
+                d, slack = distances(some, points), 0.0
+            d[~seen] = np.inf
+            bound = np.partition(d, width - 1, axis=1)[:, width - 1 : width] + slack
+            q, r = np.nonzero((d <= bound) & seen)
+            far = np.empty(len(q))
+            for i in range(0, len(q), pairs):
+                diff = some[q[i : i + pairs]] - points[r[i : i + pairs]]
+                far[i : i + pairs] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+            # Ties by reference key.
+            near = np.lexsort((r, far, q))
+            q, r, far = q[near], r[near], far[near]
             place = np.arange(len(q)) - np.searchsorted(q, q)
-            q, r = q[place < width], r[place < width]
-            parts.append((left[key].to_numpy()[start + q], ids[r], labels[r], d[q, r]))
+            q, r, far = q[place < width], r[place < width], far[place < width]
+            parts.append((left[key].to_numpy()[start + q], ids[r], labels[r], far))
         columns = [np.concatenate(c) for c in zip(*parts)]
         return pd.DataFrame(dict(zip([key, "ref_key", y, "distance"], columns)))
 
-    group = ["cell", "part", "slice"]
+    group = ["bin", "slice"]
     found = asked.groupBy(*group).cogroup(stored.groupBy(*group)).applyInPandas(
         match, f"`{key}` long, ref_key long, `{y}` int, distance double"
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sparktab.plans import neighbors
@@ -62,3 +63,35 @@ def test_plan_holds_no_literal_for_each_cell(spark):
     ref = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(points(2000, 2, 3))], "id long, y int, v array<double>")
     plan = neighbors.nearest(ref, ref.select("id", "v").where("id < 20"), "id", "v", 3)._jdf.queryExecution().toString()
     assert "array(1, 1" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_queries_move_once_a_bin_in_bounded_batches(spark, monkeypatch):
+    """Far points in many dimensions rule no cell out: a query must not be copied for each small block."""
+    moved = []
+    written = neighbors.materialize
+
+    def counted(df, tag="stage", **options):
+        out = written(df, tag, **options)
+        if tag == "knn-asked":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbors, "materialize", counted)
+    rng = np.random.default_rng(11)
+    ref = [(i, i % 3, v.tolist()) for i, v in enumerate(rng.normal(size=(1200, 24)))]
+    query = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 24)))]
+    assert found(spark, ref, query, 5, block_rows=10) == brute(ref, query, 5)
+    # Of at least 120 blocks; bins have isqrt(1200 * 300 / 16) = 150 rows.
+    assert moved[0] <= 300 * 20
+
+    tree = neighbors.PivotTree.of(points(30, 2, 9, 0.0))
+    monkeypatch.setattr(neighbors, "NUMBERS_AT_ONCE", 4_000)
+    x = pd.DataFrame({"id": range(500), "v": list(points(500, 2, 5))})
+    m, g = len(tree.pivots), len(tree.chiefs)
+    groups = (np.arange(g), np.zeros(g), np.full(g, 1e9))
+    cells = (np.arange(m), np.zeros(m), np.full(m, 1e9))
+    first = np.arange(m + 1) * 40
+    visits = neighbors._visitor(tree, "v", 3, 10**6, groups, cells, first, np.arange(m * 40, dtype="int32") // 5)
+    out = list(visits(iter([x])))
+    assert sum(b["blocks"].map(len).sum() for b in out) > 500 * 40
+    assert max(len(b) for b in out) <= 4_000
