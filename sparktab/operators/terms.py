@@ -43,13 +43,43 @@ def inverse_frequency(n: int) -> Column:
 def term_weights(df: DataFrame, key: str, col: str, min_df: int = 1) -> DataFrame:
     """TF-IDF per (document, term): ``tf * (ln((1+N)/(1+df)) + 1)``.
 
-    Counts per (document, term) combine map-side; document frequency is an aggregation of that
-    table, joined back by term.
+    Terms are counted where their rows lie; only those of keys that repeat are gathered by an exchange.
+    Document frequency is an aggregation of the written counts, which combines map-side. It is joined back
+    by term: by broadcast up to a measured ``VOCABULARY_BYTES``, so that no count moves, else by an exchange.
     """
-    n = df.count()
-    tf = term_counts(df, key, col).where("term IS NOT NULL")
+    n, single, several = counts_by_key(df, key, col)
+    tf = _cells(single).select("__key", F.col("terms").alias("term"), F.col("tfs").cast("long").alias("tf"))
+    if several is not None:
+        tf = tf.unionByName(several.where("term IS NOT NULL"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    return tf.join(dfreq, "term").select(key, "term", "tf", "df", (F.col("tf") * inverse_frequency(n)).alias("weight"))
+    dfreq = materialize(dfreq, "frequencies")
+    if _fits_tasks(dfreq):
+        dfreq = F.broadcast(dfreq)
+    weight = (F.col("tf") * inverse_frequency(n)).alias("weight")
+    return tf.join(dfreq, "term").select(F.col("__key").alias(key), "term", "tf", "df", weight)
+
+
+def counts_by_key(df: DataFrame, key: str, col: str) -> tuple[int, DataFrame, DataFrame | None]:
+    """Number of rows, counts (__key, terms, tfs) of keys with one row, and (__key, term, tf) of other keys, if any.
+
+    The input is read once and the counts are written.
+    """
+    named = df.select(F.col(key).alias("__key"), F.col(col).alias("__text"))
+    rows = materialize(row_counts(named, "__key", "__text"), "rows")
+    keys = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    keys = materialize(keys.select(F.col("__key").alias("__again")), "repeated")
+    n = rows.count()
+    if keys.isEmpty():
+        return n, rows, None
+    same = F.col("__key").eqNullSafe(F.col("__again"))
+    several = materialize(_summed(rows.join(keys, same, "left_semi")), "counts")
+    return n, rows.join(keys, same, "left_anti"), several
+
+
+def _fits_tasks(words: DataFrame) -> bool:
+    """Whether tasks hold the terms of a written table, with the numbers beside them."""
+    size = words.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
+    return size <= VOCABULARY_BYTES
 
 
 def vocabulary(counts: DataFrame, n_docs: int, max_terms: int, min_df: int = 1) -> DataFrame:
@@ -99,11 +129,20 @@ def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), values)
 
 
-def row_counts(df: DataFrame, key: str, col: str) -> DataFrame:
-    """(key, terms, tfs): the terms of every row with their counts, counted where the row lies."""
+def _pieces(batch: pa.RecordBatch, col: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose lists in ``col`` hold ``CELLS_AT_ONCE`` values at most, or are one row."""
+    ends = np.cumsum(pc.fill_null(batch.column(col).value_lengths(), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + CELLS_AT_ONCE, "right")))
+        yield batch.slice(first, last - first)
+        first = last
 
+
+def _counter(key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, 1)):
             words, n = batch.column(1), batch.num_rows
             coded = words.flatten().dictionary_encode()
             size = max(1, len(coded.dictionary))
@@ -115,9 +154,15 @@ def row_counts(df: DataFrame, key: str, col: str) -> DataFrame:
                 [batch.column(0), _lists(owner, n, terms), _lists(owner, n, counts)], names=[key, "terms", "tfs"]
             )
 
+    return run
+
+
+def row_counts(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, terms, tfs): the terms of every row with their counts, counted where the row lies."""
+
     kind = df.schema[key].dataType.simpleString()
     words = spread(df.select(key, col)).select(key, words_of(col).alias("__words"))
-    return words.mapInArrow(run, f"`{key}` {kind}, terms array<string>, tfs array<int>")
+    return words.mapInArrow(_counter(key), f"`{key}` {kind}, terms array<string>, tfs array<int>")
 
 
 def _cells(counted: DataFrame) -> DataFrame:
@@ -141,7 +186,7 @@ def _in_place(counted: DataFrame, words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(held.value, pa.string())
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, 1)):
             terms, n = batch.column("terms"), batch.num_rows
             ids = pc.fill_null(pc.index_in(terms.flatten(), known), -1).to_numpy()
             owner, tfs = _owners(terms), batch.column("tfs").flatten().to_numpy()
@@ -291,24 +336,15 @@ class TermComponents:
         self._learn(*self._counted(df))
         return self
 
-    def _counted(self, df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-        """Counts (key, terms, tfs) of all rows, those of keys with one row, and (key, term, tf) of other keys, if any."""
-        named = df.select(F.col(self.key).alias("__key"), F.col(self.col).alias("__text"))
-        rows = materialize(row_counts(named, "__key", "__text"), "rows")
-        keys = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-        keys = materialize(keys.select(F.col("__key").alias("__again")), "repeated")
-        if keys.isEmpty():
-            return rows, rows, None
-        same = F.col("__key").eqNullSafe(F.col("__again"))
-        several = materialize(_summed(rows.join(keys, same, "left_semi")), "counts")
-        return rows, rows.join(keys, same, "left_anti"), several
-
-    def _learn(self, rows: DataFrame, single: DataFrame, several: DataFrame | None) -> DataFrame:
+    def _counted(self, df: DataFrame) -> tuple[int, DataFrame, DataFrame | None]:
+        return counts_by_key(df, self.key, self.col)
+
+    def _learn(self, n_rows: int, single: DataFrame, several: DataFrame | None) -> DataFrame:
         found = _cells(single).groupBy(F.col("terms").alias("term")).agg(F.sum("tfs").alias("n"), F.count(F.lit(1)).alias("df"))
         if several is not None:
             more = several.where("term IS NOT NULL").groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
             found = found.unionByName(more).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
-        self.words = materialize(_most_frequent(found, rows.count(), self.max_terms, self.min_df), "vocabulary")
+        self.words = materialize(_most_frequent(found, n_rows, self.max_terms, self.min_df), "vocabulary")
         vectors = materialize(self._vectors(single, several), "vectors")
         # Weights of a term over all documents: n * idf.
         table = self.words.select("id", "n", "idf").toPandas().sort_values("id")

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparktab.operators import terms
@@ -144,3 +145,31 @@ def test_components_that_do_not_settle_raise(spark):
     vectors = terms.term_vectors(counts, "id", words)
     with pytest.raises(RuntimeError, match="not settled"):
         terms.principal_directions(vectors, words.count(), 3, max_scans=1)
+
+
+def test_batches_of_terms_are_cut(monkeypatch):
+    """Tasks work on a bounded number of words at once, whatever the size of a batch of rows."""
+    monkeypatch.setattr(terms, "CELLS_AT_ONCE", 50)
+    words = [["a", "b", "a"] * (i % 5) for i in range(300)] + [None, ["x"] * 80, []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(303)), pa.array(words, pa.list_(pa.string()))], names=["id", "w"])
+    out = list(terms._counter("id")(iter([batch])))
+    assert max(sum(map(len, b["terms"].to_pylist())) for b in out) <= 50 and len(out) > 20
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["id"] for r in rows] == list(range(303))
+    assert [dict(zip(r["terms"], r["tfs"])) for r in rows] == [dict(Counter(w or [])) for w in words]
+
+
+def test_weights_of_repeated_keys_and_plan(spark, monkeypatch):
+    docs = [(1, "aa bb aa"), (2, "bb cc"), (2, "cc dd"), (None, "aa"), (None, "ee aa"), (4, None), (5, "")]
+    df = spark.createDataFrame(docs, "id long, t string")
+    want = {(1, "aa", 2, 2), (1, "bb", 1, 2), (2, "bb", 1, 2), (2, "cc", 2, 1), (2, "dd", 1, 1), (None, "aa", 2, 2), (None, "ee", 1, 1)}
+    for size in (1 << 20, 0):
+        monkeypatch.setattr(terms, "VOCABULARY_BYTES", size)
+        got = terms.term_weights(df, "id", "t").collect()
+        assert {tuple(r)[:4] for r in got} == want and len(got) == len(want)
+        assert all(abs(r["weight"] - r["tf"] * (np.log(8 / (1 + r["df"])) + 1)) < 1e-12 for r in got)
+    monkeypatch.setattr(terms, "VOCABULARY_BYTES", 1 << 20)
+    one = terms.term_weights(df.where("id = 1 or id > 3"), "id", "t")
+    one.collect()
+    # Counts meet their frequencies where they lie.
+    assert "Exchange hashpartitioning" not in one._jdf.queryExecution().executedPlan().toString()
