@@ -93,17 +93,33 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     return low, high, key[anchor], mark.astype(np.uint8)
 
 
-def names_of(key: np.ndarray) -> tuple[np.ndarray, int]:
-    """Dense names, from 1, in the order of the keys; how many."""
-    order = np.argsort(key, kind="stable")
+def order_of(key: np.ndarray, bits: int) -> np.ndarray:
+    """The stable order of unsigned keys below ``2**bits``, sixteen bits at a time, which numpy sorts by counting."""
+    order = np.argsort((key & np.uint64(0xFFFF)).astype(np.uint16), kind="stable")
+    for low in range(16, bits, 16):
+        digit = ((key >> np.uint64(low)) & np.uint64(0xFFFF)).astype(np.uint16)
+        order = order[np.argsort(digit[order], kind="stable")]
+    return order
+
+
+def names_of(key: np.ndarray, bits: int = 64) -> tuple[np.ndarray, int]:
+    """Dense names, from 1, in the order of the keys (below ``2**bits``); how many."""
+    order = order_of(key, bits)
     new = run_starts(key[order])
     names = np.empty(len(key), np.int64)
     names[order] = np.cumsum(new)
     return names, int(new.sum())
 
 
-def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+def joint_key(*parts: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
+    """One key, and its bits, that sorts as the parts (numbers, bits) do one after the other."""
+    key, bits = parts[0][0].astype(np.uint64), parts[0][1]
+    for part, more in parts[1:]:
+        if bits + more > 64:
+            key, many = names_of(key, bits)
+            key, bits = key.astype(np.uint64), many.bit_length()
+        key, bits = (key << np.uint64(more)) | part.astype(np.uint64), bits + more
+    return key, bits
 
 
 def suffix_ranks(s: np.ndarray) -> np.ndarray:
@@ -113,32 +129,37 @@ def suffix_ranks(s: np.ndarray) -> np.ndarray:
         tails = [s[i:].tolist() for i in range(n)]
         order = sorted(tails)
         return np.array([order.index(x) + 1 for x in tails], np.int64)
-    t = np.concatenate([s, np.zeros(3, s.dtype)])
+    t = np.concatenate([s, np.zeros(5, s.dtype)])
     one, two, rest = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3), np.arange(0, n, 3)
     sample = np.concatenate([one, two])
-    t = np.concatenate([t, np.zeros(2, s.dtype)])
-    inner, _ = names_of(pair_key(t[sample], t[sample + 1]))
-    names, many = names_of(pair_key(inner, t[sample + 2]))
+    symbol, place_bits = int(s.max()).bit_length(), len(sample).bit_length()
+    names, many = names_of(*joint_key((t[sample], symbol), (t[sample + 1], symbol), (t[sample + 2], symbol)))
     if many < len(sample):
         # The names of the suffixes at 1, 4, 7, ... and then of those at 2, 5, 8, ... are the next string.
         names = suffix_ranks(names)
     rank = np.zeros(n + 5, np.int64)
     rank[sample] = names
-    sample = sample[sample < n]
-    one = one[one < n]
-    # Remaining suffixes: one symbol, then the rank behind it. Against suffixes at 1, 4, ... the same
-    # comparison serves; against those at 2, 5, ... two symbols and the rank behind them.
-    near_rest, near_one = pair_key(t[rest], rank[rest + 1]), pair_key(t[one], rank[one + 1])
-    tails, _ = names_of(np.concatenate([pair_key(t[rest + 1], rank[rest + 2]), pair_key(t[two + 1], rank[two + 2])]))
-    far_rest, far_two = pair_key(t[rest], tails[: len(rest)]), pair_key(t[two], tails[len(rest) :])
-    order_rest = np.argsort(near_rest)
-    by_one, by_two = np.argsort(near_one), np.argsort(far_two)
-    before = np.searchsorted(near_one[by_one], near_rest[order_rest]) + np.searchsorted(far_two[by_two], far_rest[order_rest])
+    # All names differ now, so the sampled suffixes are in order by their names, without another sort.
+    in_order = np.empty(len(sample), np.int64)
+    in_order[names - 1] = sample
+    from_one = in_order % 3 == 1
+    by_one, by_two = in_order[from_one], in_order[~from_one]
+    # Remaining suffixes: one symbol, then the rank behind it, which has its order. Against suffixes at 1, 4, ...
+    # the same comparison serves; against those at 2, 5, ... two symbols and the rank behind them.
+    by_rest = by_one - 1
+    by_rest = by_rest[order_of(t[by_rest].astype(np.uint64), symbol)]
+    by_one = by_one[by_one < n]
+    ends = len(by_rest)
+    near, _ = joint_key((np.concatenate([t[by_rest], t[by_one]]), symbol), (np.concatenate([rank[by_rest + 1], rank[by_one + 1]]), place_bits))
+    both = np.concatenate([by_rest, by_two])
+    far, _ = joint_key((t[both], symbol), (t[both + 1], symbol), (rank[both + 2], place_bits))
+    before = np.searchsorted(near[ends:], near[:ends]) + np.searchsorted(far[ends:], far[:ends])
     place = np.empty(n, np.int64)
-    place[rest[order_rest]] = np.arange(len(rest)) + before
+    at = np.arange(ends) + before
+    place[by_rest] = at
     taken = np.zeros(n, bool)
-    taken[place[rest]] = True
-    place[sample[np.argsort(rank[sample])]] = np.flatnonzero(~taken)
+    taken[at] = True
+    place[in_order[in_order < n]] = np.flatnonzero(~taken)
     return place + 1
 
 
@@ -147,7 +168,10 @@ def window_groups(data: np.ndarray, starts: np.ndarray, least: int) -> np.ndarra
     if not len(starts):
         return np.zeros(0, np.int64)
     rank = suffix_ranks(data.astype(np.int64) + 1)
-    order = np.argsort(rank[starts], kind="stable")
+    # The windows in the order of their ranks, which all differ.
+    number = np.full(len(data), -1, np.int64)
+    number[rank[starts] - 1] = np.arange(len(starts))
+    order = number[number >= 0]
     at = starts[order]
     # Adjacent prefixes, eight bytes at a time; the last eight may overlap those before.
     pad = np.concatenate([data, np.zeros(8, np.uint8)])

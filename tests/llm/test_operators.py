@@ -385,6 +385,24 @@ def test_suffix_ranks_against_sorting():
         assert suffixes.suffix_ranks(s).tolist() == [sorted(tails).index(t) + 1 for t in tails]
 
 
+def test_suffix_ranks_sort_by_counting(monkeypatch):
+    """Sorts see 16-bit digits only, of each sampled suffix once a level; keys too wide for 64 bits are joined in steps."""
+    rng = np.random.default_rng(2)
+    text = np.tile(rng.integers(1, 257, 700), 3)
+    wide = rng.integers(1, 1 << 31, 300)
+    wide[100:150] = wide[200:250]
+    sorted_by = []
+    plain = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **kw: sorted_by.append((a.dtype, len(a))) or plain(a, *args, **kw))
+    got = [suffixes.suffix_ranks(s).tolist() for s in (text, wide)]
+    monkeypatch.undo()
+    assert {kind for kind, _ in sorted_by} == {np.dtype(np.uint16)}
+    for s, ranks in zip((text, wide), got, strict=True):
+        tails = [s[i:].tolist() for i in range(len(s))]
+        place = {i: n + 1 for n, i in enumerate(sorted(range(len(s)), key=lambda i: tails[i]))}
+        assert ranks == [place[i] for i in range(len(s))]
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_repeats_on_odd_texts(spark, monkeypatch, small):
     from tests.llm.test_queries import removed
