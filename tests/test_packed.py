@@ -81,3 +81,21 @@ def test_packed_join_of_an_empty_table(facts):
     none = facts.where("false")
     out, _ = encoders.fold_safe_encode(none, COLS, "y", 3, "fold", packed=True)
     assert out.count() == 0 and "TE_c9_2" in out.columns
+
+
+def test_packed_join_hashes_rows_and_sketches_once(facts):
+    """Rows come back by a hashed aggregate, not by sorted lists; the sketch of frequent values is written, not planned twice."""
+    out, _ = encoders.fold_safe_encode(facts, COLS[:4], "y", 3, "fold", packed=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan
+    assert "collect_list" not in plan and "approx_top_k" not in plan
+
+
+def test_packed_join_of_texts_and_dates(facts, monkeypatch):
+    """Looked-up values need not be numbers; nulls among them stay null."""
+    monkeypatch.setattr(joins, "ROWS_PER_SALT", 20)
+    seen = F.when(F.col("n") % 2 == 0, F.concat(F.lit("n"), F.col("n")))
+    stats = joins.packed_stats(facts.select(*COLS[:3]), COLS[:3], [F.count(F.lit(1)).alias("n")])
+    named = {c: s.select("__v", seen.alias(f"{c}_t"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("n").cast("int")).alias(f"{c}_d"),
+                         F.array(F.col("n"), F.lit(None).cast("long")).alias(f"{c}_a")) for c, s in stats.items()}
+    same(*(joins.lookup_values(facts, named, packed=way) for way in (True, False)))
